@@ -167,12 +167,11 @@ def rate(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "t
 def filter_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", risk: Risk = Risk()) -> DataFrame:
     """The rows of docs, with all their columns, that the rules keep.
 
-    Cutoffs come from a first pass that writes narrow counts; the second pass measures again in the scan that returns
-    the rows, so texts are never shuffled.
+    Rows and counts are written once, so that texts are measured once and never shuffled; calibration reads the counts
+    alone.
     """
     boxed = docs.select(F.struct("*").alias("row"), F.col(key).alias("key"), F.col(stratum).alias("stratum"), F.col(text).alias("text"))
-    rated = materialize(measure(boxed.drop("row")), "quality-counts")
+    rated = materialize(measure(boxed), "quality-rated")
     lab = labels.select(F.col("doc_id").alias("key"), "quality")
-    cutoffs = materialize(calibrate(rated, lab, "key", "stratum", risk), "quality-cutoffs")
-    judged = judge(measure(boxed), cutoffs, "stratum")
+    judged = judge(rated, calibrate(rated, lab, "key", "stratum", risk), "stratum")
     return judged.where(~F.col("base_failed") & (F.size("failed_rules") == 0)).select("row.*")
