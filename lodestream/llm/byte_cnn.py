@@ -20,7 +20,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -215,17 +214,17 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 def score_column(text: Column, network: Network) -> Column:
     """The probability that a text is good; null and empty texts get one too."""
 
-    @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for series in batches:
-            column = utf8(pa.array(series, pa.large_string(), from_pandas=True))
+    @F.arrow_udf("double")
+    def scored(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for array in arrays:
+            column = utf8(array)
             ends, _ = buffers(column)
             out, at = [np.zeros(0)], 0
             while at < len(column):
-                to = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE_BYTES // 4, side="right")) - 1)
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE_BYTES // 8, side="right")) - 1)
                 out.append(network.score(column.slice(at, to - at)))
                 at = to
-            yield pd.Series(np.concatenate(out))
+            yield pa.array(np.concatenate(out))
 
     return scored(text)
 

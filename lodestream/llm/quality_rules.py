@@ -168,10 +168,11 @@ def filter_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", te
     """The rows of docs, with all their columns, that the rules keep.
 
     Rows and counts are written once, so that texts are measured once and never shuffled; calibration reads the counts
-    alone.
+    alone. The cutoffs are written too, so that the planner knows their size before it joins them to the rows.
     """
     boxed = docs.select(F.struct("*").alias("row"), F.col(key).alias("key"), F.col(stratum).alias("stratum"), F.col(text).alias("text"))
     rated = materialize(measure(boxed), "quality-rated")
     lab = labels.select(F.col("doc_id").alias("key"), "quality")
-    judged = judge(rated, calibrate(rated, lab, "key", "stratum", risk), "stratum")
+    cutoffs = materialize(calibrate(rated, lab, "key", "stratum", risk), "quality-cutoffs")
+    judged = judge(rated, cutoffs, "stratum")
     return judged.where(~F.col("base_failed") & (F.size("failed_rules") == 0)).select("row.*")
