@@ -236,8 +236,12 @@ def rate(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "t
     return scored.select(key, held_out(F.col(key)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that are predicted to be good."""
-    network = train(docs, labels, key, text)
+def keep_good(docs: DataFrame, labelled: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that are predicted to be good.
+
+    ``labelled`` has the documents that the labels are about. It may hold more than docs: where earlier steps have taken
+    the bad documents out of docs, nothing could be learned from docs alone.
+    """
+    network = train(labelled, labels, key, text)
     score = fresh_name(docs, "score")
     return docs.withColumn(score, score_column(F.col(text), network)).where(F.col(score) >= THRESHOLD).drop(score)
