@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestream.plans import relational
+from lodestream.plans import mutation, relational
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _module in (relational,):
+for _module in (relational, mutation):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
