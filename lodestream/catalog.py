@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestream.plans import clinical_hl7, mutation, relational
+from lodestream.plans import clinical_fhir, clinical_hl7, mutation, relational, surfaces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _module in (relational, mutation, clinical_hl7):
+for _module in (relational, mutation, clinical_hl7, clinical_fhir, surfaces):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
