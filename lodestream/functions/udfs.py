@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def register_squared(spark: SparkSession) -> None:
@@ -15,18 +16,18 @@ def register_squared(spark: SparkSession) -> None:
     spark.udf.register("squared", lambda x: None if x is None else x * x, "long")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def plus_one(v: pd.Series) -> pd.Series:
     return v + 1
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def product(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in batches:
         yield a * b
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def mean(v: pd.Series) -> float:
     return v.mean()
 
@@ -59,7 +60,7 @@ def ridge_folds(df: DataFrame, features: list[str], label: str, alphas: list[flo
     every = sums.agg(F.collect_list(F.struct("fold", "gram")).alias("all"))
     tasks = every.select("all", F.explode(F.array(*map(F.lit, alphas))).alias("alpha")).select("all", "alpha", F.explode(F.transform("all", lambda s: s["fold"])).alias("fold"))
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def error(grams: pd.Series, alpha: pd.Series, fold: pd.Series) -> pd.Series:
         out, n = [], len(cols) + 1
         for g, a, f in zip(grams, alpha, fold, strict=True):

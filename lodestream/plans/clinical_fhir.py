@@ -55,7 +55,7 @@ def fhir_patient(customer):
 
 def observations(lineitem):
     """One a line; value[x] by line number; lines with status R have a status outside the domain."""
-    ident = F.concat_ws("-", *[_s(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
+    ident = F.concat_ws("-", *[_s(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")], F.date_format("l_shipdate", "yyyyMMddHHmmss"))
     k = F.col("l_linenumber") % 3
     quantity = F.when(k == 0, F.struct(F.col("l_quantity").cast("int").alias("value"), F.lit("mg").alias("unit"))).alias("valueQuantity")
     text = F.when(k == 1, F.col("l_linestatus")).alias("valueString")
@@ -64,7 +64,7 @@ def observations(lineitem):
     return lineitem.select(_json("Observation", ident, _meta(), status, _cc(_s("l_partkey"), F.lit("part")).alias("code"), _ref("Patient", "l_suppkey").alias("subject"), F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("effectiveDateTime"), quantity, text, flag).alias("value"))
 
 
-@query("""SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS observation_id, CAST(l_suppkey AS VARCHAR) AS patient_id, CAST(l_partkey AS VARCHAR) AS code,
+@query("""SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || strftime(l_shipdate, '%Y%m%d%H%M%S') AS observation_id, CAST(l_suppkey AS VARCHAR) AS patient_id, CAST(l_partkey AS VARCHAR) AS code,
   CASE l_linenumber % 3 WHEN 0 THEN CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) WHEN 1 THEN l_linestatus ELSE CASE WHEN l_quantity > 25 THEN 'true' ELSE 'false' END END AS value,
   CASE WHEN l_linenumber % 3 = 0 THEN 'mg' END AS value_unit, date_trunc('second', l_shipdate) AS effective FROM lineitem WHERE l_returnflag <> 'R'""")
 def fhir_observation(lineitem):
