@@ -267,7 +267,7 @@ def near_duplicates(docs: DataFrame, m: Measure = Measure(), key: str = "doc_id"
 
     parts = connected_components(links, "dedup-result")
     out = member.select("doc_id", "n", "rep").join(parts, F.col("rep") == F.col("node"), "left")
-    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "rep"))
+    component = F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "rep"))
     return out.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
