@@ -1,0 +1,339 @@
+"""Every training-data operator against a plain version, on edge cases and on the smallest tables."""
+
+import base64
+import hashlib
+import math
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+pytest.importorskip("lodestream.llm")
+
+import public_tokenizers
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from lodestream.llm import byte_cnn, chat, licenses, media, near_dedup, packing, pieces, pii, quality_rules, queries, warc
+from tests.llm import brute
+
+SF = "/root/testdata/sf0.001"
+PATH = public_tokenizers.path
+rng = random.Random(5)
+WORDS = "amber birch cedar delta ember frost grove haven inlet jetty knoll ledge maple north ocean pearl quartz ridge stone thorn umber vale willow yarrow zephyr".split()
+
+
+def prose(n):
+    return " ".join(rng.choice(WORDS) for _ in range(n))
+
+
+LONG = prose(9000)
+BASE_TEXT = prose(60)
+EDGE = [
+    (1, None), (2, ""), (3, "   \n\t "), (4, "one"), (4, "one"), (5, "one two"), (6, LONG), (7, LONG + " tail"), (8, BASE_TEXT), (9, BASE_TEXT + " extra"),
+    (10, BASE_TEXT.upper()), (11, "  spaced   out▁ text \U0001f600 世界 ends  "), (12, "x" * 5000), (13, "a\x00b\x1cc d e"), (14, "\n".join(["same line here"] * 6)),
+    (15, "#*$%&|<> ### " * 9), (16, "Released under CC BY 4.0. All rights reserved. GNU General Public License version 3, licensed under the same."),
+    (17, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software."), (18, "cc  by cc by-nc"), (None, "no id at all but words"), (None, BASE_TEXT),
+]
+
+
+@pytest.fixture(scope="module")
+def edge(spark):
+    """Edge rows with extra columns whose names could clash with the operators' own."""
+    rows = [(i, t, "en" if k % 2 else None, "s", 0, "r", "k", 1, "p") for k, (i, t) in enumerate(EDGE)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row string, key string, n int, __parts string")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def collected(df, *names):
+    return sorted((tuple(r[n] for n in names) for r in df.collect()), key=repr)
+
+
+@pytest.mark.parametrize("name", ["op1", "op2", "op3", "op4", "op5", "op7", "op8", "op10"])
+def test_empty_documents(spark, edge, name):
+    none, labels = edge.limit(0), spark.createDataFrame([], "doc_id long, quality int")
+    made = {
+        "op1": lambda: packing.pack(none, PATH("byte_bpe_50k.json")), "op2": lambda: licenses.scan(none), "op3": lambda: pii.report(none, "k"), "op4": lambda: media.profile(none),
+        "op5": lambda: pieces.digest(none, PATH("piece_bpe_32k.model")), "op7": lambda: quality_rules.rate(none, labels), "op8": lambda: near_dedup.near_duplicates(none), "op10": lambda: byte_cnn.rate(none, labels),
+    }
+    assert made[name]().count() == 0
+
+
+@pytest.mark.parametrize("source", ["edge", "docs"])
+def test_packing(request, source):
+    from tokenizers import Tokenizer
+
+    rows = request.getfixturevalue(source)
+    exact = Tokenizer.from_file(PATH("byte_bpe_50k.json"))
+    got = packing.pack(rows, PATH("byte_bpe_50k.json"), PATH("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()
+    sequences, by_doc = {}, {}
+    for r in got:
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        by_doc.setdefault(r["doc_id"], []).append(r)
+    for own in sequences.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at and length > 0
+            at += length
+        assert at <= 1024
+    tokens = sum(r["length"] for r in got)
+    assert len(sequences) <= math.ceil(tokens / 1024) * 1.02 + 2
+    want = {}
+    for r in rows.collect():
+        ids = np.array([*exact.encode(r["text"] or "", add_special_tokens=False).ids, 0], dtype="<u4")
+        want.setdefault(r["doc_id"], []).append(ids)
+    for doc, texts in want.items():
+        assert sum(map(len, texts)) == sum(r["length"] for r in by_doc[doc])
+        if len(texts) == 1:
+            at = 0
+            for r in sorted(by_doc[doc], key=lambda r: r["start"]):
+                assert r["start"] == at and r["doc_tokens"] == len(texts[0])
+                assert r["ids_crc32"] == zlib.crc32(texts[0][at : at + r["length"]].tobytes())
+                at += r["length"]
+
+
+@pytest.mark.parametrize("source", ["edge", "docs"])
+def test_licence_base(request, source):
+    rows = request.getfixturevalue(source)
+    want = []
+    for r in rows.collect():
+        words = brute.LICENCE_WORD.findall(brute.lower(r["text"]))
+        places, labels = [], set()
+        for phrase, label in licenses.BASE.items():
+            own = [i for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+            places += own
+            labels |= {label} if own else set()
+        want.append((r["doc_id"], len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))))
+    got = licenses.scan(rows)
+    assert collected(got, "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels") == sorted(want, key=repr)
+    for r in got.collect():
+        assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
+
+
+def test_licence_templates(edge):
+    labels = {r["doc_id"]: r["labels"].split(",") for r in licenses.scan(edge).collect()}
+    assert "mit" in labels[17] and labels[8] == [""] and {"cc-by", "gpl", "reserved"} <= set(labels[16])
+
+
+def test_pii_permutation_and_links(spark):
+    df = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 5, "0").alias("d"))
+    out = df.select("d", pii.permute_digits(F.col("d"), "k", F.lit("t")).alias("e")).select("d", "e", pii.permute_digits(F.col("e"), "k", F.lit("t"), inverse=True).alias("b")).collect()
+    assert all(r["b"] == r["d"] and len(r["e"]) == 5 for r in out) and len({r["e"] for r in out}) == 1000
+    texts = ["card 4111 1111 1111 1111 on 2001-02-03", "again 4111111111111111, born 03/02/2001", "bad card 4111111111111112 and 2001-02-31", None, "", "no values", "mail Ann.B@mail.example.com ssn 123-45-6789 ip 10.0.0.300 ip 10.0.0.7 call +1 (555) 123-4567"]
+    got = {r["doc_id"]: r for r in pii.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()}
+    digits = lambda s: "".join(c for c in s if c.isdigit())
+    assert digits(got[0]["text"].split(" on ")[0]) == digits(got[1]["text"].split(",")[0]) != "4111111111111111"
+    card = digits(got[0]["text"].split(" on ")[0])
+    assert sum(sum(divmod(int(c) * (2 if i % 2 else 1), 10)) for i, c in enumerate(card[::-1])) % 10 == 0
+    assert got[0]["text"][-10:].split("-") == got[1]["text"][-10:].split("/")[::-1]
+    assert [got[i]["text"] for i in (2, 3, 4, 5)] == texts[2:6] and [got[i]["n_values"] for i in range(6)] == [2, 2, 0, 0, 0, 0]
+    assert "10.0.0.300" in got[6]["text"] and not any(x in got[6]["text"] for x in ("Ann.B", "123-45-6789", "10.0.0.7", "123-4567")) and got[6]["kinds"] == "email,ipv4,phone,ssn"
+
+
+def test_pii_keeps_columns(edge):
+    assert pii.pseudonymize_column(edge, "text", "k").columns == edge.columns
+    assert collected(pii.pseudonymize_column(edge, "text", "k"), "doc_id", "text") == sorted(EDGE, key=repr)
+
+
+@pytest.mark.parametrize("source", ["edge", "docs"])
+def test_media(request, source):
+    rows = request.getfixturevalue(source)
+    want = []
+    for r in rows.collect():
+        data = (r["text"] or "").encode()
+        padded = data.ljust(max(64, -(-len(data) // 64) * 64), b"\0")
+        want.append((r["doc_id"], len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:])))
+    assert collected(media.profile(rows), "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32") == sorted(want, key=repr)
+
+
+def test_audio_decoding():
+    def ulaw(c):
+        c = ~c & 255
+        x = (((c & 15) * 2 + 33) << (c >> 4 & 7)) - 33
+        return -x * 4 if c & 128 else x * 4
+
+    assert [int(x) for x in media.TABLES[media.MULAW]] == [ulaw(c) for c in range(256)]
+    assert sorted(set(np.abs(media.TABLES[media.ALAW].astype(int))))[:3] == [8, 24, 40] and abs(media.TABLES[media.ALAW].astype(int)).max() == 32256
+    blocks = np.random.default_rng(1).integers(0, 256, (7, 36), dtype=np.uint8)
+    for block, got in zip(blocks, media.decode_adpcm(blocks), strict=True):
+        value, index = int(block[:2].view("<i2")[0]), min(int(block[2]), 88)
+        want = [value]
+        for byte in block[4:].tolist():
+            for code in (byte & 15, byte >> 4):
+                step = int(media.IMA_STEPS[index])
+                change = (step >> 3) + (step if code & 4 else 0) + (step >> 1 if code & 2 else 0) + (step >> 2 if code & 1 else 0)
+                value = max(-32768, min(32767, value - change if code & 8 else value + change))
+                index = max(0, min(88, index + int(media.IMA_INDEX[code & 7])))
+                want.append(value)
+        assert got.tolist() == want
+    file = media.wave(media.IMA, blocks.tobytes(), align=36)
+    assert (media.decode(file)[0] == media.decode_adpcm(blocks).reshape(-1)).all()
+
+
+@pytest.mark.parametrize("source", ["edge", "docs"])
+def test_sentencepiece(request, source):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PATH("piece_bpe_32k.model"))
+    rows = request.getfixturevalue(source)
+    want = []
+    for r in rows.collect():
+        ids = sp.encode(r["text"] or "", add_bos=True, add_eos=True)
+        want.append((r["doc_id"], len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest(), hashlib.sha256(sp.decode(ids).encode()).hexdigest()))
+    assert collected(pieces.digest(rows, PATH("piece_bpe_32k.model")), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(want, key=repr)
+
+
+def test_warc(spark):
+    pages = [(1, "u", "<p>a</p>"), (2, None, "<p>a</p>"), (3, "u\r\nX: y", ""), (4, "u", None), (5, "u", "b" * 300_000), (6, "u", "世\r\n\r\nx"), (7, "u", "b" * 300_000), (None, "u", "<p>a</p>"), (8, "u", "solo"), (8, "u", "solo")]
+    least = {}
+    for i, _, h in pages:
+        if i is not None:
+            least[h or ""] = min(i, least.get(h or "", i))
+    want = []
+    for i, _, h in pages:
+        data = (h or "").encode()
+        again = i is not None and i > least[h or ""]
+        want.append((i, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "revisit" if again else "response", least[h or ""] if again else None))
+    df = spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, content int")
+    names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    assert collected(warc.archive_round_trip(df), *names) == sorted(want, key=repr)
+    assert warc.archive_round_trip(df.limit(0)).count() == 0
+    segment = bytearray(warc.gzip_member(warc.record_bytes(1, "u", b"abc", warc.sha1(b"abc"), None)))
+    assert [warc.page_of(r)[0] for r in warc.read_records(bytes(segment))] == [1]
+    with pytest.raises((ValueError, zlib.error)):
+        list(warc.read_records(bytes(segment[:-9])))
+    with pytest.raises(ValueError):
+        list(warc.read_records(warc.gzip_member(warc.record_bytes(1, "u", b"abc", warc.sha1(b"abc"), None).replace(b"abc", b"abd"))))
+
+
+@pytest.mark.parametrize("source", ["edge", "docs"])
+def test_quality_counts_and_verdicts(spark, request, source):
+    rows = request.getfixturevalue(source)
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    local = [(r["doc_id"], r["text"], r["lang"]) for r in rows.collect()]
+    known = {}
+    for r in labels.collect():
+        known[r["doc_id"]] = min(r["quality"], known.get(r["doc_id"], 1))
+    for risk in (quality_rules.Risk(), quality_rules.Risk(alpha=0.3, delta=0.5)):
+        kept = brute.quality_kept(local, known, quality_rules.GRIDS, risk.alpha, risk.delta)
+        want = [(i, *brute.quality_counts(t), brute.quality_rules(t)[1], k) for (i, t, _), k in zip(local, kept, strict=True)]
+        got = quality_rules.rate(rows, labels, risk=risk)
+        assert collected(got, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept") == sorted(want, key=repr)
+    out = quality_rules.filter_documents(rows, labels)
+    assert out.columns == rows.columns
+
+
+def test_binomial_bound(spark):
+    cases = [(n, k, a) for n in (1, 50, 700, 3000) for k in (0, 1, 4) for a in (0.005, 0.05)]
+    for n, k, a in cases:
+        got = spark.range(1).select(quality_rules.certified(F.lit(n).cast("long"), F.lit(k).cast("long"), a, F.lit(0.001))).first()[0]
+        assert got == (k <= n * a and brute.tail(n, k, a) <= 0.001)
+
+
+@pytest.mark.parametrize(("source", "width", "percent"), [("edge", 3, 85), ("docs", 3, 85), ("docs", 5, 80)])
+def test_near_duplicates(request, source, width, percent):
+    rows = request.getfixturevalue(source)
+    local = [(r["doc_id"], r["text"]) for r in rows.collect()]
+    parts = brute.components(sorted({x for x in local if x[0] is not None}, key=lambda x: x[0]), width, percent)
+    want = [(i, len(brute.shingles(t, width)), parts.get(i), i is None or parts[i] == i) for i, t in local]
+    got = near_dedup.near_duplicates(rows, near_dedup.Measure(width=width, percent=percent))
+    assert collected(got, "doc_id", "n_shingles", "component_id", "kept") == sorted(want, key=repr)
+    kept = near_dedup.keep_one(rows, near_dedup.Measure(width=width, percent=percent))
+    assert kept.columns == rows.columns
+    assert sorted((r["doc_id"] for r in kept.collect() if r["doc_id"] is not None)) == sorted({i for i, _, _, k in want if k and i is not None})
+    assert kept.where("doc_id is null").count() == sum(i is None for i, _ in local)
+
+
+def test_near_duplicates_split_into_blocks(spark, monkeypatch):
+    """Small blocks: the groups meet in many tasks, with the same result."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 500)
+    local = []
+    for g in range(4):
+        text = prose(80).split()
+        for k in range(30):
+            own = text.copy()
+            own[rng.randrange(80)] = f"new{g}{k}"
+            local.append((100 * g + k, " ".join(own)))
+    got = near_dedup.near_duplicates(spark.createDataFrame(local, "doc_id long, text string"), near_dedup.Measure(width=3, percent=85))
+    parts = brute.components(local, 3, 85)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == parts
+
+
+def test_chat(spark):
+    said = "</s>[INST] ok [/INST]"
+    turns = [
+        (1, 0, "user", said), (1, 1, "assistant", "a\\b\\\\<s>\n</s>\n"), (2, 0, None, None), (2, None, "assistant", "\U0001f600 " * 3), (3, 1, "assistant", "x"), (3, 1, "assistant", "x"), (3, 0, "ro\nle\\", "y<\\s>"),
+        (None, 0, "user", "lost"), (4, 0, "assistant", ""), *[(5, k, "assistant" if k % 2 else "user", "long " * 2000 + str(k)) for k in range(300)],
+    ]
+    df = spark.createDataFrame([(*t, 7) for t in turns], "conv_id long, turn long, role string, text string, part int")
+    want = []
+    for conv in {t[0] for t in turns}:
+        own = sorted(((-1 if t[1] is None else t[1], t[2] or "", t[3] or "") for t in turns if t[0] == conv))
+        learned = "".join(x for _, r, x in own if r == "assistant")
+        want.append((conv, len(own), hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in own).encode()).hexdigest(), len(learned), hashlib.sha256(learned.encode()).hexdigest()))
+    formatted = chat.format_conversations(df)
+    assert collected(chat.digest(formatted), "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256") == sorted(want, key=repr)
+    body = [r["formatted"] for r in formatted.collect() if r["conv_id"] == 1]
+    assert body[0].count("</s>\n") == 2 and body[0].count("[INST]") == 0
+    assert chat.digest(chat.format_conversations(df.limit(0))).count() == 0
+
+
+def test_classifier_on_held_out_labels(spark):
+    """Ranking of held-out documents: the chance that a good one scores above a bad one."""
+    sf = "/root/testdata/sf0.01"
+    rated = byte_cnn.rate(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
+    rows = rated.where("held_out").join(labels, "doc_id").collect()
+    good, bad = ([r["score"] for r in rows if r["quality"] == q] for q in (1, 0))
+    auc = sum((a > b) + 0.5 * (a == b) for a in good for b in bad) / (len(good) * len(bad))
+    right = sum(r["predicted"] == r["quality"] for r in rows) / len(rows)
+    print(f"held out: {len(good)} good, {len(bad)} bad, AUC {auc:.4f}, accuracy {right:.4f}")
+    assert auc > 0.9 and right > 0.85
+
+
+def test_classifier_reads_every_chunk_and_edges(spark, edge):
+    out = byte_cnn.rate(edge, spark.createDataFrame([(8, 1), (15, 0), (4, 1), (2, 0)], "doc_id long, quality int"))
+    scores = [r["score"] for r in out.collect()]
+    assert len(scores) == len(EDGE) and all(0 <= s <= 1 for s in scores)
+    constant = byte_cnn.rate(edge, spark.createDataFrame([(8, 1)], "doc_id long, quality int"))
+    assert {r["score"] for r in constant.collect()} == {1.0}
+    network = byte_cnn.Network(table=np.zeros((8, 256, 1), dtype=np.float32), w1=np.ones((2, 1), dtype=np.float32), w2=np.ones(1, dtype=np.float32))
+    network.table[0, ord("!")] = 1.0
+    plain = "a" * 40_000
+    texts = pa.array([plain, plain[:-4] + "!" + plain[-3:], plain[:20_000] + "!" + plain[20_001:]], pa.large_string())
+    a, b, c = network.score(texts)
+    assert a < b and a < c and abs(network.score(texts[1:2])[0] - b) < 1e-9
+
+
+def test_pipeline_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    local = [(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()]
+    known = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    risk = quality_rules.Risk()
+    left = [x for x, k in zip(local, brute.quality_kept(local, known, quality_rules.GRIDS, risk.alpha, risk.delta), strict=True) if k]
+    network = byte_cnn.train(docs, labels)
+    left = [x for x in left if network.score(pa.array([x[1] or ""], pa.large_string()))[0] >= byte_cnn.THRESHOLD]
+    parts = brute.components(sorted({(i, t) for i, t, _ in left}, key=lambda x: x[0]), 5, 80)
+    left = sorted(i for i, part in parts.items() if i == part)
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert sorted({r["doc_id"] for r in got}) == left
+    texts = pii.pseudonymize_column(docs.where(F.col("doc_id").isin(left)), "text", corpus_pipeline.PII_KEY).collect()
+    ids = dict(zip([r["doc_id"] for r in texts], packing.encode_texts([r["text"] or "" for r in texts], PATH("byte_bpe_50k.json")), strict=True))
+    for r in got:
+        own = np.array([*ids[r["doc_id"]], 0], dtype="<u4")
+        assert r["doc_tokens"] == len(own) and r["ids_crc32"] == zlib.crc32(own[r["start"] : r["start"] + r["length"]].tobytes())
+    assert sum(r["length"] for r in got) == sum(len(i) + 1 for i in ids.values())
+
+
+@pytest.mark.parametrize("name", [q for q in queries.QUERIES if q not in ("pipeline", "op1_packing")])
+def test_one_row_a_document(spark, name):
+    table = {"op6_warc": "pages", "op9_chat_formatting": None}.get(name, "documents")
+    n = queries.QUERIES[name](spark, SF).count()
+    assert n == (spark.read.parquet(f"{SF}/{table}.parquet").count() if table else spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id").distinct().count() + 1)
