@@ -82,6 +82,16 @@ ORACLES: dict[str, str] = {
                CASE WHEN page_id > least THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN page_id > least THEN least END AS refers_to
         FROM v""",
+    "op9_chat_formatting": r"""
+        WITH t AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -1, k, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(k, r)),
+        e AS (SELECT *, length(replace(replace(replace(replace(replace(text, chr(92), '__'), '<s>', '<_s>'), '</s>', '<_/s>'), '[INST]', '[_INST]'), '[/INST]', '[_/INST]')) AS text_chars,
+                     length(replace(replace(replace(replace(replace(replace(role, chr(92), '__'), '<s>', '<_s>'), '</s>', '<_/s>'), '[INST]', '[_INST]'), '[/INST]', '[_/INST]'), chr(10), '__')) AS role_chars FROM t)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+               CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+               sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256,
+               CAST(sum(text_chars + role_chars + 9) AS BIGINT) AS formatted_chars
+        FROM e GROUP BY conv_id""",
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
