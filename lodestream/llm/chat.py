@@ -30,6 +30,8 @@ from lodestream.llm.arrow import buffers, ragged, utf8
 
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]")
 PART_BYTES = 1 << 20
+#: Conversations in an output batch, unless their text reaches PART_BYTES before.
+ROWS = 512
 FORMATTED = "conv_id long, part long, formatted string, loss array<struct<start:long,length:long>>"
 
 
@@ -70,8 +72,22 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("conv_id", pa.int64()), ("part", pa.int64()), ("formatted", pa.string()), ("loss", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))])
     current, part, chunks, loss, size, chars = None, 0, [], [], 0, 0
 
-    def row() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([current[0]], pa.int64()), pa.array([part], pa.int64()), pa.array([b"".join(chunks).decode()]), pa.array([loss], schema.field("loss").type)], schema=schema)
+    ready: list[tuple] = []
+    waiting = 0
+
+    def row() -> bool:
+        """Finish a row; whether it is time to emit those that are ready."""
+        nonlocal waiting
+        ready.append((current[0], part, b"".join(chunks).decode(), loss))
+        waiting += size
+        return waiting >= PART_BYTES or len(ready) >= ROWS
+
+    def flush() -> pa.RecordBatch:
+        nonlocal waiting
+        columns = list(zip(*ready, strict=True))
+        ready.clear()
+        waiting = 0
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     for whole in batches:
         for at in range(0, whole.num_rows, 512):
@@ -84,10 +100,12 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             view, ends = memoryview(data), np.cumsum(n_bytes).tolist()
             for i, conv in enumerate(batch.column("conv_id").to_pylist()):
                 if current is not None and current != (conv,):
-                    yield row()
+                    if row():
+                        yield flush()
                     current, part, chunks, loss, size, chars = None, 0, [], [], 0, 0
                 elif size >= PART_BYTES:
-                    yield row()
+                    if row():
+                        yield flush()
                     part, chunks, loss, size, chars = part + 1, [], [], 0, 0
                 current = (conv,)
                 if learned[i]:
@@ -95,7 +113,8 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 chunks.append(view[ends[i] - int(n_bytes[i]) : ends[i]])
                 size, chars = size + int(n_bytes[i]), chars + int(n_chars[i])
     if current is not None:
-        yield row()
+        row()
+        yield flush()
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
@@ -112,7 +131,9 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     """Role and text of each turn of a formatted part."""
     out = []
     for turn in formatted.split("</s>\n")[:-1]:
-        end = _HEADER_END.search(turn, 3).end()
+        end = turn.index("\n") + 1
+        if turn[end - 2] == "\\":  # an escaped line break, or a role that ends in a backslash
+            end = _HEADER_END.search(turn, 3).end()
         out.append((unescape(turn[3 : end - 1]), unescape(turn[end:])))
     return out
 
@@ -133,18 +154,22 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     for batch in batches:
-        for i in range(batch.num_rows):
-            conv, part, formatted, loss = (batch.column(c)[i].as_py() for c in range(4))
+        spans = batch.column(3)
+        inner = spans.flatten()
+        begin, length = (inner.field(k).to_pylist() for k in range(2))
+        ends = np.cumsum(np.asarray(pc.list_value_length(spans))).tolist()
+        at = 0
+        for i, (conv, part, formatted) in enumerate(zip(*[batch.column(c).to_pylist() for c in range(3)], strict=True)):
             if part == 0:
                 close()
                 state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-            for role, text in parse(formatted):
-                state[1] += 1
-                state[2].update(f"{role}\n{text}\n".encode())
-            for span in loss:
-                text = unescape(formatted[span["start"] : span["start"] + span["length"]])
-                state[3] += len(text)
-                state[4].update(text.encode())
+            turns = parse(formatted)
+            learned = "".join([unescape(formatted[b : b + n]) for b, n in zip(begin[at : ends[i]], length[at : ends[i]], strict=True)])
+            at = ends[i]
+            state[1] += len(turns)
+            state[2].update("".join([f"{role}\n{text}\n" for role, text in turns]).encode())
+            state[3] += len(learned)
+            state[4].update(learned.encode())
             state[5] += len(formatted)
         yield flush()
     close()
