@@ -89,15 +89,14 @@ def split_batch(text: Column) -> Column:
     return F.aggregate(lines, empty, step)
 
 
-def parse_segment(segment: Column, spec: dict) -> dict[str, Column]:
-    """Columns of one segment's text; null where the segment is null."""
-    fields = F.split(segment, r"\|")
+def parse_segment(fields: Column, spec: dict) -> dict[str, Column]:
+    """Columns of one segment, given as the array of its fields; null where the segment is null."""
     out = {}
     for index, columns in spec.items():
         whole = F.coalesce(F.get(fields, F.lit(index)), F.lit(""))
         for name, component in columns.items():
             value = whole if component is None else F.coalesce(F.get(F.split(whole, r"\^"), F.lit(component)), F.lit(""))
-            out[name] = F.when(segment.isNotNull(), value)
+            out[name] = F.when(fields.isNotNull(), value)
     return out
 
 
@@ -105,30 +104,34 @@ def _struct(segment: Column, spec: dict, **more: Column) -> Column:
     return F.struct(*[c.alias(n) for n, c in {**more, **parse_segment(segment, spec)}.items()])
 
 
+def _is(fields: Column, name: str) -> Column:
+    return F.get(fields, F.lit(0)).startswith(name)
+
+
 def _segments(name: str, source: str = "_segments") -> Column:
-    return F.filter(F.col(source), lambda s: s.startswith(name))
+    return F.filter(F.col(source), lambda s: _is(s, name))
 
 
 def _resource(s: Column) -> Column:
     names = list(dict.fromkeys(n for _, spec in RESOURCES.values() for n in _names(spec)))
     parsed = {seg: parse_segment(s, spec) for seg, (_, spec) in RESOURCES.items()}
-    pick = lambda f: F.coalesce(*[F.when(s.startswith(seg), f(seg)) for seg in RESOURCES])
+    pick = lambda f: F.coalesce(*[F.when(_is(s, seg), f(seg)) for seg in RESOURCES])
     null = F.lit(None).cast("string")
     return F.struct(pick(lambda seg: F.lit(RESOURCES[seg][0])).alias("resource_type"), *[pick(lambda seg, n=n: parsed[seg].get(n, null)).alias(n) for n in names])
 
 
 def _vaccinations() -> Column:
     """ORC opens a record, RXA fills the open one (or opens one), a second RXA replaces the first, RXR needs an open one."""
-    kind = "array<struct<orc:string,rxa:string,rxr:string>>"
-    null = F.lit(None).cast("string")
+    kind = "array<struct<orc:array<string>,rxa:array<string>,rxr:array<string>>>"
+    null = F.lit(None).cast("array<string>")
     record = lambda orc, rxa, rxr: F.array(F.struct(orc.alias("orc"), rxa.alias("rxa"), rxr.alias("rxr")))
 
     def step(acc: Column, s: Column) -> Column:
         last, head = F.try_element_at(acc, F.lit(-1)), F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
         return (
-            F.when(s.startswith("ORC"), F.concat(acc, record(s, null, null)))
-            .when(s.startswith("RXA"), F.concat(head, record(last["orc"], s, last["rxr"])))
-            .when(s.startswith("RXR") & (F.size(acc) > 0), F.concat(head, record(last["orc"], last["rxa"], s)))
+            F.when(_is(s, "ORC"), F.concat(acc, record(s, null, null)))
+            .when(_is(s, "RXA"), F.concat(head, record(last["orc"], s, last["rxr"])))
+            .when(_is(s, "RXR") & (F.size(acc) > 0), F.concat(head, record(last["orc"], last["rxa"], s)))
             .otherwise(acc)
         )
 
@@ -140,17 +143,17 @@ def parse(messages: DataFrame, message: str = "message") -> DataFrame:
     """Add every parse column to rows with one message each. A message that doesn't begin with MSH gets a parse error."""
     m = F.col(message)
     valid = F.coalesce(F.ltrim(m).startswith("MSH"), F.lit(False))
-    out = messages.withColumn("_segments", F.when(valid, F.split(m, "\n")))
+    out = messages.withColumn("_segments", F.when(valid, F.transform(F.split(m, "\n"), lambda s: F.split(s, r"\|"))))
     first = lambda name: F.get(_segments(name), F.lit(0))
     last = lambda name: F.try_element_at(_segments(name), F.lit(-1))
     out = out.withColumns({f"_{n}": c for n, c in {"MSH": first("MSH"), "PID": first("PID"), "EVN": last("EVN"), "PV1": last("PV1"), "ORC": last("ORC"), "OBR": last("OBR"), "SCH": last("SCH")}.items()})
     columns: dict[str, Column] = {}
     for name, spec in (("MSH", MSH), ("PID", PID), ("EVN", EVN), ("PV1", PV1), ("ORC", ORC), ("OBR", OBR), ("SCH", SCH)):
         columns |= parse_segment(F.col(f"_{name}"), spec)
-    result_filler = F.coalesce(F.get(F.split("_OBR", r"\|"), F.lit(3)), F.lit(""))
+    result_filler = F.coalesce(F.get("_OBR", F.lit(3)), F.lit(""))
     columns["filler_order_number"] = F.when((columns["message_type"] == "ORU") & F.col("_OBR").isNotNull(), result_filler).otherwise(columns["filler_order_number"])
     columns["observations"] = F.transform(_segments("OBX"), lambda s: _struct(s, OBX))
-    columns["resources"] = F.transform(F.filter("_segments", lambda s: F.substring(s, 1, 3).isin(list(RESOURCES))), _resource)
+    columns["resources"] = F.transform(F.filter("_segments", lambda s: F.substring(F.get(s, F.lit(0)), 1, 3).isin(list(RESOURCES))), _resource)
     columns["vaccinations"] = F.when(columns["message_type"] == "VXU", _vaccinations())
     columns["_raw_message"] = F.substring(m, 1, RAW_CHARS)
     columns["_parse_error"] = F.when(~valid, "message does not begin with MSH")
