@@ -6,6 +6,8 @@ of ``from_json`` structs. Nothing here leaves the JVM.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,13 +49,27 @@ SCHEMAS = {
 TYPE_OF = {"patient": "Patient", "observation": "Observation", "encounter": "Encounter", "condition": "Condition", "medication_request": "MedicationRequest", "immunization": "Immunization"}
 
 
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body applied to a value that is evaluated once, however often body reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def bundle_entries(json: Column) -> Column:
-    """The resources of a bundle; [] for a blank text; the text itself if it is no bundle or has no usable entry."""
-    v = F.try_parse_json(json)
-    entries = F.try_variant_get(v, "$.entry", "array<variant>")
-    resources = F.filter(F.transform(entries, lambda e: F.to_json(F.try_variant_get(e, "$.resource", "variant"))), lambda r: r.isNotNull() & (r != "null"))
-    is_bundle = F.try_variant_get(v, "$.resourceType", "string") == "Bundle"
-    return F.when(F.coalesce(F.trim(json), F.lit("")) == "", F.array().cast("array<string>")).when(is_bundle & (F.size(resources) > 0), resources).otherwise(F.array(json))
+    """The resources of a bundle; [] for a blank text; the text itself if it is no bundle or has no usable entry.
+
+    Only texts that mention a bundle are parsed.
+    """
+
+    def resources(v: Column) -> Column:
+        entries = F.try_variant_get(v, "$.entry", "array<variant>")
+        found = F.filter(F.transform(entries, lambda e: F.to_json(F.try_variant_get(e, "$.resource", "variant"))), lambda r: r.isNotNull() & (r != "null"))
+        return F.when(F.try_variant_get(v, "$.resourceType", "string") == "Bundle", found)
+
+    def usable(found: Column) -> Column:
+        return F.when(F.size(found) > 0, found).otherwise(F.array(json))
+
+    unpacked = _bind(_bind(F.try_parse_json(json), resources), usable)
+    return F.when(F.coalesce(F.trim(json), F.lit("")) == "", F.array().cast("array<string>")).when(json.rlike(r"Bundle|\\u00"), unpacked).otherwise(F.array(json))
 
 
 def _missing(v: Column, name: str) -> Column:
@@ -64,18 +80,28 @@ def _missing(v: Column, name: str) -> Column:
 
 def validate(json: Column) -> Column:
     """A struct: is_valid, resource_type, resource_id, meta_version_id, meta_last_updated, validation_errors, warnings."""
-    v = F.try_parse_json(json)
-    kind = F.try_variant_get(v, "$.resourceType", "string")
-    errors = [
-        F.when(F.coalesce(F.trim(json), F.lit("")) == "", "empty resource").when(v.isNull(), "malformed JSON").when(_missing(v, "resourceType"), "missing resourceType"),
-        *[F.when((kind == t) & _missing(v, f), f"{t}: missing required field {f}") for t, fields in REQUIRED.items() for f in fields],
-        *[F.when((kind == t) & _missing(v, a) & _missing(v, b), f"{t}: missing {a} or {b}") for t, (a, b) in CHOICES.items()],
-    ]
-    found = F.array_compact(F.array(*errors))
-    return F.struct(
-        (F.size(found) == 0).alias("is_valid"), kind.alias("resource_type"), F.try_variant_get(v, "$.id", "string").alias("resource_id"), F.try_variant_get(v, "$.meta.versionId", "string").alias("meta_version_id"),
-        F.try_to_timestamp(F.try_variant_get(v, "$.meta.lastUpdated", "string")).alias("meta_last_updated"), found.alias("validation_errors"), F.array_compact(F.array(F.when(~kind.isin(KNOWN_TYPES), F.concat(F.lit("unknown type "), kind)))).alias("warnings"),
-    )
+
+    def errors(v: Column, kind: Column) -> Column:
+        basic = F.when(F.coalesce(F.trim(json), F.lit("")) == "", "empty resource").when(v.isNull(), "malformed JSON").when(_missing(v, "resourceType"), "missing resourceType")
+        of_type = F.array().cast("array<string>")
+        for t, fields in REQUIRED.items():
+            checks = [F.when(_missing(v, f), f"{t}: missing required field {f}") for f in fields]
+            if t in CHOICES:
+                a, b = CHOICES[t]
+                checks.append(F.when(_missing(v, a) & _missing(v, b), f"{t}: missing {a} or {b}"))
+            of_type = F.when(kind == t, F.array(*checks)).otherwise(of_type)
+        return F.array_compact(F.concat(F.array(basic), of_type))
+
+    def checked(v: Column, kind: Column) -> Column:
+        found = errors(v, kind)
+        return F.struct(
+            kind.alias("resource_type"), F.try_variant_get(v, "$.id", "string").alias("resource_id"), F.try_variant_get(v, "$.meta.versionId", "string").alias("meta_version_id"),
+            F.try_to_timestamp(F.try_variant_get(v, "$.meta.lastUpdated", "string")).alias("meta_last_updated"), found.alias("validation_errors"), F.array_compact(F.array(F.when(~kind.isin(KNOWN_TYPES), F.concat(F.lit("unknown type "), kind)))).alias("warnings"),
+        )
+
+    typed = lambda v: _bind(F.try_variant_get(v, "$.resourceType", "string"), lambda kind: checked(v, kind))
+    valid = lambda s: F.struct((F.size(s["validation_errors"]) == 0).alias("is_valid"), *[s[n].alias(n) for n in ("resource_type", "resource_id", "meta_version_id", "meta_last_updated", "validation_errors", "warnings")])
+    return _bind(_bind(F.try_parse_json(json), typed), valid)
 
 
 def bronze(lines: DataFrame, value: str = "value") -> DataFrame:
