@@ -94,3 +94,20 @@ def test_learning_gives_rows(spark, name):
 
     rows = catalog.QUERIES[name](spark, SF).collect()
     assert rows and all(v is not None and v == v for r in rows for v in r)
+
+
+def test_message_tables(spark, tmp_path):
+    from lodestream.clinical import message_tables
+
+    header = lambda kind, control: f"MSH|^~\\&|A|F|R|RF|20240101||{kind}|{control}|P|2.5"
+    file = "\r".join([
+        header("ADT^A01", "1"), "PID|1||7^^^H^MR", header("ORU^R01", "2"), "PID|1||8", "OBR|1|p|f|80053^panel", "OBX|1|NM|a^b||5", "OBX|2|NM|c^d||6", header("SIU^S12", "3"), "SCH|s", header("VXU^V04", "4"), "RXA|0|1|20240101||03^MMR",
+        header("ORM^O01", "5"), "ORC|NW|9", header("ORU^R01", ""),
+    ])
+    files_in = spark.createDataFrame([("PID|no header\n" + file, "f1"), (None, "f2"), ("", "f3")], "value string, _source_file string")
+    tables = message_tables.write_tables(files_in, str(tmp_path / "m"))
+    counts = {n: t.count() for n, t in tables.items()}
+    assert counts == {"raw": 7, "quarantine": 2, "adt": 1, "orm": 1, "oru": 1, "oru_observations": 2, "siu": 1, "siu_resources": 0, "vxu": 1, "vxu_vaccinations": 1}
+    assert [r["cvx_code"] for r in tables["vxu_vaccinations"].collect()] == ["03"]
+    broken = {(r["table"], r["expectation"]): r["broken"] for r in message_tables.expectation_metrics(tables).collect()}
+    assert broken["ORU", "observations"] == 0 and broken["VXU", "patient_id"] == 1 and broken["ADT", "patient_id"] == 0
