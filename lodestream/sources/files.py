@@ -41,3 +41,9 @@ def open_stream(spark: SparkSession, kind: str, **where: str) -> DataFrame:
     if kind == "files":
         return text_files(spark, stream=True, **where)
     raise ValueError(f"unknown source {kind!r}; kafka or files")
+
+
+def libsvm(spark: SparkSession, path: str, features: int | None = None) -> DataFrame:
+    """Labels and sparse vectors. Without the number of features Spark scans the files once more to find it."""
+    reader = spark.read.format("libsvm")
+    return (reader.option("numFeatures", features) if features else reader).load(path)

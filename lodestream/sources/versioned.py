@@ -34,3 +34,31 @@ def write(df: DataFrame, path: str) -> int:
     number = max(versions(df.sparkSession, path), default=-1) + 1
     df.write.parquet(f"{path}/_v={number}")
     return number
+
+
+def evolve(df: DataFrame, path: str, mode: str = "overwrite") -> int:
+    """Write a version whose columns are those of the last version and of df: new ones are null in old rows, and the reverse."""
+    spark = df.sparkSession
+    if not versions(spark, path):
+        return write(df, path)
+    old = read(spark, path)
+    kept = old if mode == "append" else old.limit(0)
+    return write(kept.unionByName(df, allowMissingColumns=True), path)
+
+
+def compact(spark: SparkSession, path: str, cluster_by: list[str], partitions: int) -> int:
+    """The latest version rewritten into fewer files, sorted by the clustering columns, as a new version with the same rows."""
+    return write(read(spark, path).repartitionByRange(partitions, *cluster_by).sortWithinPartitions(*cluster_by), path)
+
+
+def history(spark: SparkSession, path: str) -> DataFrame:
+    """One row a version: its number, files, bytes and time of its success marker."""
+    jvm = spark._jvm
+    rows = []
+    for number in versions(spark, path):
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/_v={number}")
+        fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        summary = fs.getContentSummary(folder)
+        marker = fs.getFileStatus(jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS"))
+        rows.append((number, summary.getFileCount(), summary.getLength(), marker.getModificationTime()))
+    return spark.createDataFrame(rows, "version int, n_files long, n_bytes long, ms long").selectExpr("version", "n_files", "n_bytes", "timestamp_millis(ms) as written_at")

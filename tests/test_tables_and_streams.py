@@ -111,3 +111,20 @@ def test_message_tables(spark, tmp_path):
     assert [r["cvx_code"] for r in tables["vxu_vaccinations"].collect()] == ["03"]
     broken = {(r["table"], r["expectation"]): r["broken"] for r in message_tables.expectation_metrics(tables).collect()}
     assert broken["ORU", "observations"] == 0 and broken["VXU", "patient_id"] == 1 and broken["ADT", "patient_id"] == 0
+
+
+def test_versions_evolve_and_compact(spark, tmp_path):
+    path = str(tmp_path / "t")
+    versioned.evolve(spark.createDataFrame([(1, "a")], "k int, v string"), path)
+    versioned.evolve(spark.createDataFrame([(2, 5)], "k int, net int"), path, "append")
+    versioned.compact(spark, path, ["k"], 1)
+    assert sorted(map(tuple, versioned.read(spark, path).select("k", "v", "net").collect())) == [(1, "a", None), (2, None, 5)]
+    assert [r["version"] for r in versioned.history(spark, path).collect()] == [0, 1, 2]
+    versioned.evolve(spark.createDataFrame([(3,)], "k int"), path)
+    assert [tuple(r) for r in versioned.read(spark, path).select("k", "v", "net").collect()] == [(3, None, None)]
+
+
+def test_libsvm(spark, tmp_path):
+    (tmp_path / "d.txt").write_text("1 1:0.5 3:2\n0 2:1\n")
+    rows = files.libsvm(spark, str(tmp_path / "d.txt"), 3).collect()
+    assert [(r["label"], r["features"].toArray().tolist()) for r in rows] == [(1.0, [0.5, 0.0, 2.0]), (0.0, [0.0, 1.0, 0.0])]
