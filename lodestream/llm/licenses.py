@@ -1,10 +1,11 @@
 """Licence scan by a positional rare-token index, on DataFrame functions only.
 
 Templates are short licence statements. Their words form an index of postings (template, position). For each text the
-licence words with the highest inverse document frequency, measured over the whole table, are looked up; each
-occurrence votes for (template, place of the template in the text); the votes of one template are summed by place, so
-only words at the right distance from each other add up. A template counts as found when its best place reaches
-``MIN_MATCH`` of the template's weight and its key phrases stand in the text word for word.
+licence words with the highest inverse document frequency, measured over the whole table, are looked up, and so are the
+rarest words of every template whose key phrases stand in the text, so that no licence hides another. Each occurrence
+votes for (template, place of the template in the text); the votes of one template are summed by place, so only words
+at the right distance from each other add up. A template counts as found when its best place reaches ``MIN_MATCH`` of
+the template's weight and its key phrases stand in the text word for word.
 
 Everything is local to a row but the document frequencies, which are one map-side sum over a fixed vocabulary.
 
@@ -122,15 +123,18 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     occ = F.col("occurrences")
     chosen = F.slice(F.sort_array(F.array_distinct(F.transform(occ, lambda o: F.element_at(ranks, o["w"])))), 1, LOOKED_UP)
     out = indexed.withColumn("chosen", F.when(F.size("occurrences") > 0, chosen))
-    used = F.filter(occ, lambda o: F.array_contains(F.col("chosen"), F.element_at(ranks, o["w"])))
+    verified = [F.array_size(F.array_intersect(F.col("phrases"), F.array(*map(F.lit, phrases)))) == len(set(phrases)) for _, _, phrases in TEMPLATES]
+    own = [sorted({rank[w] for w in statement.split() if w in POSTINGS})[:LOOKED_UP] for _, statement, _ in TEMPLATES]
+    more = F.flatten(F.array(*[F.when(v, F.array(*map(F.lit, ranked))).otherwise(F.array().cast("array<int>")) for v, ranked in zip(verified, own, strict=True)]))
+    out = out.withColumn("looked_up", F.array_union("chosen", more))
+    used = F.filter(occ, lambda o: F.array_contains(F.col("looked_up"), F.element_at(ranks, o["w"])))
     votes = F.flatten(F.transform(used, lambda o: F.transform(F.element_at(postings, o["w"]), lambda p: F.struct(p["t"].alias("t"), (o["i"] - p["p"]).alias("at"), p["weight"].alias("weight")))))
     out = out.withColumn("votes", F.when(F.size("chosen") > 0, votes))
     found = []
-    for t, (label, statement, phrases) in enumerate(TEMPLATES):
+    for t, (label, statement, _) in enumerate(TEMPLATES):
         weight = sum(sorted((idf[w] for w in statement.split() if w in POSTINGS), reverse=True)[:LOOKED_UP])
         share = F.least(_best_place(F.col("votes"), t) / weight, F.lit(1.0))
-        verified = F.array_size(F.array_intersect(F.col("phrases"), F.array(*map(F.lit, phrases)))) == len(set(phrases))
-        found.append(F.when(F.col("votes").isNotNull() & verified & (share >= MIN_MATCH), F.struct(F.lit(label).alias("label"), share.alias("share"))))
+        found.append(F.when(F.col("votes").isNotNull() & verified[t] & (share >= MIN_MATCH), F.struct(F.lit(label).alias("label"), share.alias("share"))))
     out = out.withColumn("found", F.array_compact(F.array(*found)))
     labels = lambda a: F.array_join(F.sort_array(F.array_distinct(a)), ",")
     none = F.array().cast("array<string>")

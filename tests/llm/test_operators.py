@@ -121,6 +121,17 @@ def test_licence_templates(edge):
     assert "mit" in labels[17] and labels[8] == [""] and {"cc-by", "gpl", "reserved"} <= set(labels[16])
 
 
+def test_licences_together(spark):
+    """A text with several licences has the labels of all of them, however rare the words of the others are."""
+    alone = [(f"See {k}. " + statement, label) for k, (label, statement, _) in enumerate(licenses.TEMPLATES)]
+    whole = [(WORDS[k] + " " + " and ".join(t for t, _ in alone[k : k + n]), {x for _, x in alone[k : k + n]}) for n in (2, 3, 4, len(alone)) for k in range(len(alone) - n + 1)]
+    texts = alone + whole + [(prose(30), "")] * 200
+    labels = {r["doc_id"]: set(r["labels"].split(",")) for r in licenses.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")).collect()}
+    assert all(label in labels[i] for i, (_, label) in enumerate(alone))
+    for i, (_, want) in enumerate(whole, len(alone)):
+        assert want <= labels[i]
+
+
 def test_pii_permutation_and_links(spark):
     df = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 5, "0").alias("d"))
     out = df.select("d", pii.permute_digits(F.col("d"), "k", F.lit("t")).alias("e")).select("d", "e", pii.permute_digits(F.col("e"), "k", F.lit("t"), inverse=True).alias("b")).collect()
