@@ -4,7 +4,10 @@ Found and validated values are replaced by keyed pseudonyms of the same format.
 network: the value is split in two parts, and ten rounds add a keyed hash of one part to the other, modulo that part's
 range. That is a permutation of the values of a format, so equal values stay equal in every document, different ones
 stay different, and who holds the key can invert it. Mail addresses and secrets, whose formats have no fixed size, get
-keyed hashes in their own alphabet.
+keyed hashes in their own alphabet. A secret behind a name and = is found in any case of the name, with or without
+blanks and quotes, which stay; quotes may hold blanks, in up to 256 characters. If the secret is a value of another kind
+it gets the pseudonym of that kind, so it stays linked to its other places. An upper-case hex key stays upper-case, with
+the pseudonym of its lower-case form.
 
 Validation: card numbers by their check digit (13 to 19 digits, kept valid), IPv4 by octets up to 255, dates by the
 calendar, 1900-01-01 to 2099-11-12 (kept valid), telephone numbers by their grouping, SSN by its reserved ranges.
@@ -25,12 +28,15 @@ from lodestream.llm.common import fresh_name
 
 ROUNDS = 10
 
+#: What stands before a secret.
+NAMED = r"(?i:password|passwd|pwd|secret|api_key|token)[ \t]*+=++>?+[ \t]*+"
+
 #: Formats by kind. The order decides which one takes a place that two could take.
 PATTERNS = {
     "email": r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w-])",
     "awskey": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "password": r"(?<![A-Za-z0-9])(?:password|passwd|pwd|secret|api_key|token)=[^\s,;]+",
-    "hexkey": r"(?<![0-9A-Za-z])[0-9a-f]{40}(?![0-9A-Za-z])",
+    "password": rf"""(?<![A-Za-z0-9]){NAMED}(?!(?:""|'')(?![^\s,;]))(?:(?:"[^"\n]{{1,256}}"|'[^'\n]{{1,256}}')(?:[A-Za-z0-9][^\s,;]*)?|[^\s,;]+)""",
+    "hexkey": r"(?<![0-9A-Za-z])[0-9A-Fa-f]{40}(?![0-9A-Za-z])",
     "ipv4": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "isodate": r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])",
     "dmydate": r"(?<![0-9/.])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9/])",
@@ -40,7 +46,7 @@ PATTERNS = {
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Cheap test that spares most texts the patterns above.
-MAYBE = r"@|[0-9]{2}|[0-9]\.[0-9]|AKIA|(?:password|passwd|pwd|secret|api_key|token)="
+MAYBE = rf"@|[0-9]{{2}}|[0-9]\.[0-9]|AKIA|[0-9A-Fa-f]{{40}}|{NAMED}"
 
 
 def keyed(key: str, *parts: Column) -> Column:
@@ -100,8 +106,26 @@ def _hexlike(key: str, kind: str, value: Column, n: Column) -> Column:
     return F.substr(F.concat(F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit(kind), value), 256), F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit(kind + "2"), value), 256)), F.lit(1), n)
 
 
+def _opened(v: Column) -> Column:
+    """A struct (head, inner, tail) of a match: the name, = and quotes around a secret, which are empty for other kinds."""
+    secret = v.rlike(f"^(?:{PATTERNS['password']})$")
+    head = F.when(secret, F.regexp_extract(v, f"^{NAMED}[\"']*", 0)).otherwise(F.lit(""))
+    split = lambda h: F.struct(h.alias("head"), F.substr(v, F.length(h) + 1, F.length(v)).alias("rest"))
+    tail = lambda x: F.when(x["head"].rlike("[\"']$"), F.regexp_extract(x["rest"], "[\"']*$", 0)).otherwise(F.lit(""))
+    ended = F.transform(F.transform(F.array(head), split), lambda x: F.struct(x["head"].alias("head"), x["rest"].alias("rest"), tail(x).alias("tail")))
+    return F.get(F.transform(ended, lambda x: F.struct(x["head"].alias("head"), F.substr(x["rest"], F.lit(1), F.length(x["rest"]) - F.length(x["tail"])).alias("inner"), x["tail"].alias("tail"))), F.lit(0))
+
+
+def _replacement(x: Column, key: str) -> Column:
+    """A struct (kind, value) for a match in its parts: a secret that is of no other kind gets a hash of its name and itself."""
+    name = F.lower(F.regexp_extract(x["head"], "^[A-Za-z_]+", 0))
+    secret = _hexlike(key, "password", F.concat(name, F.lit("="), x["inner"]), F.least(F.length(x["inner"]), F.lit(64)))
+    hidden = F.when((x["head"] != "") & (x["inner"] != "") & x["m"]["kind"].isNull(), F.struct(F.lit("password").alias("kind"), secret.alias("value"))).otherwise(x["m"])
+    return F.get(F.transform(F.array(hidden), lambda m: F.struct(m["kind"].alias("kind"), F.concat(x["head"], m["value"], x["tail"]).alias("value"))), F.lit(0))
+
+
 def _pseudonym(v: Column, key: str) -> Column:
-    """A struct (kind, value) for a match: its pseudonym, or kind null and the match itself where it doesn't validate."""
+    """A struct (kind, value) for a value: its pseudonym, or kind null and the value itself where it doesn't validate."""
     digits = F.regexp_replace(v, "[^0-9]", "")
     n = F.length(digits)
     full = {k: f"^(?:{p})$" for k, p in PATTERNS.items()}
@@ -111,8 +135,7 @@ def _pseudonym(v: Column, key: str) -> Column:
     user = F.substring_index(v, "@", 1)
     mail = F.concat(F.lit("u"), _hexlike(key, "email", F.lower(v), F.least(F.greatest(F.length(user), F.lit(12)), F.lit(24))), F.lit("@"), _hexlike(key, "domain", F.lower(F.substring_index(v, "@", -1)), F.lit(8)), F.lit(".invalid"))
     aws = F.concat(F.lit("AKIA"), F.upper(_hexlike(key, "awskey", v, F.lit(16))))
-    name = F.substring_index(v, "=", 1)
-    secret = F.concat(name, F.lit("="), _hexlike(key, "password", v, F.least(F.length(v) - F.length(name) - 1, F.lit(64))))
+    hexkey = _hexlike(key, "hexkey", F.lower(v), F.lit(40))
     octets = F.transform(F.split(v, r"\."), lambda x: F.try_to_number(x, F.lit("999")).cast("long"))
     ip = F.get(
         F.transform(
@@ -132,8 +155,7 @@ def _pseudonym(v: Column, key: str) -> Column:
     return (
         F.when(v.rlike(full["email"]), put("email", mail))
         .when(v.rlike(full["awskey"]), put("awskey", aws))
-        .when(v.rlike(full["password"]), put("password", secret))
-        .when(v.rlike(full["hexkey"]), put("hexkey", _hexlike(key, "hexkey", v, F.lit(40))))
+        .when(v.rlike(full["hexkey"]), put("hexkey", F.when(v.rlike("[A-F]") & ~v.rlike("[a-f]"), F.upper(hexkey)).otherwise(hexkey)))
         .when(v.rlike(full["ipv4"]), F.when(F.array_max(octets) <= 255, put("ipv4", ip)).otherwise(keep))
         .when(v.rlike(full["isodate"]), F.when(in_range(iso), put("date", F.date_format(_permute_date(iso, key), "yyyy-MM-dd"))).otherwise(keep))
         .when(v.rlike(full["dmydate"]), F.when(in_range(dmy), put("date", F.date_format(_permute_date(dmy, key), "dd/MM/yyyy"))).otherwise(keep))
@@ -146,7 +168,9 @@ def _pseudonym(v: Column, key: str) -> Column:
 
 def pseudonymize(text: Column, key: str) -> tuple[Column, Callable[[Column], Column]]:
     """The pieces of a text, and how to join them: an array of structs (before, kind, value), null for a null text."""
-    matches = F.concat(F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda v: _pseudonym(v, key)), F.array(F.struct(F.lit(None).cast("string").alias("kind"), F.lit("").alias("value"))))
+    opened = F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), _opened)
+    made = F.transform(opened, lambda x: F.struct(x["head"].alias("head"), x["inner"].alias("inner"), x["tail"].alias("tail"), _pseudonym(x["inner"], key).alias("m")))
+    matches = F.concat(F.transform(made, lambda x: _replacement(x, key)), F.array(F.struct(F.lit(None).cast("string").alias("kind"), F.lit("").alias("value"))))
     parts = F.zip_with(F.split(text, ANY, -1), matches, lambda before, m: F.struct(before.alias("before"), m["kind"].alias("kind"), m["value"].alias("value")))
     return F.when(text.rlike(MAYBE), parts), lambda p: F.array_join(F.transform(p, lambda x: F.concat(x["before"], x["value"])), "")
 

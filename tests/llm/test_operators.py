@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -147,6 +148,19 @@ def test_pii_permutation_and_links(spark):
     assert "10.0.0.300" in got[6]["text"] and not any(x in got[6]["text"] for x in ("Ann.B", "123-45-6789", "10.0.0.7", "123-4567")) and got[6]["kinds"] == "email,ipv4,phone,ssn"
 
 
+def test_pii_secrets_in_any_form(spark):
+    low = "9233a8ecf7c5b09fe5949719b6b82bc439e9329b"
+    hidden = ["hunter2", "two words", low, low.upper(), "x" * 5000]
+    texts = [f'TOKEN = "{low.upper()}"!! TIINST', f'token = "{low}" and more', f"key {low.upper()}.", f"key {low}", "Password=hunter2", "password=hunter2", "PWD = 'two words', next", 'api_key\t=\t"hunter2".', f"secret == {'x' * 5000} end", 'token = ""', "a secret = \n", "a token of thanks"]
+    got = [r for r in sorted(pii.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect())]
+    out = [r["text"] for r in got]
+    assert not any(x in t for t in out for x in hidden) and out[9:] == texts[9:] and [r["n_values"] for r in got] == [1] * 9 + [0] * 3
+    assert [r["kinds"] for r in got[:9]] == ["hexkey"] * 4 + ["password"] * 5
+    new = out[3][4:]
+    assert re.fullmatch("[0-9a-f]{40}", new) and out[:3] == [f'TOKEN = "{new.upper()}"!! TIINST', f'token = "{new}" and more', f"key {new.upper()}."]
+    assert out[4].lower() == out[5] and re.fullmatch("PWD = '[0-9a-f]{9}', next", out[6]) and re.fullmatch('api_key\t=\t"[0-9a-f]{7}"\\.', out[7]) and re.fullmatch("secret == [0-9a-f]{64} end", out[8])
+
+
 def test_pii_keeps_columns(edge):
     assert pii.pseudonymize_column(edge, "text", "k").columns == edge.columns
     assert collected(pii.pseudonymize_column(edge, "text", "k"), "doc_id", "text") == sorted(EDGE, key=repr)
