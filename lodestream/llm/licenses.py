@@ -1,11 +1,13 @@
 """Licence scan by a positional rare-token index, on DataFrame functions only.
 
-Templates are short licence statements. Their words form an index of postings (template, position). For each text the
-licence words with the highest inverse document frequency, measured over the whole table, are looked up, and so are the
-rarest words of every template whose key phrases stand in the text, so that no licence hides another. Each occurrence
-votes for (template, place of the template in the text); the votes of one template are summed by place, so only words
-at the right distance from each other add up. A template counts as found when its best place reaches ``MIN_MATCH`` of
-the template's weight and its key phrases stand in the text word for word.
+Templates are licence notices. Their words form an index of postings (template, position); a template's rarest words
+are its ``LOOKED_UP`` words of highest inverse document frequency, measured over the whole table. For each text the
+rarest licence words are looked up, and so are the rarest words of every template whose key phrases stand in the text,
+so no licence hides another. Each occurrence of one of a template's rarest words votes for (template, place of the
+template in the text); the votes of one template are summed by place, so only words at the right distance from each
+other add up. A template counts as found when its best place reaches ``MIN_MATCH`` of the weight of all its votes and
+its key phrases stand in the text word for word. ``score`` is the best such share, at least 0.5 where a base label
+stands, to six places.
 
 Everything is local to a row but the document frequencies, which are one map-side sum over a fixed vocabulary.
 
@@ -15,6 +17,9 @@ Defined cases: a null text is an empty one, with no words, no places and no labe
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,35 +28,52 @@ from lodestream.llm.common import ascii_lower, materialize
 #: Phrases and the labels they give on their own.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Label, statement in lower-case words, phrases that must stand in the text.
+#: Label, notice in lower-case words, phrases must stand in the text.
 TEMPLATES = (
     ("apache-2.0", "licensed under the apache license version 2 0", ("apache license", "version 2 0")),
+    ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", ("apache org licenses license 2 0", "except in compliance with the license")),
+    ("bsd-2-clause", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ("redistributions of source code must retain the above copyright notice", "redistributions in binary form must reproduce the above copyright notice")),
     ("bsd-3-clause", "redistribution and use in source and binary forms with or without modification are permitted", ("redistribution and use in source and binary forms",)),
+    ("bsd-3-clause", "may be used to endorse or promote products derived from this software without specific prior written permission", ("endorse or promote products derived from this software",)),
+    ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ("any person or organization obtaining a copy of the software",)),
     ("cc-by-4.0", "licensed under cc by 4 0", ("cc by 4 0",)),
+    ("cc-by-4.0", "this work is licensed under the creative commons attribution 4 0 international license", ("creative commons attribution 4 0 international",)),
     ("cc-by-nc-4.0", "licensed under cc by nc 4 0", ("cc by nc 4 0",)),
+    ("cc-by-nc-4.0", "this work is licensed under the creative commons attribution noncommercial 4 0 international license", ("creative commons attribution noncommercial 4 0 international",)),
     ("cc-by-sa-4.0", "licensed under cc by sa 4 0", ("cc by sa 4 0",)),
+    ("cc-by-sa-4.0", "this work is licensed under the creative commons attribution sharealike 4 0 international license", ("creative commons attribution sharealike 4 0 international",)),
+    ("cc0-1.0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ("waived all copyright and related or neighboring rights",)),
+    ("agpl-3.0", "it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or", ("gnu affero general public license", "version 3")),
     ("gpl-3.0", "licensed under the gnu general public license version 3", ("gnu general public license", "version 3")),
+    ("gpl-3.0", "it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or", ("gnu general public license as published", "either version 3 of the license")),
     ("gpl-2.0", "licensed under the gnu general public license version 2", ("gnu general public license", "version 2")),
+    ("gpl-2.0", "it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or", ("gnu general public license as published", "either version 2 of the license")),
+    ("lgpl-2.1", "modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or", ("gnu lesser general public license", "version 2 1")),
+    ("lgpl-3.0", "it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or", ("gnu lesser general public license", "version 3")),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided the above copyright notice and this permission notice appear in all copies", ("permission to use copy modify and or distribute this software for any purpose",)),
     ("mit", "released under the mit license", ("mit license",)),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", ("permission is hereby granted free of charge",)),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", ("permission is hereby granted free of charge to any person obtaining a copy of this software", "to deal in the software without restriction")),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", ("permission is hereby granted free of charge to any person obtaining a copy of this software",)),
     ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software", ("free and unencumbered software released into the public domain",)),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ("in no event will the authors be held liable for any damages arising from the use of this software",)),
 )
 
 #: Words too common in any prose to be worth a posting.
-COMMON = {"the", "of", "a", "to", "in", "is", "and", "or", "by", "with", "this", "are", "any", "use", "all", "under", "work", "2", "0", "3", "4", "v"}
+COMMON = set(
+    "a above accompanying all an and any anyone are as at be by copies copy do either event except file files following for form forms free from held http in including is it kind law may must no not of on or org other our person possible provided related required source terms that has into used under the this to unless use v want what will with without work writing written www you 0 1 2 3 4".split()
+)
 LOOKED_UP = 8
 MIN_MATCH = 0.6
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+#: word -> (template, position of the word in it)
 POSTINGS: dict[str, list[tuple[int, int]]] = {}
 for _t, (_, _statement, _) in enumerate(TEMPLATES):
     for _p, _w in enumerate(_statement.split()):
         if _w not in COMMON:
             POSTINGS.setdefault(_w, []).append((_t, _p))
 
-#: A text without any of these words has neither a base phrase nor a template's posting.
-ANCHORS = sorted(set(POSTINGS) | {"cc", "general", "reserved"})
-
 
 def normalized(text: Column) -> Column:
     """The words of a text in lower-case A-Z, joined by single spaces."""
@@ -64,39 +86,39 @@ def _places(words: Column, phrase: str) -> Column:
     return F.filter(here, lambda i: F.array_join(F.slice(words, i + 1, len(parts)), " ") == phrase)
 
 
-def _holds(norm: Column, phrase: str) -> Column:
-    return F.concat(F.lit(" "), norm, F.lit(" ")).contains(f" {phrase} ")
+def _holds(phrase: str) -> Column:
+    return F.col("padded").contains(f" {phrase} ")
 
 
 def index_occurrences(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """One scan: key, n_words, base places and labels, occurrences of licence words, and the key phrases that hold."""
+    """One scan: key, n_words, base places and labels, occurrences of licence words, and the key phrases hold."""
     out = docs.select(F.col(key).alias("key"), normalized(F.col(text)).alias("norm"))
-    out = out.withColumn("anchored", F.col("norm").rlike(f"(?<![^ ])(?:{'|'.join(ANCHORS)})(?![^ ])"))
-    norm = F.col("norm")
+    norm, words = F.col("norm"), F.col("words")
     n = F.when(norm == "", F.lit(0)).otherwise(F.length(norm) - F.length(F.replace(norm, F.lit(" "), F.lit(""))) + 1).cast("long")
-    out = out.select("key", "norm", n.alias("n_words"), F.when(F.col("anchored"), F.split("norm", " ")).alias("words"))
-    words = F.col("words")
-    places = {label: _places(words, phrase) for phrase, label in BASE.items()}
-    occurrences = F.filter(F.transform(words, lambda w, i: F.when(w.isin(sorted(POSTINGS)), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull())
+    listed = ", ".join(f"'{w}'" for w in sorted(POSTINGS))
+    occurrences = F.expr(f"filter(transform(words, (w, i) -> if(w in ({listed}), named_struct('w', w, 'i', i), null)), x -> x is not null)")
+    out = out.select("key", "norm", n.alias("n_words"), F.split("norm", " ").alias("words")).select("*", occurrences.alias("occurrences"), F.concat(F.lit(" "), norm, F.lit(" ")).alias("padded"))
+    places = {label: F.when(_holds(phrase), _places(words, phrase)) for phrase, label in BASE.items()}
     phrases = sorted({p for _, _, ps in TEMPLATES for p in ps})
+    none = F.array().cast("array<int>")
     return out.select(
         "key",
         "n_words",
-        F.flatten(F.array(*places.values())).alias("places"),
-        F.array_compact(F.array(*[F.when(F.size(p) > 0, F.lit(label)) for label, p in places.items()])).alias("base"),
-        occurrences.alias("occurrences"),
-        F.when(words.isNotNull(), F.array_compact(F.array(*[F.when(_holds(norm, p), F.lit(p)) for p in phrases]))).alias("phrases"),
+        F.flatten(F.array(*[F.coalesce(p, none) for p in places.values()])).alias("places"),
+        F.array_compact(F.array(*[F.when(_holds(phrase), F.lit(label)) for phrase, label in BASE.items()])).alias("base"),
+        "occurrences",
+        F.when(F.size("occurrences") > 0, F.array_compact(F.array(*[F.when(_holds(p), F.lit(p)) for p in phrases]))).alias("phrases"),
     )
 
 
 def document_frequencies(indexed: DataFrame) -> tuple[int, dict[str, int]]:
     """Rows in all, and rows with each licence word. At most len(POSTINGS) + 1 rows reach the driver, at any size."""
-    seen = F.array_append(F.array_distinct(F.transform(F.coalesce("occurrences", F.array().cast("array<struct<w:string,i:int>>")), lambda o: o["w"])), F.lit(""))
+    seen = F.array_append(F.array_distinct(F.transform("occurrences", lambda o: o["w"])), F.lit(""))
     got = {r["w"]: r["n"] for r in indexed.select(F.explode(seen).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
     return got.pop("", 0), got
 
 
-def _best_place(votes: Column, t: int) -> Column:
+def _best_place(votes: Column, t: Column) -> Column:
     """The largest sum of weights at one place of template t."""
     own = F.sort_array(F.transform(F.filter(votes, lambda v: v["t"] == t), lambda v: F.struct(v["at"].alias("at"), v["weight"].alias("weight"))))
     start = F.struct(F.lit(-(2**31)).cast("int").alias("at"), F.lit(0.0).alias("run"), F.lit(0.0).alias("best"))
@@ -108,45 +130,81 @@ def _best_place(votes: Column, t: int) -> Column:
     return F.aggregate(own, start, step)["best"]
 
 
+def _constant(value: object, kind: str) -> Column:
+    """A literal of a nested type, which the optimizer folds."""
+    return F.from_json(F.lit(json.dumps(value)), F.lit(kind))
+
+
+def rarest(idf: dict[str, float]) -> tuple[dict[str, int], list[list[str]]]:
+    """The rank of each licence word, the rarest first, ties by the word; and the rarest words of each template."""
+    rank = {w: r for r, w in enumerate(sorted(POSTINGS, key=lambda w: (-idf[w], w)))}
+    return rank, [sorted({w for w in statement.split() if w in POSTINGS}, key=rank.get)[:LOOKED_UP] for _, statement, _ in TEMPLATES]
+
+
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: key, n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    import math
-
     indexed = materialize(index_occurrences(docs, key, text), "licence-index")
     total, df = document_frequencies(indexed)
     idf = {w: math.log((total + 1) / (df.get(w, 0) + 1)) + 1e-3 for w in POSTINGS}
-    rank = {w: r for r, w in enumerate(sorted(POSTINGS, key=lambda w: (-idf[w], w)))}
-    literal = lambda d, cast: F.create_map(*[F.lit(x) for kv in d.items() for x in kv]).cast(cast)
-    ranks = literal(rank, "map<string,int>")
-    postings = F.create_map(*[x for w, ps in POSTINGS.items() for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p"), F.lit(idf[w]).alias("weight")) for t, p in ps]))])
+    rank, own = rarest(idf)
+    ranks = _constant(rank, "map<string,int>")
+    voting = {w: [{"t": t, "p": p, "weight": idf[w]} for t, p in ps if w in own[t]] for w, ps in POSTINGS.items()}
+    postings = _constant(voting, "map<string,array<struct<t:int,p:int,weight:double>>>")
 
     occ = F.col("occurrences")
     chosen = F.slice(F.sort_array(F.array_distinct(F.transform(occ, lambda o: F.element_at(ranks, o["w"])))), 1, LOOKED_UP)
-    out = indexed.withColumn("chosen", F.when(F.size("occurrences") > 0, chosen))
-    verified = [F.array_size(F.array_intersect(F.col("phrases"), F.array(*map(F.lit, phrases)))) == len(set(phrases)) for _, _, phrases in TEMPLATES]
-    own = [sorted({rank[w] for w in statement.split() if w in POSTINGS})[:LOOKED_UP] for _, statement, _ in TEMPLATES]
-    more = F.flatten(F.array(*[F.when(v, F.array(*map(F.lit, ranked))).otherwise(F.array().cast("array<int>")) for v, ranked in zip(verified, own, strict=True)]))
+    needed = _constant([{"t": t, "phrases": sorted(set(phrases))} for t, (_, _, phrases) in enumerate(TEMPLATES)], "array<struct<t:int,phrases:array<string>>>")
+    verified = F.transform(F.filter(needed, lambda n: F.size(F.array_except(n["phrases"], F.col("phrases"))) == 0), lambda n: n["t"])
+    out = indexed.withColumns({"chosen": F.when(F.size("occurrences") > 0, chosen), "verified": F.when(F.size("phrases") > 0, verified)})
+    own_ranks = _constant([[rank[w] for w in words] for words in own], "array<array<int>>")
+    more = F.flatten(F.transform("verified", lambda t: F.get(own_ranks, t)))
     out = out.withColumn("looked_up", F.array_union("chosen", more))
     used = F.filter(occ, lambda o: F.array_contains(F.col("looked_up"), F.element_at(ranks, o["w"])))
     votes = F.flatten(F.transform(used, lambda o: F.transform(F.element_at(postings, o["w"]), lambda p: F.struct(p["t"].alias("t"), (o["i"] - p["p"]).alias("at"), p["weight"].alias("weight")))))
-    out = out.withColumn("votes", F.when(F.size("chosen") > 0, votes))
-    found = []
-    for t, (label, statement, _) in enumerate(TEMPLATES):
-        weight = sum(sorted((idf[w] for w in statement.split() if w in POSTINGS), reverse=True)[:LOOKED_UP])
-        share = F.least(_best_place(F.col("votes"), t) / weight, F.lit(1.0))
-        found.append(F.when(F.col("votes").isNotNull() & verified[t] & (share >= MIN_MATCH), F.struct(F.lit(label).alias("label"), share.alias("share"))))
-    out = out.withColumn("found", F.array_compact(F.array(*found)))
+    out = out.withColumn("votes", F.when(F.size("verified") > 0, F.filter(votes, lambda v: F.array_contains(F.col("verified"), v["t"]))))
+    names = _constant([label for label, _, _ in TEMPLATES], "array<string>")
+    weights = _constant([math.fsum(idf[w] for w in words for u, _ in POSTINGS[w] if u == t) for t, words in enumerate(own)], "array<double>")
+    share = lambda t: F.least(_best_place(F.col("votes"), t) / F.get(weights, t), F.lit(1.0))
+    tried = F.transform("verified", lambda t: F.struct(F.get(names, t).alias("label"), F.round(share(t), 6).alias("share")))
+    none = F.array().cast("array<struct<label:string,share:double>>")
+    out = out.withColumn("found", F.coalesce(F.filter(tried, lambda f: f["share"] >= MIN_MATCH), none))
     labels = lambda a: F.array_join(F.sort_array(F.array_distinct(a)), ",")
-    none = F.array().cast("array<string>")
-    base = F.coalesce("base", none)
+    base = F.coalesce("base", F.array().cast("array<string>"))
     score = F.greatest(F.coalesce(F.array_max(F.transform("found", lambda f: f["share"])), F.lit(0.0)), F.when(F.size(base) > 0, F.lit(0.5)).otherwise(F.lit(0.0)))
     return out.select(
         F.col("key").alias(key),
         "n_words",
-        F.when(F.col("places").isNull(), F.lit(0)).otherwise(F.size("places")).cast("long").alias("n_base"),
+        F.size("places").cast("long").alias("n_base"),
         F.array_min("places").cast("long").alias("first_word"),
         F.array_max("places").cast("long").alias("last_word"),
         labels(base).alias("base_labels"),
         labels(F.concat(base, F.transform("found", lambda f: f["label"]))).alias("labels"),
         score.alias("score"),
     )
+
+
+def oracle_sql(table: str = "documents") -> str:
+    """The same result in DuckDB's SQL, by plain joins over all words of all texts."""
+    quoted = lambda x: "'" + x + "'"
+    rows = lambda values: ", ".join("(" + ", ".join(quoted(x) if isinstance(x, str) else str(x) for x in v) + ")" for v in values)
+    words = rows((w, t, p) for w, ps in sorted(POSTINGS.items()) for t, p in ps)
+    phrases = rows((t, f" {p} ") for t, (_, _, ps) in enumerate(TEMPLATES) for p in sorted(set(ps)))
+    base = rows((f" {p} ", label, len(p.split())) for p, label in BASE.items())
+    return f"""
+        WITH posting(w, t, p) AS (VALUES {words}), phrase(t, phrase) AS (VALUES {phrases}), template(t, label) AS (VALUES {rows((t, x[0]) for t, x in enumerate(TEMPLATES))}), base(phrase, label, n) AS (VALUES {base}),
+        d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM {table}),
+        n AS (SELECT rid, doc_id, words, len(words) AS n_words, ' ' || array_to_string(words, ' ') || ' ' AS norm FROM d),
+        word AS (SELECT rid, unnest(words) AS w, generate_subscripts(words, 1) - 1 AS i FROM d),
+        place AS (SELECT n.rid, b.label, word.i FROM n JOIN base b ON contains(n.norm, b.phrase) JOIN word ON word.rid = n.rid AND ' ' || array_to_string(n.words[word.i + 1 : word.i + b.n], ' ') || ' ' = b.phrase),
+        placed AS (SELECT rid, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_sort(list(DISTINCT label)) AS base FROM place GROUP BY rid),
+        occ AS (SELECT rid, w, i FROM word WHERE w IN (SELECT w FROM posting)),
+        idf AS (SELECT w, ln(((SELECT count(*) FROM d) + 1) / (count(DISTINCT rid) + 1)) + 1e-3 AS weight FROM (SELECT DISTINCT w FROM posting) LEFT JOIN occ USING (w) GROUP BY w),
+        voting AS (SELECT t, p, w, weight, dense_rank() OVER (PARTITION BY t ORDER BY weight DESC, w) AS r FROM posting JOIN idf USING (w) QUALIFY r <= {LOOKED_UP}),
+        verified AS (SELECT rid, t FROM (SELECT n.rid, phrase.t, count(*) AS k FROM n JOIN phrase ON contains(n.norm, phrase.phrase) GROUP BY 1, 2) JOIN (SELECT t, count(*) AS k FROM phrase GROUP BY t) USING (t, k)),
+        votes AS (SELECT rid, t, i - p AS at, sum(weight) AS run FROM verified JOIN voting USING (t) JOIN occ USING (rid, w) GROUP BY ALL),
+        whole AS (SELECT t, sum(weight) AS weight FROM voting GROUP BY t),
+        found AS (SELECT rid, label, round(least(max(run) / any_value(weight), 1.0), 6) AS share FROM votes JOIN whole USING (t) JOIN template USING (t) GROUP BY rid, t, label HAVING share >= {MIN_MATCH}),
+        best AS (SELECT rid, max(share) AS share, list(label) AS labels FROM found GROUP BY rid)
+        SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word, coalesce(array_to_string(base, ','), '') AS base_labels,
+               coalesce(array_to_string(list_sort(list_distinct(coalesce(base, []) || coalesce(labels, []))), ','), '') AS labels, CAST(greatest(coalesce(share, 0.0), CASE WHEN base IS NULL THEN 0.0 ELSE 0.5 END) AS DOUBLE) AS score
+        FROM n LEFT JOIN placed USING (rid) LEFT JOIN best USING (rid)"""

@@ -4,13 +4,20 @@ Found and validated values are replaced by keyed pseudonyms of the same format.
 network: the value is split in two parts, and ten rounds add a keyed hash of one part to the other, modulo that part's
 range. That is a permutation of the values of a format, so equal values stay equal in every document, different ones
 stay different, and who holds the key can invert it. Mail addresses and secrets, whose formats have no fixed size, get
-keyed hashes in their own alphabet. A secret behind a name and = is found in any case of the name, with or without
-blanks and quotes, which stay; quotes may hold blanks, in up to 256 characters. If the secret is a value of another kind
-it gets the pseudonym of that kind, so it stays linked to its other places. An upper-case hex key stays upper-case, with
-the pseudonym of its lower-case form.
+keyed hashes in their own alphabet: 12 to 24 hex digits for the user of a mail address, as many as the secret has, but
+at most 64, for a secret. A secret behind a name and = (or, behind password, passwd, pwd and api_key, a colon) is found in
+any case of the name, with or without blanks and quotes, which stay; quotes may hold blanks, in up to 256 characters. If
+the secret is a value of another kind it gets the pseudonym of that kind, so it stays linked to its other places. An
+upper-case hex key stays upper-case, with the pseudonym of its lower-case form.
 
-Validation: card numbers by their check digit (13 to 19 digits, kept valid), IPv4 by octets up to 255, dates by the
-calendar, 1900-01-01 to 2099-11-12 (kept valid), telephone numbers by their grouping, SSN by its reserved ranges.
+Validation: card numbers by their check digit (13 to 19 digits), IPv4 by octets up to 255, dates by the calendar,
+1900-01-01 to 2099-12-31, as year-month-day with hyphens or as day, month and year with slashes or dots (month first only
+where that is the one reading that is a date), telephone numbers by their grouping, SSN by its reserved ranges, host names
+by the limits of DNS (labels of up to 63 characters, 127 of them). Pseudonyms of cards, dates, addresses and SSN pass the
+same validation: each is a permutation of the valid values.
+
+Patterns run on any text in time that grows with its length: what repeats without a bound is possessive and starts only
+where such a run starts, and what nests is bounded.
 
 Defined cases: a null text stays null with no values; an empty one stays empty; a text without values is returned
 unchanged; repeated rows are treated alike; an empty table gives an empty table; extra columns, whatever their names, are
@@ -21,25 +28,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.llm.common import fresh_name
 
 ROUNDS = 10
+#: The setting that holds the key of the pseudonyms, and the key of sessions without it, which protects nothing.
+KEY_SETTING, DEMO_KEY = "spark.lodestream.pseudonym.key", "lodestream-demo-key"
 
 #: What stands before a secret.
-NAMED = r"(?i:password|passwd|pwd|secret|api_key|token)[ \t]*+=++>?+[ \t]*+"
+NAMED = r"(?:(?i:password|passwd|pwd|secret|api_key|token)[ \t]*+=++>?+[ \t]*+|(?i:password|passwd|pwd|api_key)[ \t]{0,8}+:[ \t]{0,8}+)"
 
 #: Formats by kind. The order decides which one takes a place that two could take.
 PATTERNS = {
-    "email": r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w-])",
+    "email": r"(?<![A-Za-z0-9._%+-])(?=[._%+-]*+[A-Za-z0-9])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}+\.){1,126}[A-Za-z]{2,63}+(?![\w-])",
     "awskey": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "password": rf"""(?<![A-Za-z0-9]){NAMED}(?!(?:""|'')(?![^\s,;]))(?:(?:"[^"\n]{{1,256}}"|'[^'\n]{{1,256}}')(?:[A-Za-z0-9][^\s,;]*)?|[^\s,;]+)""",
     "hexkey": r"(?<![0-9A-Za-z])[0-9A-Fa-f]{40}(?![0-9A-Za-z])",
     "ipv4": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "isodate": r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])",
-    "dmydate": r"(?<![0-9/.])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9/])",
+    "dmydate": r"(?<![0-9/.])[0-9]{2}(?:/[0-9]{2}/|\.[0-9]{2}\.)[0-9]{4}(?![0-9/]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9(])\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9.-])",
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])",
@@ -49,6 +58,11 @@ ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 MAYBE = rf"@|[0-9]{{2}}|[0-9]\.[0-9]|AKIA|[0-9A-Fa-f]{{40}}|{NAMED}"
 
 
+def session_key(spark: SparkSession) -> str:
+    """The key that the session's configuration holds. Pseudonyms stay linked as long as it stays the same."""
+    return spark.conf.get(KEY_SETTING, None) or DEMO_KEY
+
+
 def keyed(key: str, *parts: Column) -> Column:
     """60 bits of a keyed hash, as a long that is not negative."""
     return F.conv(F.substring(F.sha2(F.concat_ws("\x1f", F.lit(key), *[p.cast("string") for p in parts], F.lit(key)), 256), 1, 15), 16, 10).cast("long")
@@ -95,11 +109,21 @@ def reshape(value: Column, digits: Column) -> Column:
     return F.array_join(chars, "")
 
 
-def _permute_date(day: Column, key: str) -> Column:
-    """Days since 1900-01-01, permuted among 73,000 = 200 x 365 days."""
-    n = F.datediff(day, F.lit("1900-01-01").cast("date")).cast("long")
-    out = feistel(F.floor(n / 365), n % 365, F.lit(200), F.lit(365), key, F.lit("date"))
-    return F.get(F.transform(F.array(out), lambda s: F.date_add(F.lit("1900-01-01").cast("date"), (s["left"] * 365 + s["right"]).cast("int"))), F.lit(0))
+def _permute_date(x: Column, key: str) -> Column:
+    """The date of a struct (day, form), permuted among the 73,049 = 17 x 4297 days from 1900-01-01 to 2099-12-31, in its form."""
+    n = F.datediff(x["day"], F.lit("1900-01-01").cast("date")).cast("long")
+    out = feistel(F.floor(n / 4297), n % 4297, F.lit(17), F.lit(4297), key, F.lit("date"))
+    moved = lambda s: F.date_add(F.lit("1900-01-01").cast("date"), (s["left"] * 4297 + s["right"]).cast("int"))
+    return F.get(F.transform(F.array(out), lambda s: F.call_function("date_format", moved(s), x["form"])), F.lit(0))
+
+
+def _permute_ssn(digits: Column, key: str) -> Column:
+    """Nine digits, permuted among the valid numbers: 898 areas (1 to 899 without 666) times 99 groups of 9999."""
+    area, rest = F.substr(digits, F.lit(1), F.lit(3)).cast("long"), (F.substr(digits, F.lit(4), F.lit(2)).cast("long") - 1) * 9999 + F.substr(digits, F.lit(6), F.lit(4)).cast("long") - 1
+    out = feistel(area - F.when(area > 666, 2).otherwise(1), rest, F.lit(898), F.lit(99 * 9999), key, F.lit("ssn"))
+    put = lambda n, k: F.lpad(n.cast("long").cast("string"), k, "0")
+    join = lambda s: F.concat(put(s["left"] + F.when(s["left"] >= 665, 2).otherwise(1), 3), put(F.floor(s["right"] / 9999) + 1, 2), put(s["right"] % 9999 + 1, 4))
+    return F.get(F.transform(F.array(out), join), F.lit(0))
 
 
 def _hexlike(key: str, kind: str, value: Column, n: Column) -> Column:
@@ -111,7 +135,7 @@ def _opened(v: Column) -> Column:
     secret = v.rlike(f"^(?:{PATTERNS['password']})$")
     head = F.when(secret, F.regexp_extract(v, f"^{NAMED}[\"']*", 0)).otherwise(F.lit(""))
     split = lambda h: F.struct(h.alias("head"), F.substr(v, F.length(h) + 1, F.length(v)).alias("rest"))
-    tail = lambda x: F.when(x["head"].rlike("[\"']$"), F.regexp_extract(x["rest"], "[\"']*$", 0)).otherwise(F.lit(""))
+    tail = lambda x: F.when(x["head"].rlike("[\"']$"), F.regexp_extract(x["rest"], "(?<![\"'])[\"']++$", 0)).otherwise(F.lit(""))
     ended = F.transform(F.transform(F.array(head), split), lambda x: F.struct(x["head"].alias("head"), x["rest"].alias("rest"), tail(x).alias("tail")))
     return F.get(F.transform(ended, lambda x: F.struct(x["head"].alias("head"), F.substr(x["rest"], F.lit(1), F.length(x["rest"]) - F.length(x["tail"])).alias("inner"), x["tail"].alias("tail"))), F.lit(0))
 
@@ -133,7 +157,8 @@ def _pseudonym(v: Column, key: str) -> Column:
     put = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
 
     user = F.substring_index(v, "@", 1)
-    mail = F.concat(F.lit("u"), _hexlike(key, "email", F.lower(v), F.least(F.greatest(F.length(user), F.lit(12)), F.lit(24))), F.lit("@"), _hexlike(key, "domain", F.lower(F.substring_index(v, "@", -1)), F.lit(8)), F.lit(".invalid"))
+    marks = F.regexp_extract(v, "^[._%+-]*", 0)  # what isn't part of a name stays
+    mail = F.concat(marks, F.lit("u"), _hexlike(key, "email", F.lower(F.substr(v, F.length(marks) + 1, F.length(v))), F.least(F.greatest(F.length(user) - F.length(marks), F.lit(12)), F.lit(24))), F.lit("@"), _hexlike(key, "domain", F.lower(F.substring_index(v, "@", -1)), F.lit(8)), F.lit(".invalid"))
     aws = F.concat(F.lit("AKIA"), F.upper(_hexlike(key, "awskey", v, F.lit(16))))
     hexkey = _hexlike(key, "hexkey", F.lower(v), F.lit(40))
     octets = F.transform(F.split(v, r"\."), lambda x: F.try_to_number(x, F.lit("999")).cast("long"))
@@ -144,8 +169,14 @@ def _pseudonym(v: Column, key: str) -> Column:
         ),
         F.lit(0),
     )
-    iso, dmy = F.try_to_date(v, "yyyy-MM-dd"), F.try_to_date(v, "dd/MM/yyyy")
-    in_range = lambda d: d.between(F.lit("1900-01-01").cast("date"), F.lit("2099-11-12").cast("date"))
+    bare, slash = F.translate(v, "/.-", ""), v.contains("/")
+    form = lambda order: F.when(slash, F.lit(order.replace(".", "/"))).otherwise(F.lit(order))
+    in_range = lambda d: d.between(F.lit("1900-01-01").cast("date"), F.lit("2099-12-31").cast("date"))
+    dated = lambda day, form: F.when(in_range(day), F.struct(day.alias("day"), form.alias("form")))
+    readings = F.when(v.rlike(full["isodate"]), dated(F.try_to_date(bare, "yyyyMMdd"), F.lit("yyyy-MM-dd"))).otherwise(
+        F.coalesce(dated(F.try_to_date(bare, "ddMMyyyy"), form("dd.MM.yyyy")), F.when(slash, dated(F.try_to_date(bare, "MMddyyyy"), form("MM.dd.yyyy"))))
+    )
+    date = F.get(F.transform(F.array(readings), lambda x: F.when(x.isNull(), keep).otherwise(put("date", _permute_date(x, key)))), F.lit(0))
     ssn_ok = ~digits.rlike("^(?:000|666|9)") & ~F.substr(digits, F.lit(4), F.lit(2)).eqNullSafe("00") & ~F.substr(digits, F.lit(6), F.lit(4)).eqNullSafe("0000")
     country = F.when(v.startswith("+"), F.regexp_extract(v, r"^\+([0-9]{1,3})(?=[ .(-])", 1)).otherwise(F.lit(""))
     phone = reshape(v, F.concat(country, permute_digits(F.substr(digits, F.length(country) + 1, n), key, F.concat(F.lit("phone"), country))))
@@ -157,9 +188,8 @@ def _pseudonym(v: Column, key: str) -> Column:
         .when(v.rlike(full["awskey"]), put("awskey", aws))
         .when(v.rlike(full["hexkey"]), put("hexkey", F.when(v.rlike("[A-F]") & ~v.rlike("[a-f]"), F.upper(hexkey)).otherwise(hexkey)))
         .when(v.rlike(full["ipv4"]), F.when(F.array_max(octets) <= 255, put("ipv4", ip)).otherwise(keep))
-        .when(v.rlike(full["isodate"]), F.when(in_range(iso), put("date", F.date_format(_permute_date(iso, key), "yyyy-MM-dd"))).otherwise(keep))
-        .when(v.rlike(full["dmydate"]), F.when(in_range(dmy), put("date", F.date_format(_permute_date(dmy, key), "dd/MM/yyyy"))).otherwise(keep))
-        .when(v.rlike(full["ssn"]), F.when(ssn_ok, put("ssn", reshape(v, permute_digits(digits, key, F.lit("ssn"))))).otherwise(keep))
+        .when(v.rlike(f"{full['isodate']}|{full['dmydate']}"), date)
+        .when(v.rlike(full["ssn"]), F.when(ssn_ok, put("ssn", reshape(v, _permute_ssn(digits, key)))).otherwise(keep))
         .when(v.rlike(full["phone"]), put("phone", phone))
         .when(v.rlike(full["card"]) & luhn, put("card", reshape(v, card_head)))
         .otherwise(keep)

@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from lodestream.llm import byte_cnn, chat, licenses, media, near_dedup, packing, pieces, pii, quality_rules, warc
 
-#: Pseudonyms stay linked as long as this stays the same; set it from a secret store in production.
-PII_KEY = "lodestream-demo-key"
-
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,7 +26,7 @@ def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.report(_table(spark, sf_dir, "documents"), PII_KEY)
+    return pii.report(_table(spark, sf_dir, "documents"), pii.session_key(spark))
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 } | {"pipeline": corpus_pipeline.run}
 
 ORACLES: dict[str, str] = {
+    "op2_license_scans": licenses.oracle_sql(),
     "op6_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
         d AS (SELECT page_id, octet_length(payload) AS n, sha1(payload) AS hex FROM p),

@@ -1,5 +1,7 @@
 """Plain-Python versions of the operators' contracts, for tests."""
 
+import datetime
+import hashlib
 import math
 import re
 
@@ -82,3 +84,116 @@ def quality_kept(docs, labels, grids, alpha, delta):
                     cut[s, rule] = c
                     break
     return [not bad and not any((s, r) in cut and v[r] > cut[s, r] for r in grids) for _, s, v, bad in rated]
+
+
+def _feistel(left, right, a, b, key, tweak):
+    def keyed(i, x):
+        return int(hashlib.sha256("\x1f".join([key, tweak, str(i), str(x), key]).encode()).hexdigest()[:15], 16)
+
+    for i in range(10):
+        if i % 2 == 0:
+            left = (left + keyed(i, right) % a) % a
+        else:
+            right = (right + keyed(i, left) % b) % b
+    return left, right
+
+
+def _digits(d, key, tweak):
+    if len(d) < 2:
+        return d
+    u = len(d) // 2
+    left, right = _feistel(int(d[:u]), int(d[u:]), 10**u, 10 ** (len(d) - u), key, f"{tweak}:{len(d)}")
+    return f"{left:0{u}d}{right:0{len(d) - u}d}"
+
+
+def _check_digit(d):
+    return str(-sum(sum(divmod(int(c) * (2 if i % 2 == 0 else 1), 10)) for i, c in enumerate(reversed(d))) % 10)
+
+
+def _hexlike(key, kind, value, n):
+    return "".join(hashlib.sha256(f"{key}\x1f{k}\x1f{value}".encode()).hexdigest() for k in (kind, kind + "2"))[:n]
+
+
+def _day(text, form):
+    try:
+        day = datetime.datetime.strptime(text, form).date()
+    except ValueError:
+        return None
+    return day if 1900 <= day.year <= 2099 else None
+
+
+def _moved_day(day, key):
+    n = (day - datetime.date(1900, 1, 1)).days
+    left, right = _feistel(n // 4297, n % 4297, 17, 4297, key, "date")
+    return datetime.date(1900, 1, 1) + datetime.timedelta(left * 4297 + right)
+
+
+def _reshape(value, digits):
+    rest = iter(digits)
+    return "".join(next(rest) if c in "0123456789" else c for c in value)
+
+
+def pseudonym(v, key, patterns):
+    """(kind, pseudonym) of a value, or None."""
+    kind = next((k for k, p in patterns.items() if re.fullmatch(p, v) and k != "password"), None)
+    d = re.sub("[^0-9]", "", v)
+    if kind == "email":
+        marks = re.match("[._%+-]*", v)[0]
+        user, _, host = v[len(marks) :].rpartition("@")
+        user = marks + "u" + _hexlike(key, "email", v[len(marks) :].lower(), min(max(len(user), 12), 24))
+        return kind, f"{user}@{_hexlike(key, 'domain', host.lower(), 8)}.invalid"
+    if kind == "awskey":
+        return kind, "AKIA" + _hexlike(key, "awskey", v, 16).upper()
+    if kind == "hexkey":
+        new = _hexlike(key, "hexkey", v.lower(), 40)
+        return kind, new.upper() if re.search("[A-F]", v) and not re.search("[a-f]", v) else new
+    if kind == "ipv4":
+        o = [int(x) for x in v.split(".")]
+        left, right = _feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, key, "ipv4")
+        return (kind, ".".join(map(str, (left // 256, left % 256, right // 256, right % 256)))) if max(o) <= 255 else None
+    if kind in ("isodate", "dmydate"):
+        forms = ["%Y-%m-%d"] if kind == "isodate" else ["%d/%m/%Y", "%m/%d/%Y"] if "/" in v else ["%d.%m.%Y"]
+        for form in forms:
+            if day := _day(v, form):
+                return "date", _moved_day(day, key).strftime(form)
+        return None
+    if kind == "ssn":
+        area, group, serial = int(d[:3]), int(d[3:5]), int(d[5:])
+        if not (0 < area < 900 and area != 666 and group and serial):
+            return None
+        areas = [a for a in range(1, 900) if a != 666]
+        left, right = _feistel(areas.index(area), (group - 1) * 9999 + serial - 1, 898, 99 * 9999, key, "ssn")
+        return kind, _reshape(v, f"{areas[left]:03d}{right // 9999 + 1:02d}{right % 9999 + 1:04d}")
+    if kind == "phone":
+        country = m[1] if (m := re.match(r"\+([0-9]{1,3})(?=[ .(-])", v)) else ""
+        return kind, _reshape(v, country + _digits(d[len(country) :], key, f"phone{country}"))
+    if kind == "card" and _check_digit(d[:-1]) == d[-1]:
+        head = d[0] + _digits(d[1:-1], key, f"card{d[0]}")
+        return kind, _reshape(v, head + _check_digit(head))
+    return None
+
+
+def pseudonymized(text, key, patterns, named):
+    """(new text, kinds of the values replaced)."""
+    kinds = []
+
+    def put(m):
+        v = m[0]
+        if not re.fullmatch(patterns["password"], v):
+            got = pseudonym(v, key, patterns)
+        else:
+            head = re.match(f"{named}[\"']*", v)[0]
+            tail = re.search("[\"']*$", v[len(head) :])[0] if head[-1] in "\"'" else ""
+            inner = v[len(head) : len(v) - len(tail)]
+            got = pseudonym(inner, key, patterns)
+            if got is None and inner:
+                got = "password", _hexlike(key, "password", f"{re.match('[A-Za-z_]+', head)[0].lower()}={inner}", min(len(inner), 64))
+            if got:
+                got = got[0], head + got[1] + tail
+        if got is None:
+            return v
+        kinds.append(got[0])
+        return got[1]
+
+    every = "|".join(f"(?:{p})" for p in patterns.values())
+    return re.sub(every, put, text) if text else text, kinds
