@@ -58,7 +58,7 @@ def quality_rules(text):
     lines = [x for x in (text or "").split("\n") if WORD.search(x)]
     share = lambda a, b: a / b if b else 0.0
     values = {
-        "symbol_share": share(symbols, chars), "dup_line_share": share(dup, len(lines)), "repeat_share": share(repeat, n),
+        "symbol_share": share(symbols, chars), "dup_line_share": share(dup, len(lines)),
         "upper_share": share(len(re.findall("[A-Z]", text or "")), chars), "mean_word_chars": share(chars, n),
     }
     return values, n < 10 or 100 * repeat > 20 * n
@@ -69,21 +69,49 @@ def tail(n, k, p):
     return math.fsum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
 
 
-def quality_kept(docs, labels, grids, alpha, delta):
-    """Verdicts for docs, a list of (doc_id, text, stratum); labels: doc_id -> quality."""
-    rated = [(i, s, *quality_rules(t)) for i, t, s in docs]
-    strata = {s for _, s, _, _ in rated}
-    level = delta / (sum(map(len, grids.values())) * max(len(strata), 1))
-    cut = {}
+def upper_bound(n, k, level):
+    """The exact upper bound of a share of which k of n were seen: where P(X <= k) falls to the level."""
+    low, high = k / n, 1.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if tail(n, k, mid) > level else (low, mid)
+    return high
+
+
+def quality_cutoffs(docs, labels, grids, risk):
+    """stratum -> rule -> (cutoff or None, good documents, those above); docs: (doc_id, text, stratum); labels: doc_id -> quality."""
+    rated = [(s, *quality_rules(t), labels.get(i)) for i, t, s in docs]
+    strata = {s for s, *_ in rated}
+    level = risk.delta / (len(grids) * (len(strata) + 1))
+
+    def choose(own, rule, grid):
+        good, bad = ([v[rule] for v, _, q in own if q == want] for want in (1, 0))
+        some, best = False, (0.0, None, None)
+        for c in grid:
+            k, hit = sum(v > c for v in good), sum(v > c for v in bad)
+            if not good or k > len(good) * risk.alpha or tail(len(good), k, risk.alpha) > level:
+                break
+            gain = hit / max(len(bad), 1) - risk.cost * k / len(good)
+            some, best = True, max(best, (gain, c, k), key=lambda x: x[0])
+        return some, best[1], len(good), best[2]
+
+    out = {}
     for s in strata:
-        good = [v for i, own, v, bad in rated if own == s and not bad and labels.get(i) == 1]
         for rule, grid in grids.items():
-            for c in grid:
-                k = sum(v[rule] > c for v in good)
-                if good and k <= len(good) * alpha and tail(len(good), k, alpha) <= level:
-                    cut[s, rule] = c
-                    break
-    return [not bad and not any((s, r) in cut and v[r] > cut[s, r] for r in grids) for _, s, v, bad in rated]
+            own = [(v, f, q) for t, v, f, q in rated if not f]
+            mine = choose([(v, f, q) for t, v, f, q in rated if not f and t == s], rule, grid)
+            out.setdefault(s, {})[rule] = (mine if mine[0] else choose(own, rule, grid))[1:]
+    return out, level
+
+
+def quality_kept(docs, labels, grids, risk):
+    """Verdicts for docs, a list of (doc_id, text, stratum)."""
+    cut, _ = quality_cutoffs(docs, labels, grids, risk)
+    out = []
+    for _, t, s in docs:
+        values, failed = quality_rules(t)
+        out.append(not failed and not any(c is not None and values[r] > c for r, (c, _, _) in cut[s].items()))
+    return out
 
 
 def _feistel(left, right, a, b, key, tweak):

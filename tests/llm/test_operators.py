@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lodestream.llm import byte_cnn, chat, licenses, media, near_dedup, packing, pieces, pii, quality_rules, queries, warc
+from lodestream.llm.common import materialize
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -305,8 +306,8 @@ def test_quality_counts_and_verdicts(spark, request, source):
     known = {}
     for r in labels.collect():
         known[r["doc_id"]] = min(r["quality"], known.get(r["doc_id"], 1))
-    for risk in (quality_rules.Risk(), quality_rules.Risk(alpha=0.3, delta=0.5)):
-        kept = brute.quality_kept(local, known, quality_rules.GRIDS, risk.alpha, risk.delta)
+    for risk in (quality_rules.Risk(), quality_rules.Risk(alpha=0.3, delta=0.5, cost=1.0)):
+        kept = brute.quality_kept(local, known, quality_rules.GRIDS, risk)
         want = [(i, *brute.quality_counts(t), brute.quality_rules(t)[1], k) for (i, t, _), k in zip(local, kept, strict=True)]
         got = quality_rules.rate(rows, labels, risk=risk)
         assert collected(got, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept") == sorted(want, key=repr)
@@ -314,6 +315,21 @@ def test_quality_counts_and_verdicts(spark, request, source):
     assert out.columns == rows.columns
 
 
+def test_quality_cutoffs_are_certified(spark):
+    """On sf0.01 the rules reject documents, and each cutoff keeps its bound on good ones."""
+    sf = "/root/testdata/sf0.01"
+    rows, labels, risk = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"), quality_rules.Risk()
+    rated = materialize(quality_rules.measure(rows.select(F.col("doc_id").alias("key"), F.col("lang").alias("stratum"), "text")), "test-rated")
+    got = quality_rules.calibrate(rated, labels.withColumnRenamed("doc_id", "key"), "key", "stratum").collect()
+    local = [(r["doc_id"], r["text"], r["lang"]) for r in rows.collect()]
+    want, level = brute.quality_cutoffs(local, {r["doc_id"]: r["quality"] for r in labels.collect()}, quality_rules.GRIDS, risk)
+    assert {(r["stratum"], r["rule"]): (r["cutoff"], r["n_good"], r["good_above"]) for r in got} == {(s, r): c for s, own in want.items() for r, c in own.items()}
+    active = [r for r in got if r["cutoff"] is not None]
+    assert active and all(brute.upper_bound(r["n_good"], r["good_above"], level) <= risk.alpha for r in active)
+    judged = quality_rules.rate(rows, labels)
+    assert judged.where("failed_rules <> '' and not base_failed and not kept").count() > 0
+
+
 def test_binomial_bound(spark):
     cases = [(n, k, a) for n in (1, 50, 700, 3000) for k in (0, 1, 4) for a in (0.005, 0.05)]
     for n, k, a in cases:
@@ -402,7 +418,7 @@ def test_pipeline_against_brute_force(spark):
     local = [(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()]
     known = {r["doc_id"]: r["quality"] for r in labels.collect()}
     risk = quality_rules.Risk()
-    left = [x for x, k in zip(local, brute.quality_kept(local, known, quality_rules.GRIDS, risk.alpha, risk.delta), strict=True) if k]
+    left = [x for x, k in zip(local, brute.quality_kept(local, known, quality_rules.GRIDS, risk), strict=True) if k]
     network = byte_cnn.train(docs, labels)
     left = [x for x in left if network.score(pa.array([x[1] or ""], pa.large_string()))[0] >= byte_cnn.THRESHOLD]
     parts = brute.components(sorted({(i, t) for i, t, _ in left}, key=lambda x: x[0]), 5, 80)
