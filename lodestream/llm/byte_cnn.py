@@ -6,8 +6,9 @@ before, for some lags. Positions are taken in overlapping chunks that together c
 responses are max-pooled in each chunk, then over all chunks (maximum and mean), and a small hidden layer combines them
 into one probability.
 
-The network is fitted on the driver on a bounded sample: at most ``max_rows`` labelled documents, and of each at most
-``max_chunks`` chunks, spread evenly over the whole document. Scoring reads every byte of every document.
+The network is fitted on the driver on a bounded sample: at most ``max_rows`` labelled documents with at most
+``max_bytes`` of text together, each read whole. Scoring reads every byte of every document; scores are rounded to six
+places, so that they don't depend on which texts are scored together.
 
 Defined cases: a null or empty text is one chunk of padding; without labels of both kinds every document gets the share of
 good ones among the labels (0.5 without any); repeated rows get equal scores; an empty table gives an empty table; extra
@@ -101,19 +102,17 @@ class Network:
         at = np.flatnonzero(np.diff(text, prepend=-1))
         features = np.hstack([np.maximum.reduceat(pooled, at, axis=0), np.add.reduceat(pooled, at, axis=0) / np.diff(np.append(at, len(text)))[:, None]])
         z = np.tanh(features @ self.w1 + self.b1) @ self.w2 + self.b2
-        return 1 / (1 + np.exp(-z.astype(np.float64)))
+        return np.round(1 / (1 + np.exp(-z.astype(np.float64))), 6)
 
 
-def chunks_of(texts: pa.LargeStringArray, max_chunks: int) -> list[bytes]:
-    """At most max_chunks whole chunks of each text, spread evenly over it, as equal blocks of CHUNK positions and the bytes around them."""
+def chunks_of(texts: pa.LargeStringArray) -> list[bytes]:
+    """All chunks of each text, as equal blocks of CHUNK positions and the bytes around them."""
     flat, first, positions = layout(texts)
     text, begin, end = chunk_bounds(positions)
     flat = np.concatenate([np.zeros(PAD, dtype=np.uint8), flat])  # what stands before a chunk, for the lags
     out = []
-    for t in range(len(texts)):
-        own = np.flatnonzero(text == t)
-        if len(own) > max_chunks:
-            own = own[np.linspace(0, len(own) - 1, max_chunks).astype(int)]
+    for own in np.split(np.arange(len(text)), np.flatnonzero(np.diff(text)) + 1) if len(texts) else []:
+        t = text[own[0]]
         blocks = np.zeros((len(own), PAD + CHUNK * STRIDE + PAD), dtype=np.uint8)
         for r, c in enumerate(own.tolist()):
             s, n = int(first[t] + begin[c]) * STRIDE, int(end[c] - begin[c]) * STRIDE
@@ -124,6 +123,26 @@ def chunks_of(texts: pa.LargeStringArray, max_chunks: int) -> list[bytes]:
     return out
 
 
+#: Chunks whose responses a fit holds at a time.
+AT_ONCE = 1024
+
+
+def _pool(x: np.ndarray, p: dict[str, np.ndarray], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each chunk and filter: the largest response, and the bytes and the lags' shares at its position."""
+    windows = x[:, rows]  # chunks x positions x width
+    real = x[:, PAD : PAD + CHUNK * STRIDE : STRIDE] != 0
+    real[:, 0] = True
+    lags = repeats(x.reshape(-1), x.size // STRIDE - 1).reshape(-1)
+    lags = np.append(lags, np.zeros(len(LAGS), dtype=np.float32)).reshape(len(x), -1, len(LAGS))[:, PAD // STRIDE : PAD // STRIDE + CHUNK]
+    r = lags @ p["lag"] + p["bias"]
+    for j in range(WIDTH):
+        r += p["table"][j][windows[:, :, j]]
+    r = np.where(real[:, :, None], np.maximum(r, 0), 0)
+    top = r.argmax(axis=1)  # chunks x filters
+    c = np.arange(len(x))[:, None]
+    return np.take_along_axis(r, top[:, None], axis=1)[:, 0], windows[c, top], lags[c, top]
+
+
 def fit(samples: list[bytes], labels: list[int], filters: int = 16, hidden: int = 8, epochs: int = 10, batch: int = 64, rate: float = 0.01, seed: int = 7) -> Network:
     """Fit the network to documents, each given as blocks of chunks_of, with Adam on the logistic loss."""
     y = np.array(labels, dtype=np.float32)
@@ -149,17 +168,7 @@ def fit(samples: list[bytes], labels: list[int], filters: int = 16, hidden: int
             doc = np.repeat(np.arange(len(own)), [len(blocks[i]) for i in own])
             at = np.flatnonzero(np.diff(doc, prepend=-1))
             n = np.diff(np.append(at, len(doc)))[:, None]
-            windows = x[:, rows]  # chunks x positions x width
-            real = x[:, PAD : PAD + CHUNK * STRIDE : STRIDE] != 0
-            real[:, 0] = True
-            lags = repeats(x.reshape(-1), x.size // STRIDE - 1).reshape(-1)
-            lags = np.append(lags, np.zeros(len(LAGS), dtype=np.float32)).reshape(len(x), width // STRIDE, len(LAGS))[:, PAD // STRIDE : PAD // STRIDE + CHUNK]
-            r = lags @ p["lag"] + p["bias"]
-            for j in range(WIDTH):
-                r += p["table"][j][windows[:, :, j]]
-            r = np.where(real[:, :, None], np.maximum(r, 0), 0)
-            top = r.argmax(axis=1)  # chunks x filters
-            pooled = np.take_along_axis(r, top[:, None], axis=1)[:, 0]
+            pooled, seen, lagged = (np.concatenate(z) for z in zip(*[_pool(x[lo : lo + AT_ONCE], p, rows) for lo in range(0, len(x), AT_ONCE)], strict=True))
             best = np.maximum.reduceat(pooled, at, axis=0)
             features = np.hstack([best, np.add.reduceat(pooled, at, axis=0) / n])
             h = np.tanh(features @ p["w1"] + p["b1"])
@@ -172,11 +181,10 @@ def fit(samples: list[bytes], labels: list[int], filters: int = 16, hidden: int
             first = pooled == best[doc]
             dp = np.where(first, df[doc, :filters], 0) + df[doc, filters:] / n[doc]
             dp *= pooled > 0
-            c = np.arange(len(x))[:, None]
-            f = np.broadcast_to(np.arange(filters), top.shape)
+            f = np.broadcast_to(np.arange(filters), dp.shape)
             g["bias"] = dp.sum(axis=0)
-            g["lag"] = np.einsum("cfl,cf->lf", lags[c, top], dp)
-            g["table"] = np.stack([np.bincount((windows[c, top, j].astype(np.int64) * filters + f).reshape(-1), dp.reshape(-1), 256 * filters).reshape(256, filters) for j in range(WIDTH)])
+            g["lag"] = np.einsum("cfl,cf->lf", lagged, dp)
+            g["table"] = np.stack([np.bincount((seen[:, :, j].astype(np.int64) * filters + f).reshape(-1), dp.reshape(-1), 256 * filters).reshape(256, filters) for j in range(WIDTH)])
             turn += 1
             pace = rate * (1 if epoch < epochs * 0.7 else 0.3)
             for name, grad in g.items():
@@ -192,21 +200,32 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", max_rows: int = 3000, max_chunks: int = 24) -> Network:
-    """Fit on at most max_rows labelled documents that aren't held out, chosen by a hash of their id.
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", max_rows: int = 3000, max_bytes: int = 64 << 20) -> Network:
+    """Fit on at most max_rows labelled documents that aren't held out, in the order of a hash of their id, as long as their
+    texts take at most max_bytes together.
 
-    The chosen ids are at most max_rows rows and are broadcast; their chunks, at most max_rows x max_chunks of about
-    600 bytes, are what reaches the driver. A document labelled twice counts as good only if every label says so.
+    The chosen ids are at most max_rows rows and are broadcast; what reaches the driver is their sizes, then the chunks of
+    those that fit. A document labelled twice counts as good only if every label says so.
     """
     ours = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = ours.groupBy(F.col("doc_id").alias("k")).agg(F.min("quality").cast("int").alias("quality")).orderBy(F.xxhash64("k"), "k").limit(max_rows)
 
+    narrow = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    sizes = narrow.join(F.broadcast(chosen.select(F.col("k").cast("long").alias("k"))), F.col("id") == F.col("k")).groupBy("k").agg(F.max(F.octet_length(F.coalesce("text", F.lit("")))).alias("n"))
+    total, fitting = 0, []
+    for r in sizes.orderBy(F.xxhash64("k"), "k").collect():
+        total += r["n"]
+        if total > max_bytes:
+            break
+        fitting.append((r["k"],))
+    ids = docs.sparkSession.createDataFrame(fitting, "fits long")
+
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("quality"), pa.array(chunks_of(texts, max_chunks), pa.binary())], names=["k", "quality", "blocks"])
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("quality"), pa.array(chunks_of(texts), pa.binary())], names=["k", "quality", "blocks"])
 
-    narrow = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    found = narrow.join(F.broadcast(chosen.withColumn("k", F.col("k").cast("long"))), F.col("id") == F.col("k")).select("k", "quality", "text")
+    chosen = chosen.withColumn("k", F.col("k").cast("long")).join(F.broadcast(ids), F.col("k") == F.col("fits"))
+    found = narrow.join(F.broadcast(chosen), F.col("id") == F.col("k")).select("k", "quality", "text")
     rows = found.mapInArrow(sample, "k long, quality int, blocks binary").groupBy("k", "quality").agg(F.min("blocks").alias("blocks")).orderBy("k").collect()
     return fit([bytes(r["blocks"]) for r in rows], [int(r["quality"] > 0) for r in rows])
 

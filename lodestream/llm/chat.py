@@ -4,10 +4,11 @@ A turn becomes ``<s>role\n`` + text + ``</s>\n``. In roles and texts a backslash
 backslash after their first character, so that none stands unescaped; a line break in a role is escaped too. Dropping
 the escaping backslashes gives the text back.
 
-Rows of a conversation are brought together by a shuffle on the conversation and sorted by turn in their partitions; a
-task then streams them. For each Arrow batch it computes segment lengths, cumulative offsets and gather indices in
-numpy and fills one preallocated buffer. A long conversation comes out in several parts, each of whole turns, so no task
-holds more than a batch and a part, however many turns one conversation has; only its digest runs through all parts.
+Rows are dealt into ranges of (conversation, turn) and sorted in them, so a conversation with very many turns is spread
+over tasks. A task streams its range: for each Arrow batch it computes segment lengths, cumulative offsets and gather
+indices in numpy and fills one preallocated buffer. A long conversation comes out in several parts, each of whole turns
+and numbered in their order, so no task holds more than a batch and a part. Only the digest of a conversation, which is
+one hash over all its turns, runs through all its parts in one task, a part at a time.
 
 Defined cases: a null text or role is an empty one; a null turn comes first; equal turns are ordered by role, then text;
 a null conversation id is a conversation of its own; repeated rows are turns of their own; an empty table gives an empty
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,7 +72,8 @@ def assemble(role: pa.LargeStringArray, text: pa.LargeStringArray) -> tuple[np.n
 
 def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("conv_id", pa.int64()), ("part", pa.int64()), ("formatted", pa.string()), ("loss", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))])
-    current, part, chunks, loss, size, chars = None, 0, [], [], 0, 0
+    first = TaskContext.get().partitionId() << 33  # parts of a later range have higher numbers
+    current, part, chunks, loss, size, chars = None, first, [], [], 0, 0
 
     ready: list[tuple] = []
     waiting = 0
@@ -102,7 +105,7 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if current is not None and current != (conv,):
                     if row():
                         yield flush()
-                    current, part, chunks, loss, size, chars = None, 0, [], [], 0, 0
+                    current, part, chunks, loss, size, chars = None, first, [], [], 0, 0
                 elif size >= PART_BYTES:
                     if row():
                         yield flush()
@@ -120,7 +123,7 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def format_conversations(turns: DataFrame) -> DataFrame:
     """conv_id, part, formatted text, and the character spans of the assistant's texts in it (the loss mask)."""
     narrow = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    together = narrow.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    together = narrow.repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn", "role", "text")
     return together.select("conv_id", "role", "text").mapInArrow(_format, FORMATTED)
 
 
@@ -154,13 +157,13 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     for batch in batches:
-        spans = batch.column(3)
+        spans = batch.column("loss")
         inner = spans.flatten()
         begin, length = (inner.field(k).to_pylist() for k in range(2))
         ends = np.cumsum(np.asarray(pc.list_value_length(spans))).tolist()
         at = 0
-        for i, (conv, part, formatted) in enumerate(zip(*[batch.column(c).to_pylist() for c in range(3)], strict=True)):
-            if part == 0:
+        for i, (conv, formatted) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("conv_id", "formatted")], strict=True)):
+            if state is None or state[0] != conv:
                 close()
                 state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
             turns = parse(formatted)
@@ -177,5 +180,6 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def digest(formatted: DataFrame) -> DataFrame:
-    """Read formatted conversations back: one row of counts and digests each. Parts must come in order, as they are made."""
-    return formatted.mapInArrow(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    """Read formatted conversations back, from whatever order: one row of counts and digests each."""
+    together = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "part")
+    return together.mapInArrow(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

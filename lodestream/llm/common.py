@@ -16,27 +16,39 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir.
 
-    Only a session without that setting, as in tests on one machine, gets a local temporary folder.
+    Only a session on one machine, as in tests, may do without that setting and gets a temporary folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="lodestream-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back.
+def materialize(df: DataFrame, label: str, scratch: list[str] | None = None, level: int = 3) -> DataFrame:
+    """Write df as a Parquet table in the shared folder and read it back. ``level`` is that of its compression.
 
-    This cuts the lineage in a way that outlives executors, and gives the planner true sizes. The table stays under
-    the retention of that folder.
+    This cuts the lineage in a way that outlives executors, and gives the planner true sizes. The table's path is added
+    to ``scratch``, for ``discard`` once nothing reads the table any more; else it stays under the folder's retention.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lodestream/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
+    if scratch is not None:
+        scratch.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, scratch: list[str]) -> None:
+    """Delete written tables that nothing reads any more."""
+    for path in scratch:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    scratch.clear()
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; other letters keep their form."""
     return F.translate(text, UPPER, LOWER)

@@ -1,8 +1,8 @@
 """Telephony audio as media columns: mu-law and A-law by lookup tables, ADPCM by blocks in numpy, resampled PCM.
 
 A media column holds RIFF/WAVE files. ``encode_payload`` stores any bytes as the 8-bit mu-law samples of such a file,
-losslessly; ``decode`` reads one back and gives 16-bit samples; ``resample`` changes their rate by an integer factor
-and ``pcm_wave`` stores the result as PCM.
+losslessly; ``decode`` reads one back and gives 16-bit samples; ``at_rate`` changes their rate by an integer factor, and
+``store`` makes a table of both columns, the media and the resampled PCM, which ``describe`` reads back.
 
 Defined cases: a null text is an empty one, whose payload is one unit of zero bytes; equal texts give equal files and
 features; an empty table gives an empty table; extra columns are ignored. Texts of any length are taken whole.
@@ -20,9 +20,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from lodestream.llm.arrow import SLICE_BYTES, buffers, map_slices
+from lodestream.llm.common import materialize
 
 UNIT = 64
 RATE = 8000
@@ -84,6 +85,21 @@ def resample(samples: np.ndarray, factor: int = 2) -> np.ndarray:
     return out.reshape(-1)
 
 
+def decimate(samples: np.ndarray, factor: int = 2) -> np.ndarray:
+    """Samples at 1 / ``factor`` of the rate: means of neighbours, rounded down; the last group may be short."""
+    wide = samples.astype(np.int64)
+    starts = np.arange(0, len(wide), factor)
+    return (np.add.reduceat(wide, starts) // np.diff(np.append(starts, len(wide)))).astype(np.int16) if len(wide) else samples
+
+
+def at_rate(samples: np.ndarray, rate: int, wanted: int) -> np.ndarray:
+    if wanted % rate == 0:
+        return resample(samples, wanted // rate)
+    if rate % wanted == 0:
+        return decimate(samples, rate // wanted)
+    raise ValueError(f"{rate} and {wanted} samples a second are no multiples of each other")
+
+
 def wave(tag: int, data: bytes, rate: int = RATE, bits: int = 8, align: int | None = None) -> bytes:
     """A mono RIFF/WAVE file."""
     align = align or bits // 8
@@ -170,19 +186,36 @@ def features(payloads: list[np.ndarray]) -> list[str]:
     return [";".join(x) for x in zip(*[_levels(*r) for r in read], strict=True)]
 
 
+def store(docs: DataFrame, key: str = "doc_id", text: str = "text", rate: int = 2 * RATE) -> DataFrame:
+    """Write key, n_bytes, media and pcm to the shared folder; pcm is the decoded media, resampled, as a PCM file."""
+    media = encode_payload(docs, key, text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                made = []
+                for x in part.column("media"):
+                    samples, own = decode(x.as_buffer())
+                    made.append(pcm_wave(at_rate(samples, own, rate), rate))
+                yield part.append_column("pcm", pa.array(made, pa.binary()))
+
+    return materialize(media.mapInArrow(run, StructType([*media.schema.fields, StructField("pcm", BinaryType())])), "media", level=6)
+
+
 def describe(media: DataFrame, key: str = "key") -> DataFrame:
-    """Read a media column back: key, n_bytes, payload and media digests, features and the digest of resampled PCM."""
+    """Read a table of ``store`` back: key, n_bytes, payload and media digests, features, samples and digest of the PCM."""
 
     def some(batch: pa.RecordBatch) -> pa.RecordBatch:
         files = [memoryview(x.as_buffer()) for x in batch.column("media")]
         payloads = [np.frombuffer(read_wave(f)[3], dtype=np.uint8) for f in files]
         rows = []
-        for file, payload, text in zip(files, payloads, features(payloads), strict=True):
-            pcm = pcm_wave(resample(TABLES[MULAW][payload]), 2 * RATE)
-            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(file), hashlib.sha256(file).hexdigest(), text, hashlib.sha256(pcm).hexdigest()))
-        types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+        for file, payload, text, pcm in zip(files, payloads, features(payloads), batch.column("pcm"), strict=True):
+            samples, _ = decode(pcm.as_buffer())
+            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(file), hashlib.sha256(file).hexdigest(), text, len(samples), hashlib.sha256(pcm.as_buffer()).hexdigest()))
+        types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
         columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column(key), batch.column("n_bytes"), *columns], names=["key", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm_sha256"])
+        return pa.RecordBatch.from_arrays([batch.column(key), batch.column("n_bytes"), *columns], names=["key", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm_samples", "pcm_sha256"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,11 +229,11 @@ def describe(media: DataFrame, key: str = "key") -> DataFrame:
                 yield some(batch.slice(at))
 
     schema = StructType().add("key", media.schema[key].dataType)
-    for name in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm_sha256"):
+    for name in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm_samples", "pcm_sha256"):
         schema = schema.add(name, "string" if name.endswith("sha256") or name == "feature" else "long")
     return media.mapInArrow(run, schema)
 
 
-def profile(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Store every text as media and describe what is read back."""
-    return describe(encode_payload(docs, key, text)).withColumnRenamed("key", key)
+def profile(docs: DataFrame, key: str = "doc_id", text: str = "text", rate: int = 2 * RATE) -> DataFrame:
+    """Store every text as media and as PCM of ``rate`` samples a second, and describe what is read back."""
+    return describe(store(docs, key, text, rate)).withColumnRenamed("key", key)

@@ -5,12 +5,16 @@
    hash evaluations. Bands of the signature are the candidates' buckets. Their number follows from the similarity, so
    that a pair right at the threshold shares no bucket with a chance of ``MISS`` only.
 2. Documents with equal sets become one class, represented by the smallest id.
-3. Representatives that share buckets, directly or in a chain, form a candidate group: a star in each bucket, then
-   connected components. No pairs are made.
-4. In each group all sets are compared exactly, by blocks: a group with more than ``BLOCK`` shingles is dealt into blocks,
-   and every two blocks meet in a task of their own, whatever the group's size. Of the links found a task returns those
-   that join parts it doesn't know as joined yet.
-5. Connected components of the links give the result.
+3. In each bucket the representative that shares most bucket places with others is the hub. It is compared with the
+   bucket's other members whose sizes allow a link: stars, whose work grows with the members. A star with many members
+   is dealt into parts, each with a copy of the hub.
+4. Components of the links found so far close a bucket when all its members but the hub are in one of them. The members of
+   the buckets that stay open form groups, directly or in a chain; in each group the sets are compared exactly, but for
+   those of one component, by blocks: a group with more than ``BLOCK`` shingles is dealt into blocks, and every two blocks
+   meet in a task of their own, whatever the group's size.
+5. Connected components of all links give the result.
+
+So any two representatives that share a bucket have been compared, or were linked before.
 
 Defined cases: a null text, and one without words, has an empty set and is linked with nothing; a text with fewer words
 than a shingle is one shingle; a row without doc_id is linked with nothing, has no component and is kept; repeated rows
@@ -25,11 +29,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestream.llm.arrow import buffers, map_slices, utf8
-from lodestream.llm.common import materialize
+from lodestream.llm.arrow import buffers, map_slices, slices, utf8
+from lodestream.llm.common import discard, fresh_name, materialize
 from lodestream.llm.components import connected_components
 
 MISS = 1e-5
@@ -167,14 +171,17 @@ def sign(docs: DataFrame, m: Measure) -> DataFrame:
     return docs.mapInArrow(map_slices(work, "text"), "doc_id long, n long, f1 long, f2 long, bands array<long>")
 
 
-def block_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> Iterator[tuple[int, int]]:
-    """Links between two lists of sets, or within one (right None): places in left + right, a spanning forest of them."""
+def block_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int, parts: list[int] | None = None) -> Iterator[tuple[int, int]]:
+    """Links between two lists of sets, or within one (right None): places in left + right, a spanning forest of them.
+
+    ``parts``: for each place the component that is known; sets of one component aren't compared.
+    """
     sets = left + (right or [])
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     _, codes = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.cumsum(sizes) - sizes
     flags = np.zeros(int(codes.max()) + 1, dtype=np.int32)
-    root = np.arange(len(sets))
+    root = np.arange(len(sets)) if parts is None else np.unique(np.array(parts), return_inverse=True)[1]
     for i in range(len(left)):
         own = codes[starts[i] : starts[i] + sizes[i]]
         lo = len(left) if right is not None else i + 1
@@ -192,80 +199,144 @@ def block_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent:
                 yield i, int(j)
 
 
+def _link_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["a", "b"])
+
+
+def star_links(stars: DataFrame, m: Measure) -> DataFrame:
+    """Links (a, b) between a hub and its members. ``stars``: hub, part, is_hub, doc_id, text; each part has its hub's row.
+
+    A task holds one hub's set and a slice of the rows.
+    """
+    width, percent = m.width, m.percent
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre = np.zeros(0, dtype=np.uint64)
+        for batch, texts in slices(batches, "text"):
+            hashes, ends = shingle_hashes(texts, width)
+            links = []
+            for k, (hub, is_hub, doc) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("hub", "is_hub", "doc_id")], strict=True)):
+                own = np.unique(hashes[ends[k] : ends[k + 1]])
+                if is_hub:
+                    centre = own
+                elif len(own) and len(centre):
+                    at = np.searchsorted(centre, own)
+                    shared = int((centre[np.minimum(at, len(centre) - 1)] == own).sum())
+                    if 100 * shared >= percent * (len(own) + len(centre) - shared):
+                        links.append((hub, doc))
+            if links:
+                yield _link_batch(links)
+
+    dealt = stars.repartition("hub", "part").sortWithinPartitions("hub", "part", F.desc("is_hub"), "doc_id")
+    return dealt.select("hub", "is_hub", "doc_id", "text").mapInArrow(run, "a long, b long")
+
+
 def confirmed_links(groups: DataFrame, m: Measure) -> DataFrame:
-    """Links (a, b) among the members of each candidate group. ``groups``: doc_id, text, grp, block, first, second.
+    """Links (a, b) among the members of each group. ``groups``: doc_id, text, grp, part, block, first, second.
 
-    Rows with equal (grp, first, second) are compared in one place: block ``first`` with block ``second``.
+    Rows with equal (grp, first, second) are compared in one place: block ``first`` with block ``second``. ``part`` is the
+    component that a member is known to be in.
     """
     width, percent = m.width, m.percent
 
-    def compare(rows: list[tuple[int, int, str]], first: int, second: int) -> list[tuple[int, int]]:
+    def compare(rows: list[tuple[int, int, str, int]], first: int, second: int) -> list[tuple[int, int]]:
         sides: list[list] = [[], []]
         ids: list[list] = [[], []]
-        hashes, ends = shingle_hashes(utf8(pa.array([t for _, _, t in rows], pa.string())), width)
-        for k, (doc, block, _) in enumerate(rows):
+        parts: list[list] = [[], []]
+        hashes, ends = shingle_hashes(utf8(pa.array([r[2] for r in rows], pa.string())), width)
+        for k, (doc, block, _, part) in enumerate(rows):
             side = int(block != first)
             sides[side].append(np.unique(hashes[ends[k] : ends[k + 1]]))
             ids[side].append(doc)
+            parts[side].append(part)
         if first == second:
-            return [(ids[0][i], ids[0][j]) for i, j in block_links(sides[0], None, percent)] if len(ids[0]) > 1 else []
+            return [(ids[0][i], ids[0][j]) for i, j in block_links(sides[0], None, percent, parts[0])] if len(ids[0]) > 1 else []
         if not ids[0] or not ids[1]:
             return []
         both = ids[0] + ids[1]
-        return [(both[i], both[j]) for i, j in block_links(sides[0], sides[1], percent)]
+        return [(both[i], both[j]) for i, j in block_links(sides[0], sides[1], percent, parts[0] + parts[1])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, rows, links = None, [], []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("grp", "first", "second", "doc_id", "block", "text")]
-            for grp, first, second, doc, block, text in zip(*columns, strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("grp", "first", "second", "doc_id", "block", "text", "part")]
+            for grp, first, second, doc, block, text, part in zip(*columns, strict=True):
                 if current != (grp, first, second):
                     if current is not None:
                         links += compare(rows, current[1], current[2])
                     current, rows = (grp, first, second), []
-                rows.append((doc, block, text))
+                rows.append((doc, block, text, part))
             if len(links) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["a", "b"])
+                yield _link_batch(links)
                 links = []
         if current is not None:
             links += compare(rows, current[1], current[2])
         if links:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["a", "b"])
+            yield _link_batch(links)
 
     met = groups.repartition("grp", "first", "second").sortWithinPartitions("grp", "first", "second", "doc_id")
-    return met.select("grp", "first", "second", "doc_id", "block", "text").mapInArrow(run, "a long, b long")
+    return met.select("grp", "first", "second", "doc_id", "block", "text", "part").mapInArrow(run, "a long, b long")
+
+
+def _stars(members: DataFrame, hubs: DataFrame, narrow: DataFrame, m: Measure, scratch: list[str]) -> DataFrame:
+    """Links of the stars. ``members``: bucket, doc_id, n; ``hubs``: b (a bucket), hub, hub_n."""
+    fits = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * m.percent
+    pairs = members.join(hubs, F.col("bucket") == F.col("b")).where((F.col("doc_id") != F.col("hub")) & fits).select("hub", "doc_id", "n").distinct()
+    pairs = materialize(pairs, "dedup-pairs", scratch)
+    sizes = pairs.groupBy(F.col("hub").alias("h")).agg(F.greatest(F.ceil(F.sum("n") / BLOCK), F.ceil(F.count("n") / BLOCK_ROWS)).cast("int").alias("parts"))
+    sizes = materialize(sizes, "dedup-parts", scratch)
+    rays = pairs.join(sizes, F.col("hub") == F.col("h")).select(F.col("doc_id").alias("member"), "hub", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("is_hub"))
+    centres = sizes.select(F.col("h").alias("member"), F.col("h").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("is_hub"))
+    placed = materialize(rays.unionByName(centres), "dedup-rays", scratch)
+    return materialize(star_links(narrow.join(placed, F.col("doc_id") == F.col("member")).select("hub", "part", "is_hub", "doc_id", "text"), m), "dedup-star-links", scratch)
+
+
+def _rest(members: DataFrame, hubs: DataFrame, parts: DataFrame, narrow: DataFrame, m: Measure, scratch: list[str]) -> DataFrame:
+    """Links among the members, but the hubs, of the buckets that the stars' components leave open."""
+    others = members.join(hubs.select("b", "hub"), F.col("bucket") == F.col("b")).where("doc_id <> hub").select("bucket", "doc_id", "n")
+    known = others.join(parts, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", "n", F.coalesce("component", "doc_id").alias("part"))
+    known = materialize(known, "dedup-others", scratch)
+    mixed = known.groupBy("bucket").agg(F.min("part").alias("least"), F.max("part").alias("most"), F.min("doc_id").alias("first_id")).where("least < most").select(F.col("bucket").alias("b"), "first_id")
+    mixed = materialize(mixed, "dedup-open", scratch)
+    left = materialize(known.join(mixed, F.col("bucket") == F.col("b")).select("doc_id", "n", "part", "first_id").distinct(), "dedup-left", scratch)
+    groups = connected_components(left.select(F.col("first_id").alias("a"), F.col("doc_id").alias("b")), "dedup-groups")
+    sized = materialize(groups.join(left.select("doc_id", "n", "part").distinct(), F.col("node") == F.col("doc_id")).select("doc_id", "component", "n", "part"), "dedup-grouped", scratch)
+    blocks = sized.groupBy("component").agg(F.greatest(F.ceil(F.sum("n") / BLOCK), F.ceil(F.count("n") / BLOCK_ROWS)).cast("int").alias("blocks"))
+    blocks = materialize(blocks.select(F.col("component").alias("grp"), "blocks"), "dedup-blocks", scratch)
+    dealt = sized.join(blocks, F.col("component") == F.col("grp")).select(F.col("doc_id").alias("member"), "grp", "part", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"), "blocks")
+    dealt = materialize(dealt, "dedup-dealt", scratch)
+    source = narrow.join(dealt, F.col("doc_id") == F.col("member"))
+    meetings = source.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("doc_id", "text", "grp", "part", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
+    return materialize(confirmed_links(meetings, m), "dedup-links", scratch)
 
 
 def near_duplicates(docs: DataFrame, m: Measure = Measure(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: key, n_shingles, component_id and kept."""
+    """One row per document: key, n_shingles, component_id and kept.
+
+    Texts are joined to written tables of ids: Spark broadcasts these while they are under its threshold, and otherwise
+    shuffles the texts once for the stars and once for the rest.
+    """
     narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = materialize(sign(narrow, m), "dedup-signed")
     named = signed.where("n > 0 and doc_id is not null")
     same = named.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("most"))
     classes = materialize(same.where("rep < most").select(F.col("f1").alias("c1"), F.col("f2").alias("c2"), "rep"), "dedup-classes")
     member = signed.join(classes, (F.col("f1") == F.col("c1")) & (F.col("f2") == F.col("c2")), "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    scratch: list[str] = []
     reps = member.where("n > 0 and doc_id is not null and rep = doc_id").select("doc_id", "n", "bands")
-    reps = materialize(reps, "dedup-representatives")
-
-    # candidate groups
-    buckets = reps.select(F.explode("bands").alias("bucket"), "doc_id")
-    hubs = buckets.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("most")).where("hub < most").select(F.col("bucket").alias("b"), "hub")
-    hubs = materialize(hubs, "dedup-hubs")
-    star = buckets.join(hubs, F.col("bucket") == F.col("b")).where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))
-    groups = connected_components(star, "dedup-groups")
-
-    # blocks: every two of a group meet once
-    sized = groups.join(reps.select("doc_id", "n").dropDuplicates(["doc_id"]), F.col("node") == F.col("doc_id")).select("doc_id", "component", "n")
-    sized = materialize(sized, "dedup-members")
-    blocks = sized.groupBy("component").agg(F.greatest(F.ceil(F.sum("n") / BLOCK), F.ceil(F.count("n") / BLOCK_ROWS)).cast("int").alias("blocks"))
-    blocks = materialize(blocks.select(F.col("component").alias("grp"), "blocks"), "dedup-blocks")
-    dealt = sized.join(blocks, F.col("component") == F.col("grp")).select("doc_id", "grp", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"), "blocks")
-    dealt = materialize(dealt, "dedup-dealt")
-    source = narrow.join(dealt.withColumnRenamed("doc_id", "member").hint("shuffle_hash"), F.col("doc_id") == F.col("member"))
-    meetings = source.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("doc_id", "text", "grp", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
-    links = materialize(confirmed_links(meetings, m), "dedup-links")
+
+    buckets = materialize(reps.select(F.explode("bands").alias("bucket"), "doc_id", "n"), "dedup-buckets", scratch)
+    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    shared = materialize(shared.select(F.col("bucket").alias("b"), "members"), "dedup-shared", scratch)
+    members = materialize(buckets.join(shared, F.col("bucket") == F.col("b")).select("bucket", "doc_id", "n", "members"), "dedup-members", scratch)
+    weight = materialize(members.groupBy(F.col("doc_id").alias("d")).agg(F.sum("members").alias("weight")), "dedup-weights", scratch)
+    weighed = members.join(weight, F.col("doc_id") == F.col("d")).groupBy("bucket").agg(F.max(F.struct("weight", -F.col("doc_id"), "n")).alias("top"))
+    hubs = materialize(weighed.select(F.col("bucket").alias("b"), (-F.col("top.col2")).alias("hub"), F.col("top.n").alias("hub_n")), "dedup-hubs", scratch)
+    links = _stars(members.drop("members"), hubs, narrow, m, scratch)
+    links = links.unionAll(_rest(members.drop("members"), hubs, connected_components(links, "dedup-stars"), narrow, m, scratch))
 
     parts = connected_components(links, "dedup-result")
+    discard(narrow.sparkSession, scratch)
     out = member.select("doc_id", "n", "rep").join(parts, F.col("rep") == F.col("node"), "left")
     component = F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "rep"))
     return out.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
@@ -274,11 +345,19 @@ def near_duplicates(docs: DataFrame, m: Measure = Measure(), key: str = "doc_id"
 def keep_one(docs: DataFrame, m: Measure = Measure(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, of one document of each group; rows without an id stay.
 
-    Rows that share an id are one document: of these, one row stays.
+    Rows that share an id and a text are one document: one of them stays, the first by a hash of all columns. An id that
+    stands for different texts can't be judged as one document: its rows stay, each text once.
     """
     verdict = materialize(near_duplicates(docs, m, key, text), "dedup-verdict")
-    gone = materialize(verdict.where("not kept").select(F.col(key).alias("_gone")).distinct(), "dedup-gone")
-    left = docs.join(gone, F.col(key) == F.col("_gone"), "left_anti")
-    if verdict.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").isEmpty():
-        return left
-    return left.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(left.where(F.col(key).isNull()))
+    gone, many = fresh_name(docs, "gone"), fresh_name(docs, "many")
+    dropped = materialize(verdict.where("not kept").select(F.col(key).alias(gone)).distinct(), "dedup-gone")
+    repeated = materialize(verdict.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(many)).count().where("count > 1").select(many), "dedup-repeated")
+    if repeated.isEmpty():
+        return docs.join(dropped, F.col(key) == F.col(gone), "left_anti")
+    single = docs.join(repeated, F.col(key) == F.col(many), "left_anti").join(dropped, F.col(key) == F.col(gone), "left_anti")
+    rank, kinds = fresh_name(docs, "rank"), fresh_name(docs, "kinds")
+    several = docs.join(repeated, F.col(key) == F.col(many), "left_semi")
+    first = Window.partitionBy(key, F.sha2(F.coalesce(text, F.lit("")), 256)).orderBy(F.xxhash64(*docs.columns))
+    once = several.withColumn(rank, F.row_number().over(first)).where(F.col(rank) == 1).withColumn(kinds, F.count(F.lit(1)).over(Window.partitionBy(key)))
+    judged = once.join(dropped.withColumn(rank + "d", F.lit(True)), F.col(key) == F.col(gone), "left").where((F.col(kinds) > 1) | F.col(rank + "d").isNull())
+    return single.unionByName(judged.select(*[F.col(f"`{c}`") for c in docs.columns]))

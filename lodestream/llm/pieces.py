@@ -5,7 +5,7 @@ left to right, and merges the first until none is left. No piece of such a vocab
 character, so a text falls into units (word marks, then other characters) that never merge with each other; each
 distinct unit is encoded once in a task. Short units of a batch go through the agenda side by side in numpy, one
 round of merges for all of them at a time; long ones use a heap. Every unit that is encoded is checked against the
-sentencepiece library, a batch at a time; a difference fails the task.
+sentencepiece library, a batch at a time, and so is one whole text of each batch; a difference fails the task.
 
 Defined cases: a null text is an empty one: begin and end ids, decoded to the empty text; the word mark U+2581 in a text
 is a space, as in the library; characters outside the vocabulary become byte pieces; texts and units of any length are
@@ -30,8 +30,9 @@ from lodestream.llm.arrow import map_slices
 MARK = "▁"
 #: Units of at most so many symbols are encoded side by side.
 SHORT = 24
-#: Distinct units that a task remembers before it starts anew.
-REMEMBERED = 400_000
+#: Bytes of units and their ids that a task remembers before it starts anew; longer units than LONGEST aren't remembered.
+REMEMBERED = 64 << 20
+LONGEST = 64
 NONE = np.int32(2**31 - 1)
 
 
@@ -241,17 +242,25 @@ class Encoder:
     def __init__(self, model: str):
         self.v = vocabulary(model)
         self.known: dict[str, bytes] = {}
+        self.size = 0
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers, without begin and end."""
         units = [units_of(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        known = self.known
+        if self.size > REMEMBERED:
+            self.known, self.size = {}, 0
+        known, long = self.known, {}
         new = list({u for own in units for u in own if u not in known})
         if new:
             for u, ids in zip(new, self.v.encode_units([MARK + u.replace(" ", MARK) for u in new]), strict=True):
-                known[u] = np.array(ids, dtype="<u4").tobytes()
+                made = np.array(ids, dtype="<u4").tobytes()
+                if len(u) > LONGEST:
+                    long[u] = made
+                else:
+                    known[u] = made
+                    self.size += 200 + 4 * len(u) + len(made)  # with what the objects take
+        if long:
+            return [b"".join([long[u] if u in long else known[u] for u in own]) for own in units]
         return [b"".join([known[u] for u in own]) for own in units]
 
 
@@ -265,7 +274,13 @@ def digest(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text")
         v = encoder.v
         begin, end = np.array([v.bos], dtype="<u4").tobytes(), np.array([v.eos], dtype="<u4").tobytes()
         n, coded, decoded = [], [], []
-        for ids in encoder(texts.to_pylist()):
+        given = texts.to_pylist()
+        every = encoder(given)
+        if given:  # the model's normalizer acts on whole texts: one of each batch is checked as a whole
+            k = min(range(len(given)), key=lambda i: abs(len(given[i]) - 500))
+            if v.library.encode(given[k]) != np.frombuffer(every[k], dtype="<u4").tolist():
+                raise ValueError(f"the library encodes a text of {len(given[k])} characters otherwise")
+        for ids in every:
             ids = begin + ids + end
             n.append(len(ids) // 4)
             coded.append(hashlib.sha256(ids).hexdigest())

@@ -238,6 +238,31 @@ def test_media(request, source):
     assert collected(media.profile(rows), "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32") == sorted(want, key=repr)
 
 
+def test_media_columns_are_stored(spark):
+    texts = [None, "", "a", "telephone " * 30, "é" * 500]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def ulaw(c):
+        c = ~c & 255
+        x = ((((c & 15) << 3) + 132) << (c >> 4 & 7)) - 132
+        return -x if c & 128 else x
+
+    for rate in (4000, 16000):
+        table = media.store(df, rate=rate)
+        described = {r["key"]: r for r in media.describe(table).collect()}
+        for r in table.collect():
+            data = (texts[r["key"]] or "").encode()
+            payload = data.ljust(max(64, -(-len(data) // 64) * 64), b"\0")
+            x = [ulaw(c) for c in payload]
+            want = [(a + b) // 2 for a, b in zip(x[::2], x[1::2], strict=True)] if rate == 4000 else [v for a, b in zip(x, [*x[1:], x[-1]], strict=True) for v in (a, (a + b) // 2)]
+            samples, got_rate = media.decode(bytes(r["pcm"]))
+            assert got_rate == rate and samples.tolist() == want and bytes(media.read_wave(bytes(r["media"]))[3]) == payload
+            d = described[r["key"]]
+            assert d["pcm_samples"] == len(want) and d["pcm_sha256"] == hashlib.sha256(bytes(r["pcm"])).hexdigest() and d["media_sha256"] == hashlib.sha256(bytes(r["media"])).hexdigest()
+            peak = f"ulaw:rms={math.isqrt(sum(v * v for v in x) // len(x))},peak={max(map(abs, x))},zc={sum((a < 0) != (b < 0) for a, b in zip(x, x[1:], strict=False)) * 1000 // len(x)}"
+            assert d["feature"].split(";")[0] == peak
+
+
 def test_audio_decoding():
     def ulaw(c):
         c = ~c & 255
@@ -366,6 +391,44 @@ def test_near_duplicates_split_into_blocks(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == parts
 
 
+def test_near_duplicates_in_mixed_buckets(spark, monkeypatch):
+    """Families whose members mostly miss the threshold to each other, and chains: the stars leave buckets open for the rest."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 700)
+    local, changed = [], 0
+    for g in range(3):
+        text = prose(70).split()
+        for k in range(25):  # independent changes of 1 to 4 words
+            own = text.copy()
+            for _ in range(1 + k % 4):
+                own[rng.randrange(70)] = f"new{changed}"
+                changed += 1
+            local.append((1000 * g + k, " ".join(own)))
+        own = text.copy()
+        for k in range(20):  # each one word from the one before
+            own[3 * k + 1] = f"step{g}"
+            local.append((1000 * g + 500 + k, " ".join(own)))
+    got = near_dedup.near_duplicates(spark.createDataFrame(local, "doc_id long, text string"), near_dedup.Measure(width=3, percent=85))
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == brute.components(local, 3, 85)
+
+
+def test_keep_one_judges_ids_by_their_texts(spark):
+    a, b, c = prose(50), prose(50), prose(50)
+    rows = [(1, a, 0), (2, a, 1), (2, a, 1), (3, b, 0), (3, b, 5), (4, a, 0), (4, c, 0), (4, c, 0), (5, c, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _gone int")
+    kept = near_dedup.keep_one(df).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([(1, a), (3, b), (4, a), (4, c)])
+
+
+def test_components_of_chains_and_hubs(spark):
+    from lodestream.llm.components import connected_components
+
+    order = list(range(300))
+    rng.shuffle(order)
+    links = [*zip(order, order[1:], strict=False), *[(1000, 2000 + k) for k in range(500)], (5000, 5000), (7000, 6999), (6999, 7000)]
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a long, b long"), "test").collect()}
+    assert got == {**dict.fromkeys(range(300), 0), 1000: 1000, **{2000 + k: 1000 for k in range(500)}, 6999: 6999, 7000: 6999}
+
+
 def test_chat(spark):
     said = "</s>[INST] ok [/INST]"
     turns = [
@@ -380,6 +443,9 @@ def test_chat(spark):
         want.append((conv, len(own), hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in own).encode()).hexdigest(), len(learned), hashlib.sha256(learned.encode()).hexdigest()))
     formatted = chat.format_conversations(df)
     assert collected(chat.digest(formatted), "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256") == sorted(want, key=repr)
+    shuffled = formatted.orderBy(F.xxhash64("formatted"))
+    assert collected(chat.digest(shuffled), "conv_id", "turns_sha256") == collected(chat.digest(formatted), "conv_id", "turns_sha256")
+    assert formatted.where("conv_id = 5").count() > 1
     body = [r["formatted"] for r in formatted.collect() if r["conv_id"] == 1]
     assert body[0].count("</s>\n") == 2 and body[0].count("[INST]") == 0
     assert chat.digest(chat.format_conversations(df.limit(0))).count() == 0
@@ -412,6 +478,34 @@ def test_classifier_reads_every_chunk_and_edges(spark, edge):
     assert a < b and a < c and abs(network.score(texts[1:2])[0] - b) < 1e-9
 
 
+def test_classifier_score_in_plain_python():
+    """The network's score by loops over chunks, positions, bytes and lags; scores don't depend on the other texts."""
+    r = np.random.default_rng(3)
+    net = byte_cnn.Network(None, *[r.normal(0, s, d).astype(np.float32) for s, d in ((0.2, (8, 256, 3)), (0.3, (22, 3)), (0.1, 3), (0.5, (6, 2)), (0.1, 2), (0.5, 2))], 0.1)
+
+    def score(text):
+        data = text.encode()
+        n = max(-(-len(data) // 4), 1)
+        at = lambda i: data[i] if 0 <= i < len(data) else 0
+
+        def response(q, f):
+            same = [sum(at(4 * q + j) == at(4 * q + j - lag) != 0 for j in range(8)) / 8 for lag in byte_cnn.LAGS]
+            return max(0.0, float(net.bias[f] + sum(net.table[j, at(4 * q + j), f] for j in range(8)) + sum(s * net.lag[k, f] for k, s in enumerate(same))))
+
+        begins = [0]
+        while begins[-1] + 128 < n:
+            begins.append(begins[-1] + 112)
+        pooled = [[max(response(q, f) for q in range(b, min(b + 128, n))) for f in range(3)] for b in begins]
+        features = [max(c) for c in zip(*pooled, strict=True)] + [sum(c) / len(pooled) for c in zip(*pooled, strict=True)]
+        hidden = [math.tanh(sum(x * float(net.w1[i, k]) for i, x in enumerate(features)) + float(net.b1[k])) for k in range(2)]
+        return 1 / (1 + math.exp(-(sum(h * float(w) for h, w in zip(hidden, net.w2, strict=True)) + net.b2)))
+
+    texts = ["", "a", "one two", prose(200), "#*$ " * 300, "é世" * 150, prose(30)]
+    together = net.score(pa.array(texts, pa.large_string()))
+    assert np.abs(together - [score(t) for t in texts]).max() < 2e-6
+    assert [net.score(pa.array([t], pa.large_string()))[0] for t in texts] == together.tolist()
+
+
 def test_pipeline_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
