@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestream.plans import analytics, clinical_fhir, clinical_hl7, clinical_tables, learning, mutation, relational, surfaces
+from lodestream.plans import analytics, clinical_fhir, clinical_hl7, clinical_tables, learning, mutation, relational, surfaces, vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _module in (relational, analytics, mutation, clinical_hl7, clinical_fhir, clinical_tables, surfaces, learning):
+for _module in (relational, analytics, mutation, clinical_hl7, clinical_fhir, clinical_tables, surfaces, learning, vocabulary):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Known types, required fields, alternatives of a choice, and value domains.
-KNOWN_TYPES = ["Patient", "Observation", "Encounter", "Condition", "MedicationRequest", "Immunization", "DiagnosticReport", "Procedure", "AllergyIntolerance", "Bundle", "Practitioner", "Organization", "Location", "CarePlan", "Claim", "Coverage"]
+KNOWN_TYPES = ["Patient", "Observation", "Encounter", "MedicationRequest", "DiagnosticReport", "Immunization", "Procedure", "Condition", "AllergyIntolerance", "Bundle", "Practitioner", "Organization", "Location", "Medication", "ServiceRequest", "CarePlan"]
 REQUIRED = {
     "Observation": ["status", "code"],
     "Encounter": ["status", "class"],
@@ -235,5 +235,12 @@ def gold_observations(observation: DataFrame) -> DataFrame:
     return final.select(F.col("id").alias("observation_id"), F.col("subject_id").alias("patient_id"), "encounter_id", "code", "code_display", "category_code", "value", "value_unit", "effective_datetime", "interpretation_code")
 
 
+def hourly_stats(rows: DataFrame, time: str = "_ingestion_timestamp", source: str = "_source_file") -> DataFrame:
+    """Resources by hour, type and validity: how many, how many distinct ids, and of how many files."""
+    by = rows.groupBy(F.window(time, "1 hour").alias("w"), "resource_type", "is_valid")
+    counted = by.agg(F.count(F.lit(1)).alias("record_count"), F.countDistinct("resource_id").alias("unique_resources"), F.countDistinct(source).alias("source_files"))
+    return counted.select(F.col("w.start").alias("window_start"), "resource_type", "is_valid", "record_count", "unique_resources", "source_files")
+
+
 def freshness(minutes: Column) -> Column:
     return F.when(minutes <= 60, "FRESH").when(minutes <= 360, "STALE").otherwise("VERY_STALE")

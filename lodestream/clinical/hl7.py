@@ -79,14 +79,8 @@ TABLES = {
 def split_batch(text: Column) -> Column:
     """The messages of a file: array of texts of trimmed, non-empty lines joined by a line feed; lines before the first
     MSH are a message of their own."""
-    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\r\n|\r|\n"), F.trim), lambda x: x != "")
-    empty = F.array().cast("array<string>")
-
-    def step(acc: Column, line: Column) -> Column:
-        grown = F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.concat_ws("\n", F.try_element_at(acc, F.lit(-1)), line)))
-        return F.when(line.startswith("MSH") | (F.size(acc) == 0), F.concat(acc, F.array(line))).otherwise(grown)
-
-    return F.aggregate(lines, empty, step)
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\r\n|\r|\n"), lambda x: F.trim(x, F.lit(" \t\v\f"))), lambda x: x != "")
+    return F.filter(F.split(F.array_join(lines, "\n"), "\n(?=MSH)"), lambda m: m != "")
 
 
 def parse_segment(fields: Column, spec: dict) -> dict[str, Column]:

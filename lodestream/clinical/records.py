@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestream.clinical import fhir
 
 # Types, required fields and value domains of the strict view, beyond those of the live one.
-STRICT_TYPES = [*fhir.KNOWN_TYPES, "Medication", "MedicationStatement", "Device", "ServiceRequest", "Specimen", "CareTeam", "Goal", "ExplanationOfBenefit"]
+STRICT_TYPES = [*fhir.KNOWN_TYPES, "CareTeam", "Goal", "Device", "DocumentReference", "Composition", "Coverage", "Claim", "ExplanationOfBenefit"]
 STRICT_REQUIRED = {**fhir.REQUIRED, "Procedure": ["status", "subject"], "AllergyIntolerance": ["patient"]}
 DOMAINS = {
     ("Patient", "gender"): ["male", "female", "other", "unknown"],

@@ -10,8 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def one_per_key(changes: DataFrame, key: str) -> DataFrame:
+    """The changes; two of one key fail the job, for which of them holds isn't known. Rows without a key stay as they are."""
+    row = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.concat(F.lit("several changes of one key: "), F.col(key).cast("string"))).cast(changes.schema)).otherwise(F.first(F.struct(*changes.columns)))
+    return changes.where(F.col(key).isNotNull()).groupBy(key).agg(row.alias("_row")).select("_row.*").unionByName(changes.where(F.col(key).isNull()))
+
+
 def upsert(target: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """Rows of changes replace those of the target with the same key; others are added. changes has one row per key."""
+    """Rows of changes, one per key, replace those of the target with the same key; others are added."""
+    changes = one_per_key(changes, key)
     return target.join(changes.select(key), key, "left_anti").unionByName(changes)
 
 
@@ -28,6 +35,7 @@ def scd2(target: DataFrame, updates: DataFrame, key: str, value: str, effective:
 
     target: key, value, current, effective, end_date. An update that changes nothing is ignored.
     """
+    updates = one_per_key(updates, key)
     u = updates.select(key, F.col(value).alias("_value"), F.col(effective).alias("_effective"))
     joined = target.join(u, key, "left")
     closes = F.col("current") & F.col("_effective").isNotNull() & ~F.col(value).eqNullSafe(F.col("_value"))

@@ -107,6 +107,15 @@ def fhir_condition(supplier):
     return fhir.silver(fhir.bronze(made), "condition").select("id", "code_display", "subject_id", "clinical_status_code", "recorded_date")
 
 
+@query("""SELECT date_trunc('hour', o_orderdate) AS window_start, 'Encounter' AS resource_type, o_orderkey % 11 <> 0 AS is_valid, count(*) AS record_count, count(DISTINCT o_custkey) AS unique_resources, count(DISTINCT o_orderpriority) AS source_files
+  FROM orders GROUP BY ALL""")
+def fhir_hourly_stats(orders):
+    """Encounters without a class are invalid; ids are those of customers and files those of priorities, so that both repeat."""
+    klass = F.when(F.col("o_orderkey") % 11 != 0, F.struct(F.lit("AMB").alias("code"))).alias("class")
+    made = orders.select(F.col("o_orderdate").cast("timestamp").alias("_ingestion_timestamp"), F.col("o_orderpriority").alias("_source_file"), _json("Encounter", _s("o_custkey"), F.lit("finished").alias("status"), klass).alias("value"))
+    return fhir.hourly_stats(fhir.bronze(made)).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
 @query("""WITH m AS (SELECT event_type, CAST(floor(epoch(TIMESTAMP '2030-01-01') - epoch(max(ts))) AS BIGINT) // 60 AS minutes FROM events GROUP BY 1)
   SELECT event_type, minutes, CASE WHEN minutes <= 60 THEN 'FRESH' WHEN minutes <= 360 THEN 'STALE' ELSE 'VERY_STALE' END AS freshness FROM m""")
 def fhir_freshness(events):

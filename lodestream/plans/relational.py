@@ -150,12 +150,17 @@ def left_join_journey(customer, orders):
 
 @query("SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON s_nationkey = c_nationkey AND abs(s_acctbal - c_acctbal) < 10")
 def theta_residual_join(supplier, customer):
-    return supplier.join(customer, (F.col("s_nationkey") == F.col("c_nationkey")) & (F.abs(F.col("s_acctbal") - F.col("c_acctbal")) < 10)).select("s_suppkey", "c_custkey")
+    """Balances are put in buckets as wide as the difference, and joined with the same and the next buckets only."""
+    bucket = lambda c: F.floor(F.col(c) / 10)
+    near = supplier.withColumn("bucket", F.explode(F.array(bucket("s_acctbal") - 1, bucket("s_acctbal"), bucket("s_acctbal") + 1)))
+    there = customer.withColumn("c_bucket", bucket("c_acctbal"))
+    on = (F.col("s_nationkey") == F.col("c_nationkey")) & (F.col("bucket") == F.col("c_bucket")) & (F.abs(F.col("s_acctbal") - F.col("c_acctbal")) < 10)
+    return near.join(there, on).select("s_suppkey", "c_custkey")
 
 
-@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'")
 def anti_except(customer, orders):
-    return customer.select("c_custkey").subtract(orders.select("o_custkey"))
+    return customer.select("c_custkey").subtract(orders.where("o_orderpriority = '1-URGENT' and o_orderstatus = 'F'").select("o_custkey"))
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")

@@ -19,6 +19,24 @@ def tolerant_json(spark: SparkSession, path: str, schema: str) -> tuple[DataFram
     return parsed.where("j._bad is null").select("j.*").drop("_bad"), parsed.where("j._bad is not null").select(F.col("value").alias("bad_record"))
 
 
+def csv(spark: SparkSession, path: str, schema: str | None = None, sep: str = ",", header: bool = True) -> DataFrame:
+    """Delimited files. Without a schema Spark reads the files once more to infer one."""
+    reader = spark.read.option("sep", sep).option("header", header)
+    return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
+
+
+def csv_view(spark: SparkSession, name: str, path: str, schema: str, sep: str = ",", header: bool = True) -> DataFrame:
+    """A temporary SQL view with typed columns over delimited files."""
+    csv(spark, path, schema, sep, header).createOrReplaceTempView(name)
+    return spark.table(name)
+
+
+def at_path(spark: SparkSession, kind: str, path: str) -> DataFrame:
+    """Files queried by their path, without a table."""
+    quoted = path.replace("`", "``")
+    return spark.sql(f"SELECT * FROM {kind}.`{quoted}`")
+
+
 def write_ndjson(df: DataFrame, path: str, rows_per_file: int = 1000) -> None:
     df.select(F.to_json(F.struct("*")).alias("value")).write.option("maxRecordsPerFile", rows_per_file).text(path)
 

@@ -23,10 +23,10 @@ RETRIED = {429, 500, 502, 503, 504}
 
 @dataclass(frozen=True)
 class Limits:
-    """count: resources a page; pages, results: most of each (None: all); per_second: requests; tries and delay: back-off."""
+    """count: resources a page; pages, results: most of each (None: all), where a search that goes on after its pages fails; per_second: requests; tries and delay: back-off."""
 
     count: int = 100
-    pages: int | None = 1000
+    pages: int | None = None
     results: int | None = None
     per_second: float = 10.0
     tries: int = 3
@@ -69,6 +69,8 @@ def search(transport: Transport, base: str, kind: str, params: dict, headers: di
                 seen += 1
                 yield entry["resource"]
         url = next((x.get("url") for x in bundle.get("link") or [] if x.get("relation") == "next"), None)
+    if url:
+        raise OSError(f"{base}: the search goes on after {pages} pages; allow more")
 
 
 def since(timestamp: str) -> dict:

@@ -65,7 +65,8 @@ def test_rest_pages(spark):
     fast = rest.Limits(per_second=1e6)
     assert [r["id"] for r in rest.search(_server, "http://x", "Patient", {}, {}, fast)] == ["1-0", "1-1", "2-0", "2-1", "3-0", "3-1"]
     assert len(list(rest.search(_server, "http://x", "Patient", rest.since("2024"), {}, rest.Limits(results=3, per_second=1e6)))) == 3
-    assert len(list(rest.search(_server, "http://x", "Patient", {}, {}, rest.Limits(pages=1, per_second=1e6)))) == 2
+    with pytest.raises(OSError, match="goes on after 1 pages"):
+        list(rest.search(_server, "http://x", "Patient", {}, {}, rest.Limits(pages=1, per_second=1e6)))
 
 
 def test_rest_retries():
@@ -128,3 +129,43 @@ def test_libsvm(spark, tmp_path):
     (tmp_path / "d.txt").write_text("1 1:0.5 3:2\n0 2:1\n")
     rows = files.libsvm(spark, str(tmp_path / "d.txt"), 3).collect()
     assert [(r["label"], r["features"].toArray().tolist()) for r in rows] == [(1.0, [0.5, 0.0, 2.0]), (0.0, [0.0, 1.0, 0.0])]
+
+
+def test_a_write_that_died_is_skipped(spark, tmp_path):
+    path = str(tmp_path / "t")
+    versioned.write(spark.range(1), path)
+    (tmp_path / "t" / "_v=1").mkdir()  # what is left of a write that was killed
+    (tmp_path / "t" / "_v=1" / "part-0.parquet").write_bytes(b"cut off")
+    assert versioned.read(spark, path).count() == 1
+    assert versioned.write(spark.range(7), path) == 2 and versioned.read(spark, path).count() == 7
+    versioned.write(spark.range(8), path)
+    assert versioned.vacuum(spark, path, keep=2) == [0, 1] and versioned.versions(spark, path) == [2, 3]
+
+
+def test_two_changes_of_a_key_fail(spark):
+    target = spark.createDataFrame([(1, "a")], "k int, v string")
+    with pytest.raises(Exception, match="several changes of one key: 1"):
+        merge.upsert(target, spark.createDataFrame([(1, "b"), (1, "c")], "k int, v string"), "k").collect()
+    rows = merge.upsert(target, spark.createDataFrame([(None, "x"), (None, "y"), (2, "z")], "k int, v string"), "k").collect()
+    assert sorted(map(tuple, rows), key=repr) == [(1, "a"), (2, "z"), (None, "x"), (None, "y")]
+
+
+def test_delimited_files(spark, tmp_path):
+    (tmp_path / "c.csv").write_text("id|day|place\n1|2020-01-02|a\n2||b\n")
+    path = str(tmp_path / "c.csv")
+    assert [tuple(r) for r in files.csv(spark, path, "id int, day string, place string", sep="|").collect()] == [(1, "2020-01-02", "a"), (2, None, "b")]
+    assert dict(files.csv(spark, path, sep="|").dtypes)["id"] == "int"
+    files.csv_view(spark, "given_csv", path, "id int, day date, place string", sep="|")
+    assert spark.sql("SELECT max(day) AS d FROM given_csv").first()["d"].isoformat() == "2020-01-02"
+    assert files.at_path(spark, "text", path).count() == 3
+
+
+def test_message_split_is_linear(spark):
+    import time
+
+    from lodestream.clinical import hl7
+
+    file = "FHS|x\r\n" + "MSH|^~\\&|A\r PID|1 \r\n\nOBX|MSH\n" * 16_000
+    start = time.perf_counter()
+    got = spark.createDataFrame([(file,)], "f string").select(hl7.split_batch(F.col("f")).alias("m")).selectExpr("size(m) AS n", "m[0] AS a", "m[1] AS b").first()
+    assert got["n"] == 16_001 and got["a"] == "FHS|x" and got["b"] == "MSH|^~\\&|A\nPID|1\nOBX|MSH" and time.perf_counter() - start < 20
