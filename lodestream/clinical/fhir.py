@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestream.operators.once import explode_present, with_columns_once
+
 # Known types, required fields, alternatives of a choice, and value domains.
 KNOWN_TYPES = ["Patient", "Observation", "Encounter", "MedicationRequest", "DiagnosticReport", "Immunization", "Procedure", "Condition", "AllergyIntolerance", "Bundle", "Practitioner", "Organization", "Location", "Medication", "ServiceRequest", "CarePlan"]
 REQUIRED = {
@@ -78,37 +80,32 @@ def _missing(v: Column, name: str) -> Column:
     return F.coalesce(text.isin("null", '""', "[]", "{}", "false", "0"), F.lit(True))
 
 
-def validate(json: Column) -> Column:
-    """A struct: is_valid, resource_type, resource_id, meta_version_id, meta_last_updated, validation_errors, warnings."""
-
-    def errors(v: Column, kind: Column) -> Column:
-        basic = F.when(F.coalesce(F.trim(json), F.lit("")) == "", "empty resource").when(v.isNull(), "malformed JSON").when(_missing(v, "resourceType"), "missing resourceType")
-        of_type = F.array().cast("array<string>")
-        for t, fields in REQUIRED.items():
-            checks = [F.when(_missing(v, f), f"{t}: missing required field {f}") for f in fields]
-            if t in CHOICES:
-                a, b = CHOICES[t]
-                checks.append(F.when(_missing(v, a) & _missing(v, b), f"{t}: missing {a} or {b}"))
-            of_type = F.when(kind == t, F.array(*checks)).otherwise(of_type)
-        return F.array_compact(F.concat(F.array(basic), of_type))
+def validated(rows: DataFrame, raw: str = "raw_resource") -> DataFrame:
+    """Add is_valid, resource_type, resource_id, meta_version_id, meta_last_updated, validation_errors and warnings.
 
-    def checked(v: Column, kind: Column) -> Column:
-        found = errors(v, kind)
-        return F.struct(
-            kind.alias("resource_type"), F.try_variant_get(v, "$.id", "string").alias("resource_id"), F.try_variant_get(v, "$.meta.versionId", "string").alias("meta_version_id"),
-            F.try_to_timestamp(F.try_variant_get(v, "$.meta.lastUpdated", "string")).alias("meta_last_updated"), found.alias("validation_errors"), F.array_compact(F.array(F.when(~kind.isin(KNOWN_TYPES), F.concat(F.lit("unknown type "), kind)))).alias("warnings"),
-        )
-
-    typed = lambda v: _bind(F.try_variant_get(v, "$.resourceType", "string"), lambda kind: checked(v, kind))
-    valid = lambda s: F.struct((F.size(s["validation_errors"]) == 0).alias("is_valid"), *[s[n].alias(n) for n in ("resource_type", "resource_id", "meta_version_id", "meta_last_updated", "validation_errors", "warnings")])
-    return _bind(_bind(F.try_parse_json(json), typed), valid)
+    Each text is parsed once; a filter on the type is applied before the fields are checked.
+    """
+    v, kind = F.col("_v"), F.col("resource_type")
+    parsed = with_columns_once(rows, {"_v": F.try_parse_json(F.col(raw))}).withColumn("resource_type", F.try_variant_get(v, "$.resourceType", "string"))
+    basic = F.when(F.coalesce(F.trim(F.col(raw)), F.lit("")) == "", "empty resource").when(v.isNull(), "malformed JSON").when(_missing(v, "resourceType"), "missing resourceType")
+    of_type = F.array().cast("array<string>")
+    for t, fields in REQUIRED.items():
+        checks = [F.when(_missing(v, f), f"{t}: missing required field {f}") for f in fields]
+        if t in CHOICES:
+            a, b = CHOICES[t]
+            checks.append(F.when(_missing(v, a) & _missing(v, b), f"{t}: missing {a} or {b}"))
+        of_type = F.when(kind == t, F.array(*checks)).otherwise(of_type)
+    checked = with_columns_once(parsed, {"validation_errors": F.array_compact(F.concat(F.array(basic), of_type))})
+    return checked.select(
+        *rows.columns, (F.size("validation_errors") == 0).alias("is_valid"), "resource_type", F.try_variant_get(v, "$.id", "string").alias("resource_id"), F.try_variant_get(v, "$.meta.versionId", "string").alias("meta_version_id"),
+        F.try_to_timestamp(F.try_variant_get(v, "$.meta.lastUpdated", "string")).alias("meta_last_updated"), "validation_errors", F.array_compact(F.array(F.when(~kind.isin(KNOWN_TYPES), F.concat(F.lit("unknown type "), kind)))).alias("warnings"),
+    )
 
 
 def bronze(lines: DataFrame, value: str = "value") -> DataFrame:
     """One row per resource, valid or not. Other columns, such as the source file, are kept."""
     keep = [c for c in lines.columns if c != value]
-    exploded = lines.select(*keep, F.explode(bundle_entries(F.col(value))).alias("raw_resource"))
-    return exploded.withColumn("_v", validate(F.col("raw_resource"))).select(*keep, "raw_resource", "_v.*")
+    return validated(explode_present(lines, bundle_entries(F.col(value)), "raw_resource", keep))
 
 
 def quarantine(rows: DataFrame) -> DataFrame:
@@ -213,17 +210,18 @@ EXTRACT = {"patient": _patient, "observation": _observation, "encounter": _encou
 
 
 def silver(rows: DataFrame, name: str) -> DataFrame:
-    """The latest version of each resource of one type. Ties go to the higher version id, then to the greater text."""
+    """The latest version of each resource of one type. Ties go to the higher version id, then to the greater hash of the text,
+    so that the text itself is shuffled only where it is asked for."""
     p = F.col("_p")
-    typed = rows.where(F.col("is_valid") & (F.col("resource_type") == TYPE_OF[name])).withColumn("_p", F.from_json("raw_resource", SCHEMAS[name]))
-    out = typed.select(p["id"].alias("id"), p["meta"]["versionId"].alias("meta_version_id"), _ts(p["meta"]["lastUpdated"]).alias("meta_last_updated"), *[c.alias(n) for n, c in EXTRACT[name](p).items()], "raw_resource")
+    typed = with_columns_once(rows.where(F.col("is_valid") & (F.col("resource_type") == TYPE_OF[name])).select("raw_resource"), {"_p": F.from_json("raw_resource", SCHEMAS[name])})
+    out = typed.select(p["id"].alias("id"), p["meta"]["versionId"].alias("meta_version_id"), _ts(p["meta"]["lastUpdated"]).alias("meta_last_updated"), *[c.alias(n) for n, c in EXTRACT[name](p).items()], "raw_resource", F.xxhash64("raw_resource").alias("_h"))
     keep = F.coalesce(F.col("id"), F.lit("")) != ""
     if name in STATUS:
         keep &= F.col("status").isin(STATUS[name])
     if name == "medication_request":
         keep &= F.col("intent").isin(INTENTS)
-    latest = Window.partitionBy("id").orderBy(F.desc_nulls_last("meta_last_updated"), F.desc_nulls_last("meta_version_id"), F.desc("raw_resource"))
-    return out.where(F.coalesce(keep, F.lit(False))).withColumn("_r", F.row_number().over(latest)).where("_r = 1").drop("_r")
+    latest = Window.partitionBy("id").orderBy(F.desc_nulls_last("meta_last_updated"), F.desc_nulls_last("meta_version_id"), F.desc("_h"))
+    return out.where(F.coalesce(keep, F.lit(False))).withColumn("_r", F.row_number().over(latest)).where("_r = 1").drop("_r", "_h")
 
 
 def gold_demographics(patient: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestream.operators.once import explode_present, with_columns_once
+
 # For each segment, field index -> {column: component index, or None for the whole field}. In MSH the
 # index counts from the segment's name, so it is one less than HL7's field number.
 MSH = {
@@ -137,7 +139,7 @@ def parse(messages: DataFrame, message: str = "message") -> DataFrame:
     """Add every parse column to rows with one message each. A message that doesn't begin with MSH gets a parse error."""
     m = F.col(message)
     valid = F.coalesce(F.ltrim(m).startswith("MSH"), F.lit(False))
-    out = messages.withColumn("_segments", F.when(valid, F.transform(F.split(m, "\n"), lambda s: F.split(s, r"\|"))))
+    out = with_columns_once(messages, {"_segments": F.when(valid, F.transform(F.split(m, "\n"), lambda s: F.split(s, r"\|")))})
     first = lambda name: F.get(_segments(name), F.lit(0))
     last = lambda name: F.try_element_at(_segments(name), F.lit(-1))
     out = out.withColumns({f"_{n}": c for n, c in {"MSH": first("MSH"), "PID": first("PID"), "EVN": last("EVN"), "PV1": last("PV1"), "ORC": last("ORC"), "OBR": last("OBR"), "SCH": last("SCH")}.items()})
@@ -168,16 +170,16 @@ def route(parsed: DataFrame, kind: str) -> DataFrame:
 
 def flatten_observations(oru: DataFrame) -> DataFrame:
     keys = ["message_control_id", "message_datetime", "patient_id", "patient_name_family", "patient_name_given", "placer_order_number", "filler_order_number", "service_code", "service_text"]
-    return oru.select(*keys, F.explode("observations").alias("o")).select(*keys, "o.*")
+    return explode_present(oru, F.col("observations"), "o", keys).select(*keys, "o.*")
 
 
 def flatten_resources(siu: DataFrame) -> DataFrame:
     keys = ["message_control_id", "message_datetime", "patient_id", "patient_name_family", "patient_name_given", "placer_appointment_id", "filler_appointment_id"]
-    flat = siu.select(*keys, F.explode("resources").alias("r")).select(*keys, "r.*")
+    flat = explode_present(siu, F.col("resources"), "r", keys).select(*keys, "r.*")
     return flat.withColumnsRenamed({"start_datetime": "resource_start_datetime", "duration": "resource_duration", "filler_status_code": "resource_filler_status"})
 
 
 def flatten_vaccinations(vxu: DataFrame) -> DataFrame:
     keys = ["message_control_id", "message_datetime", "patient_id", "patient_name_family", "patient_name_given", "date_of_birth", "gender"]
-    flat = vxu.select(*keys, F.explode("vaccinations").alias("v")).select(*keys, "v.*").drop("order_control", "placer_order_number", "filler_order_number", "administration_end_datetime")
+    flat = explode_present(vxu, F.col("vaccinations"), "v", keys).select(*keys, "v.*").drop("order_control", "placer_order_number", "filler_order_number", "administration_end_datetime")
     return flat.withColumnsRenamed({"administration_start_datetime": "administration_datetime", "vaccine_code": "cvx_code", "vaccine_coding_system": "coding_system", "administered_amount": "dose_amount", "administered_units": "dose_units", "manufacturer_code": "mvx_code"})

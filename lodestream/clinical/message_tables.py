@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestream.clinical import hl7
 from lodestream.operators.expectations import Expectations
+from lodestream.operators.once import explode_present
 
 # What each table expects of its rows.
 _SIZE = "coalesce(size({}), 0) > 0"
@@ -23,7 +24,7 @@ FLAT = {"ORU": ("oru_observations", hl7.flatten_observations), "SIU": ("siu_reso
 def parse_files(files: DataFrame, value: str = "value") -> DataFrame:
     """One row a message of each file: the file's other columns, the whole message, and all parse columns."""
     keep = [c for c in files.columns if c != value]
-    split = files.select(*keep, F.explode(hl7.split_batch(F.col(value))).alias("_raw_message_full"))
+    split = explode_present(files, hl7.split_batch(F.col(value)), "_raw_message_full", keep)
     return hl7.parse(split, "_raw_message_full")
 
 

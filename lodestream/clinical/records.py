@@ -125,8 +125,7 @@ def quarantine_records(rows: DataFrame, errors: str = "validation_errors") -> Da
 
 def reprocessed(records: DataFrame, at: Column) -> DataFrame:
     """The records after another try: one attempt more, resolved where the resource is valid now."""
-    tried = records.withColumn("_v", fhir.validate(F.col("raw_resource")))
     again = ~F.col("is_resolved")
-    return tried.withColumns({
-        "reprocess_attempts": F.col("reprocess_attempts") + again.cast("int"), "last_reprocess": F.when(again, at).otherwise(F.col("last_reprocess")), "is_resolved": F.col("is_resolved") | F.col("_v.is_valid"),
-    }).drop("_v")
+    return fhir.validated(records).select(*records.columns, "is_valid").withColumns({
+        "reprocess_attempts": F.col("reprocess_attempts") + again.cast("int"), "last_reprocess": F.when(again, at).otherwise(F.col("last_reprocess")), "is_resolved": F.col("is_resolved") | F.col("is_valid"),
+    }).drop("is_valid")

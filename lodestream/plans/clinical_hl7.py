@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestream.clinical import hl7
+from lodestream.operators.once import explode_present
 from lodestream.plans import relational
 
 QUERIES, ORACLES = {}, {}
@@ -48,7 +49,7 @@ def oru_messages(orders, lineitem, customer):
 
 
 def _parsed(files):
-    return hl7.parse(files.select(F.explode(hl7.split_batch(F.col("file"))).alias("message")))
+    return hl7.parse(explode_present(files, hl7.split_batch(F.col("file")), "message", []))
 
 
 @query("""SELECT CAST(o_orderkey AS VARCHAR) AS message_control_id, CAST(c_custkey AS VARCHAR) AS patient_id, c_mktsegment AS patient_name_given, 'F' || o_orderkey AS filler_order_number, o_orderpriority AS service_code,
