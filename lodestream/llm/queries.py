@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestream.llm import byte_cnn, chat, licenses, media, near_dedup, packing, pieces, pii, quality_rules, warc
+from lodestream.llm import byte_cnn, chat, decontaminate, filter_audit, licenses, media, merkle, near_dedup, packing, pieces, pii, quality_rules, warc
 from lodestream.llm.common import materialize
 
 
@@ -61,14 +61,32 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_cnn.rate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(_table(spark, sf_dir, "documents"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_packing, op2_license_scans, op3_pii, op4_media_columns, op5_sentencepiece, op6_warc, op7_quality_rules, op8_minhash_near_dedup, op9_chat_formatting, op10_quality_classifier)
-} | {"pipeline": corpus_pipeline.run}
+    for f in (
+        op1_packing, op2_license_scans, op3_pii, op4_media_columns, op5_sentencepiece, op6_warc, op7_quality_rules, op8_minhash_near_dedup, op9_chat_formatting, op10_quality_classifier,
+        op11_filter_audit, op12_merkle_manifest, op13_decontamination,
+    )
+} | {"pipeline": corpus_pipeline.run}
 
 ORACLES: dict[str, str] = {
     "op2_license_scans": licenses.oracle_sql(),
     "op7_quality_rules": quality_rules.oracle_sql(),
+    "op11_filter_audit": filter_audit.oracle_sql(),
+    "op12_merkle_manifest": merkle.oracle_sql(),
+    "op13_decontamination": decontaminate.oracle_sql(),
     "op8_minhash_near_dedup": """
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
         s AS (SELECT DISTINCT doc_id, CASE WHEN len(words) < 3 THEN words ELSE list_slice(words, i::INT, i::INT + 2) END AS g FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 2, 1) + 1)) AS i FROM w WHERE len(words) > 0)),
