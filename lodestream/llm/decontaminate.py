@@ -40,6 +40,7 @@ TRIED = 1 << 20
 #: A long text is split into words in pieces of about so many bytes.
 PIECE = 1 << 20
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+BREAK = re.compile(rb"[^0-9A-Za-z\x80-\xff]")
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -52,9 +53,8 @@ def words_of(text: bytes) -> Iterator[list[bytes]]:
     """The words of a text in pieces; a piece ends at the end of a word."""
     at = 0
     while at < len(text):
-        to = at + PIECE
-        while to < len(text) and WORD.match(text, to - 1) and WORD.match(text, to):
-            to += 1
+        end = BREAK.search(text, at + PIECE)
+        to = end.end() if end else len(text)
         yield WORD.findall(text[at:to].lower())
         at = to
 
