@@ -4,11 +4,13 @@ Found and validated values are replaced by keyed pseudonyms of the same format.
 network: the value is split in two parts, and ten rounds add a keyed hash of one part to the other, modulo that part's
 range. That is a permutation of the values of a format, so equal values stay equal in every document, different ones
 stay different, and who holds the key can invert it. Mail addresses and secrets, whose formats have no fixed size, get
-keyed hashes in their own alphabet: 12 to 24 hex digits for the user of a mail address, as many as the secret has, but
-at most 64, for a secret. A secret behind a name and = (or, behind password, passwd, pwd and api_key, a colon) is found in
-any case of the name, with or without blanks and quotes, which stay; quotes may hold blanks, in up to 256 characters. If
-the secret is a value of another kind it gets the pseudonym of that kind, so it stays linked to its other places. An
-upper-case hex key stays upper-case, with the pseudonym of its lower-case form.
+keyed hashes in their own alphabet: 12 to 24 hex digits for the user of a mail address, as many as the secret has for a
+secret. A secret behind a name and =, => or := (or, behind password, passwd, pwd and api_key, a colon) is found in any case
+of the name, with or without blanks and quotes around name and value, which stay; quotes may hold blanks and end on the
+line. Behind secret and token a colon counts where the value is quoted or has a digit and six characters at least, since
+prose has these words as well; behind authorization and bearer, basic or token any value is one. If the secret is a value
+of another kind it gets the pseudonym of that kind, so it stays linked to its other places. An upper-case hex key stays
+upper-case, with the pseudonym of its lower-case form.
 
 Validation: card numbers by their check digit (13 to 19 digits), IPv4 by octets up to 255, dates by the calendar,
 1900-01-01 to 2099-12-31, as year-month-day with hyphens or as day, month and year with slashes or dots (month first only
@@ -37,14 +39,20 @@ ROUNDS = 10
 #: The setting that holds the key of the pseudonyms, and the key of sessions without it, which protects nothing.
 KEY_SETTING, DEMO_KEY = "spark.lodestream.pseudonym.key", "lodestream-demo-key"
 
+#: The words before the value of an authorization header.
+SCHEME = r"(?:(?i:bearer|basic|token)[ \t]++)"
 #: What stands before a secret.
-NAMED = r"(?:(?i:password|passwd|pwd|secret|api_key|token)[ \t]*+=++>?+[ \t]*+|(?i:password|passwd|pwd|api_key)[ \t]{0,8}+:[ \t]{0,8}+)"
+NAMED = (
+    r"""(?:(?i:password|passwd|pwd|secret|api[_-]?key|token)["']?+[ \t]*+(?::=|=++>?+)[ \t]*+|(?i:password|passwd|pwd|api[_-]?key)["']?+[ \t]*+:(?!=)[ \t]*+"""
+    r"""|(?i:secret|token)["']?+[ \t]*+:(?!=)[ \t]*+(?=["'][^"'\s]|(?=[^\s,;]{6})[^\s,;0-9]{0,200}+[0-9])|(?i:authorization)["']?+[ \t]*+[:=][ \t]*+["']?+"""
+    rf"{SCHEME})"
+)
 
 #: Formats by kind. The order decides which one takes a place that two could take.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])(?=[._%+-]*+[A-Za-z0-9])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}+\.){1,126}[A-Za-z]{2,63}+(?![\w-])",
     "awskey": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "password": rf"""(?<![A-Za-z0-9]){NAMED}(?!(?:""|'')(?![^\s,;]))(?:(?:"[^"\n]{{1,256}}"|'[^'\n]{{1,256}}')(?:[A-Za-z0-9][^\s,;]*)?|[^\s,;]+)""",
+    "password": rf"""(?<![A-Za-z0-9]){NAMED}(?!(?:""|'')(?![^\s,;]))(?:(?:"[^"\n]++"|'[^'\n]++')(?:[A-Za-z0-9][^\s,;]*)?|[^\s,;]+)""",
     "hexkey": r"(?<![0-9A-Za-z])[0-9A-Fa-f]{40}(?![0-9A-Za-z])",
     "ipv4": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "isodate": r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])",
@@ -59,8 +67,14 @@ MAYBE = rf"@|[0-9]{{2}}|[0-9]\.[0-9]|AKIA|[0-9A-Fa-f]{{40}}|{NAMED}"
 
 
 def session_key(spark: SparkSession) -> str:
-    """The key that the session's configuration holds. Pseudonyms stay linked as long as it stays the same."""
-    return spark.conf.get(KEY_SETTING, None) or DEMO_KEY
+    """The key that the session's configuration holds. Pseudonyms stay linked as long as it stays the same.
+
+    Only a session on one machine, as in tests, may do without the setting.
+    """
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"set {KEY_SETTING}: the built-in key is public, and who knows the key can invert the pseudonyms")
+    return key or DEMO_KEY
 
 
 def keyed(key: str, *parts: Column) -> Column:
@@ -130,12 +144,19 @@ def _hexlike(key: str, kind: str, value: Column, n: Column) -> Column:
     return F.substr(F.concat(F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit(kind), value), 256), F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit(kind + "2"), value), 256)), F.lit(1), n)
 
 
+def _secret(key: str, named: Column, n: Column) -> Column:
+    """n hex digits: the keyed hash of a secret with its name, then hashes of that hash."""
+    first = _hexlike(key, "password", named, F.lit(64))
+    more = F.transform(F.sequence(F.lit(1), F.floor((n - 1) / 64).cast("int")), lambda i: F.sha2(F.concat_ws("\x1f", F.lit(key), i.cast("string"), first), 256))
+    return F.when(n <= 64, F.substr(first, F.lit(1), n)).otherwise(F.substr(F.concat(first, F.array_join(more, "")), F.lit(1), n))
+
+
 def _opened(v: Column) -> Column:
     """A struct (head, inner, tail) of a match: the name, = and quotes around a secret, which are empty for other kinds."""
     secret = v.rlike(f"^(?:{PATTERNS['password']})$")
     head = F.when(secret, F.regexp_extract(v, f"^{NAMED}[\"']*", 0)).otherwise(F.lit(""))
     split = lambda h: F.struct(h.alias("head"), F.substr(v, F.length(h) + 1, F.length(v)).alias("rest"))
-    tail = lambda x: F.when(x["head"].rlike("[\"']$"), F.regexp_extract(x["rest"], "(?<![\"'])[\"']++$", 0)).otherwise(F.lit(""))
+    tail = lambda x: F.when(x["head"].rlike(f"[\"']{SCHEME}?$"), F.regexp_extract(x["rest"], "(?<![\"'])[\"']++$", 0)).otherwise(F.lit(""))
     ended = F.transform(F.transform(F.array(head), split), lambda x: F.struct(x["head"].alias("head"), x["rest"].alias("rest"), tail(x).alias("tail")))
     return F.get(F.transform(ended, lambda x: F.struct(x["head"].alias("head"), F.substr(x["rest"], F.lit(1), F.length(x["rest"]) - F.length(x["tail"])).alias("inner"), x["tail"].alias("tail"))), F.lit(0))
 
@@ -143,7 +164,7 @@ def _opened(v: Column) -> Column:
 def _replacement(x: Column, key: str) -> Column:
     """A struct (kind, value) for a match in its parts: a secret that is of no other kind gets a hash of its name and itself."""
     name = F.lower(F.regexp_extract(x["head"], "^[A-Za-z_]+", 0))
-    secret = _hexlike(key, "password", F.concat(name, F.lit("="), x["inner"]), F.least(F.length(x["inner"]), F.lit(64)))
+    secret = _secret(key, F.concat(name, F.lit("="), x["inner"]), F.length(x["inner"]))
     hidden = F.when((x["head"] != "") & (x["inner"] != "") & x["m"]["kind"].isNull(), F.struct(F.lit("password").alias("kind"), secret.alias("value"))).otherwise(x["m"])
     return F.get(F.transform(F.array(hidden), lambda m: F.struct(m["kind"].alias("kind"), F.concat(x["head"], m["value"], x["tail"]).alias("value"))), F.lit(0))
 

@@ -211,11 +211,13 @@ def pseudonymized(text, key, patterns, named):
             got = pseudonym(v, key, patterns)
         else:
             head = re.match(f"{named}[\"']*", v)[0]
-            tail = re.search("[\"']*$", v[len(head) :])[0] if head[-1] in "\"'" else ""
+            tail = re.search("[\"']*$", v[len(head) :])[0] if re.search("[\"']((?i:bearer|basic|token)[ \t]+)?$", head) else ""
             inner = v[len(head) : len(v) - len(tail)]
             got = pseudonym(inner, key, patterns)
             if got is None and inner:
-                got = "password", _hexlike(key, "password", f"{re.match('[A-Za-z_]+', head)[0].lower()}={inner}", min(len(inner), 64))
+                first = _hexlike(key, "password", f"{re.match('[A-Za-z_]+', head)[0].lower()}={inner}", 64)
+                more = [hashlib.sha256(f"{key}\x1f{i}\x1f{first}".encode()).hexdigest() for i in range(1, (len(inner) - 1) // 64 + 1)]
+                got = "password", "".join([first, *more])[: len(inner)]
             if got:
                 got = got[0], head + got[1] + tail
         if got is None:
