@@ -200,24 +200,32 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", max_rows: int = 3000, max_bytes: int = 64 << 20) -> Network:
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", max_rows: int = 3000, max_bytes: int = 64 << 20, max_text: int = 4 << 20) -> Network:
     """Fit on at most max_rows labelled documents that aren't held out, in the order of a hash of their id, as long as their
     texts take at most max_bytes together.
 
-    The chosen ids are at most max_rows rows and are broadcast; what reaches the driver is their sizes, then the chunks of
-    those that fit. A document labelled twice counts as good only if every label says so.
+    Of a document over max_text bytes nothing is learned (it is scored as a whole, like all others), so no single one can
+    use up the room. If that leaves none of the labelled documents, training raises rather than return a network that knows
+    nothing. The chosen ids are at most max_rows rows and are broadcast; what reaches the driver is their sizes, then the
+    chunks of those that fit. A document labelled twice counts as good only if every label says so.
     """
     ours = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
-    chosen = ours.groupBy(F.col("doc_id").alias("k")).agg(F.min("quality").cast("int").alias("quality")).orderBy(F.xxhash64("k"), "k").limit(max_rows)
+    marks = ours.groupBy(F.col("doc_id").alias("k")).agg(F.min("quality").cast("int").alias("quality"))
 
     narrow = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    chosen = marks.orderBy(F.xxhash64("k"), "k").limit(max_rows)
     sizes = narrow.join(F.broadcast(chosen.select(F.col("k").cast("long").alias("k"))), F.col("id") == F.col("k")).groupBy("k").agg(F.max(F.octet_length(F.coalesce("text", F.lit("")))).alias("n"))
-    total, fitting = 0, []
+    total, fitting, met = 0, [], 0
     for r in sizes.orderBy(F.xxhash64("k"), "k").collect():
+        met += 1
+        if r["n"] > min(max_text, max_bytes):
+            continue
         total += r["n"]
         if total > max_bytes:
             break
         fitting.append((r["k"],))
+    if met and not fitting:
+        raise ValueError(f"all of the {met} labelled documents looked at are longer than {min(max_text, max_bytes)} bytes: raise max_text and max_bytes")
     ids = docs.sparkSession.createDataFrame(fitting, "fits long")
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,8 +267,11 @@ def keep_good(docs: DataFrame, labelled: DataFrame, labels: DataFrame, key: str
     """The rows of docs, with all their columns, that are predicted to be good.
 
     ``labelled`` has the documents that the labels are about. It may hold more than docs: where earlier steps have taken
-    the bad documents out of docs, nothing could be learned from docs alone.
+    the bad documents out of docs, nothing could be learned from docs alone. Without labels, or with labels of one class
+    only, nothing can be told apart and all rows stay.
     """
     network = train(labelled, labels, key, text)
+    if network.constant is not None:
+        return docs
     score = fresh_name(docs, "score")
     return docs.withColumn(score, score_column(F.col(text), network)).where(F.col(score) >= THRESHOLD).drop(score)

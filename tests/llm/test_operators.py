@@ -177,7 +177,33 @@ def test_pii_secrets_in_any_form(spark):
     assert [r["kinds"] for r in got[:9]] == ["hexkey"] * 4 + ["password"] * 5
     new = out[3][4:]
     assert re.fullmatch("[0-9a-f]{40}", new) and out[:3] == [f'TOKEN = "{new.upper()}"!! TIINST', f'token = "{new}" and more', f"key {new.upper()}."]
-    assert out[4].lower() == out[5] and re.fullmatch("PWD = '[0-9a-f]{9}', next", out[6]) and re.fullmatch('api_key\t=\t"[0-9a-f]{7}"\\.', out[7]) and re.fullmatch("secret == [0-9a-f]{64} end", out[8])
+    assert out[4].lower() == out[5] and re.fullmatch("PWD = '[0-9a-f]{9}', next", out[6]) and re.fullmatch('api_key\t=\t"[0-9a-f]{7}"\\.', out[7]) and re.fullmatch("secret == [0-9a-f]{5000} end", out[8])
+
+
+def test_pii_secrets_by_hand(spark):
+    """Each form with its secret in << >>, and what must come out around it; texts without << >> stay as they are."""
+    long = "pass phrase of many words " * 80
+    forms = [
+        '{"password": "<<hunter2pass>>", "n": 1}', "{'api_key': '<<A1b2C3d4E5>>'}", 'password := "<<abc>>"', "pwd:=<<abcdef>>", "token: <<abcDEF123456>>", "secret:   <<k3yk3y>> end", 'secret: "<<stay>>"', "Authorization: Bearer <<abc.DEF-123_x>> end",
+        '"Authorization": "Bearer <<abc.def>>", "x": 2', f'password="<<{long}>>" end', f"password:{' ' * 40}<<hunter2>>", "api-key = <<xyz>>", "apikey=<<xyz>>", "Token => '<<q w>>'", 'password: "<<one>>" and password: "<<two>>"', "password=<<[" + "y" * 3000 + ">>",
+        "the secret: never give up", "token : of thanks", "a token: 5 of them", "authorization: none", 'secret: ""', "password :=", "the bearer of this", "secret:", "token:" * 50,
+    ]
+    texts = [f.replace("<<", "").replace(">>", "") for f in forms]
+    got = [r["text"] for r in sorted(pii.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect())]
+    for form, text, out in zip(forms, texts, got, strict=True):
+        pattern = "".join(f"[0-9a-f]{{{len(p)}}}" if k % 2 else re.escape(p) for k, p in enumerate(re.split("<<|>>", form)))
+        assert re.fullmatch(pattern, out), (text[:80], out[:80])
+        assert all(secret not in out for secret in re.findall("<<(.*?)>>", form))
+        assert ("<<" in form) or out == text
+
+
+def test_pii_needs_a_key_off_one_machine(spark):
+    class Elsewhere:
+        conf = spark.conf
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="set spark.lodestream.pseudonym.key"):
+        pii.session_key(Elsewhere)
 
 
 def test_pii_against_brute_force(spark, docs):
@@ -532,3 +558,22 @@ def test_one_row_a_document(spark, name):
     table = {"op6_warc": "pages", "op9_chat_formatting": None}.get(name, "documents")
     n = queries.QUERIES[name](spark, SF).count()
     assert n == (spark.read.parquet(f"{SF}/{table}.parquet").count() if table else spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id").distinct().count() + 1)
+
+
+def test_classifier_learns_beside_a_text_over_its_bound(spark):
+    """One huge labelled document, wherever the order puts it, takes nothing from the others; only huge ones are an error."""
+    small = [(k, prose(20) if k % 3 else "#%" * 40, int(k % 3 > 0)) for k in range(60)]
+    for huge in range(0, 60, 7):
+        rows = [(k, "y" * 5000 if k == huge else t, q) for k, t, q in small]
+        df = spark.createDataFrame(rows, "doc_id long, text string, quality int").coalesce(2)
+        if huge:
+            assert byte_cnn.train(df, df.select("doc_id", "quality"), max_bytes=20_000, max_text=4000).constant is None
+        else:
+            with pytest.raises(ValueError, match="longer than 50 bytes"):
+                byte_cnn.train(df.where("length(text) > 50"), df.select("doc_id", "quality"), max_bytes=50)
+
+
+def test_classifier_keeps_all_without_labels(spark, edge):
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert byte_cnn.keep_good(edge, edge, none).count() == len(EDGE)
+    assert byte_cnn.keep_good(edge, edge, spark.createDataFrame([(8, 0), (9, 0)], "doc_id long, quality int")).count() == len(EDGE)
