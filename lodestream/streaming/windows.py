@@ -23,13 +23,21 @@ def windowed_counts(events: DataFrame, key: str, time: str, width: str = "1 hour
 
 
 def interval_join(left: DataFrame, right: DataFrame, key: tuple[str, str], time: tuple[str, str], within: str, how: str = "inner", late: tuple[str, str] = ("10 seconds", "20 seconds")) -> DataFrame:
-    """Rows of right with the same key at most ``within`` after a row of left. Both times get watermarks on streams."""
+    """Rows of right with the same key at most ``within`` after a row of left. Both times get watermarks on streams.
+
+    Time is cut into buckets as long as the interval. A right row goes to its own bucket and the one before, a left row
+    only to its own, so each pair meets once, a left row stays one row for outer joins, and a key with very many rows is
+    split by time.
+    """
     (lk, rk), (lt, rt) = key, time
     left, right = left.withColumn(lt, F.col(lt).cast("timestamp")), right.withColumn(rt, F.col(rt).cast("timestamp"))
     if is_stream(left):
         left, right = left.withWatermark(lt, late[0]), right.withWatermark(rt, late[1])
-    on = (F.col(lk) == F.col(rk)) & (F.col(rt) >= F.col(lt)) & (F.col(rt) <= F.col(lt) + F.expr(f"interval {within}"))
-    return left.join(right, on, how)
+    bucket = lambda t: F.floor(F.unix_micros(t) / F.unix_micros(F.timestamp_seconds(F.lit(0)) + F.expr(f"interval {within}")))
+    left = left.withColumn("_at", bucket(F.col(lt)))
+    right = right.withColumn("_near", F.explode_outer(F.array(bucket(F.col(rt)), bucket(F.col(rt)) - 1)))
+    on = (F.col(lk) == F.col(rk)) & (F.col("_at") == F.col("_near")) & (F.col(rt) >= F.col(lt)) & (F.col(rt) <= F.col(lt) + F.expr(f"interval {within}"))
+    return left.join(right, on, how).drop("_at", "_near")
 
 
 def file_stream(spark: SparkSession, path: str, schema, glob: str | None = None, files_per_trigger: int = 1) -> DataFrame:
