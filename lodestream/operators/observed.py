@@ -1,18 +1,21 @@
 """Expectations that are counted by the job that writes, in batch and in streams.
 
 The counts ride along in the plan of the write (``DataFrame.observe``), so nothing is read twice. Rows that break an
-expectation of kind quarantine go to a folder of their own in the same write.
+expectation of kind quarantine go to a folder of their own in the same write. Named metrics and a listener are used in
+batch as well: with an ``Observation`` the session can no longer be serialized, and models whose summaries hold it fail.
 """
 
 from __future__ import annotations
 
+import json
 import threading
 import time
 import uuid
 from dataclasses import asdict, dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.java_gateway import ensure_callback_server_started
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
@@ -73,7 +76,7 @@ def _outcome() -> list[Column]:
     return [F.coalesce(F.sum(F.when(F.col(GOOD), 1).otherwise(0)), F.lit(0)).alias("written"), F.coalesce(F.sum(F.when(F.col(GOOD), 0).otherwise(1)), F.lit(0)).alias("quarantined")]
 
 
-def checked(df: DataFrame, rules: Expectations, before: Observation | str, after: Observation | str) -> DataFrame:
+def checked(df: DataFrame, rules: Expectations, before: str, after: str) -> DataFrame:
     """df with its expectations counted on the way: rows that fail or are dropped are gone, others have _broken and _good."""
     out = df.observe(before, *_counts(rules))
     for name, c in rules.fail.items():
@@ -91,15 +94,44 @@ def _result(run: str, table: str, rules: Expectations, counted: list[dict[str, i
     return RunResult(run, table, True, seen, written, quarantined, seen - written - quarantined, len(counted), broken, [], round(time.time() - start, 3))
 
 
-def write(df: DataFrame, rules: Expectations, path: str) -> RunResult:
+class _Executions:
+    """Hears of the session's executions and keeps the metrics of some names."""
+
+    def __init__(self, names: list[str]):
+        self.names, self.found, self.complete = names, {}, threading.Event()
+
+    def onSuccess(self, function, execution, nanoseconds) -> None:
+        metrics = execution.observedMetrics()
+        for name in self.names:
+            if metrics.contains(name):
+                self.found.update(json.loads(metrics.apply(name).json()))
+                self.names = [n for n in self.names if n != name]
+        if not self.names:
+            self.complete.set()
+
+    def onFailure(self, function, execution, error) -> None:
+        pass
+
+    class Java:
+        implements = ["org.apache.spark.sql.util.QueryExecutionListener"]
+
+
+def write(df: DataFrame, rules: Expectations, path: str, patience: float = 60.0) -> RunResult:
     """Write df below ``path``, good rows and rows for quarantine in folders of their own, counted by that one job."""
-    run, start = uuid.uuid4().hex, time.time()
-    before, after = Observation(f"before-{run}"), Observation(f"after-{run}")
+    spark, run, start = df.sparkSession, uuid.uuid4().hex, time.time()
+    names = [f"before-{run}", f"after-{run}"]
+    ensure_callback_server_started(spark.sparkContext._gateway)
+    heard, listeners = _Executions(list(names)), spark._jsparkSession.listenerManager()
+    listeners.register(heard)
     try:
-        checked(df, rules, before, after).write.partitionBy(GOOD).parquet(path)
+        checked(df, rules, *names).write.partitionBy(GOOD).parquet(path)
+        if not heard.complete.wait(patience):  # the listener hears of the write a little later
+            raise TimeoutError(f"{path} is written, but its counts did not come in {patience} seconds")
     except Exception as error:
         raise WriteFailed(RunResult(run, path, False, errors=[str(error)], duration_seconds=round(time.time() - start, 3))) from error
-    return _result(run, path, rules, [{**before.get, **after.get}], start)
+    finally:
+        listeners.unregister(heard)
+    return _result(run, path, rules, [heard.found], start)
 
 
 class _Listener(StreamingQueryListener):

@@ -192,3 +192,11 @@ def test_expectations_are_counted_by_each_batch(spark, tmp_path):
     summed = {name: sum(r.broken[name] for r in total) for name in rules.all()}
     assert summed == {r["expectation"]: r["broken"] for r in rules.metrics(df).collect()}
     assert rows(observed.read(spark, str(tmp_path / "out"))) == [(1, "x"), (2, "y")]
+
+
+def test_models_work_after_a_checked_write(spark, tmp_path):
+    """A session that has counted expectations can still be captured by a model's summary."""
+    from lodestream import catalog
+
+    observed.write(spark.createDataFrame(DATA, "a int, b string"), Expectations(RULES.warn), str(tmp_path / "t"))
+    assert catalog.QUERIES["ml_logistic_cross_validation"](spark, "/root/testdata/sf0.001").count() > 0
