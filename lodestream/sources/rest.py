@@ -13,7 +13,7 @@ import urllib.error
 import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -57,7 +57,7 @@ def fetch(transport: Transport, url: str, headers: dict, limits: Limits, sleep:
 
 def search(transport: Transport, base: str, kind: str, params: dict, headers: dict, limits: Limits, sleep: Callable[[float], None] = time.sleep) -> Iterator[dict]:
     """Resources of all pages of a search."""
-    url: str | None = f"{base.rstrip('/')}/{kind}?{urllib.parse.urlencode({'_count': limits.count, **params})}"
+    url: str | None = f"{base.rstrip('/')}/{kind}?{urllib.parse.urlencode({'_count': limits.count, **params}, doseq=True)}"
     seen = pages = 0
     while url and (limits.pages is None or pages < limits.pages):
         bundle = fetch(transport, url, headers, limits, sleep)
@@ -73,6 +73,22 @@ def search(transport: Transport, base: str, kind: str, params: dict, headers: di
         raise OSError(f"{base}: the search goes on after {pages} pages; allow more")
 
 
+def by_id(transport: Transport, base: str, kind: str, key: str, headers: dict, limits: Limits, sleep: Callable[[float], None] = time.sleep) -> dict | None:
+    """One resource, or None where the server has none (404) or none any more (410)."""
+    url = f"{base.rstrip('/')}/{kind}/{urllib.parse.quote(key, safe='')}"
+    gone = lambda u, h: (200, {}, "null") if (got := transport(u, h))[0] in (404, 410) else got
+    return fetch(gone, url, headers, limits, sleep)
+
+
+def capability(transport: Transport, base: str, headers: dict, limits: Limits, sleep: Callable[[float], None] = time.sleep) -> dict[str, list[str]]:
+    """What the server says it can do: the interactions of each resource type."""
+    statement = fetch(transport, f"{base.rstrip('/')}/metadata", headers, limits, sleep)
+    if statement.get("resourceType") != "CapabilityStatement":
+        raise OSError(f"{base}: no capability statement but {statement.get('resourceType')}")
+    kinds = [k for r in statement.get("rest") or [] for k in r.get("resource") or []]
+    return {k["type"]: [i["code"] for i in k.get("interaction") or []] for k in kinds}
+
+
 def since(timestamp: str) -> dict:
     """Parameters of an incremental search."""
     return {"_lastUpdated": f"gt{timestamp}"}
@@ -95,7 +111,9 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: Query) -> Iterator[tuple]:
         headers = {"Accept": "application/fhir+json", **({"Authorization": f"Bearer {self.token}"} if self.token else {})}
-        for resource in search(self.transport, self.base, partition.kind, partition.params, headers, self.limits):
+        # the budget of requests is the server's, so the tasks, which may all run at once, share it
+        limits = replace(self.limits, per_second=self.limits.per_second / len(self.queries))
+        for resource in search(self.transport, self.base, partition.kind, partition.params, headers, limits):
             yield partition.kind, resource.get("id"), json.dumps(resource)
 
 
