@@ -1,10 +1,10 @@
-"""Queries that run streams and writes: stream-stream joins with restarts, upserts by bucket, observed expectations."""
+"""Queries that run streams and writes: stream-stream joins with restarts, upserts by bucket, observed expectations, registered schemas."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestream.operators import observed
+from lodestream.operators import observed, schema_registry
 from lodestream.operators.expectations import Expectations
 from lodestream.plans import relational
 from lodestream.sources import bucketed
@@ -108,3 +108,32 @@ def quarantine_in_one_write(customer):
     observed.write(customer, RULES, path)
     read = lambda good: observed.read(spark, path, good).select("c_custkey", "c_name", F.lit(good).alias("good"))
     return read(True).unionAll(read(False))
+
+
+_DOCUMENTS = """SELECT 'order' AS kind, to_json(o) AS v FROM orders o UNION ALL SELECT 'event', json_object('event_id', event_id, 'value', value, 'event_type', event_type, 'props', CAST(props AS JSON)) FROM events"""
+_KIND = "CASE WHEN t IN ('UBIGINT', 'BIGINT') THEN 'integer' WHEN t IN ('DOUBLE') THEN 'decimal' WHEN t = 'OBJECT' THEN 'object' ELSE 'text' END"
+
+
+def _documents(orders, events):
+    """Orders and events as JSON documents, events with a nested object."""
+    order = orders.select(F.lit("order").alias("kind"), F.to_json(F.struct(*orders.columns)).alias("value"))
+    nested = F.struct("event_id", "value", "event_type", F.from_json("props", "k long").alias("props"))
+    return order.unionAll(events.select(F.lit("event").alias("kind"), F.to_json(nested).alias("value")))
+
+
+@query(f"""WITH d AS ({_DOCUMENTS}), top AS (SELECT kind, v, unnest(json_keys(v)) AS k FROM d), one AS (SELECT kind, k AS path, json_extract(v, '$.' || k) AS x FROM top),
+  two AS (SELECT kind, path || '.' || k AS path, json_extract(x, '$.' || k) AS x FROM (SELECT *, unnest(json_keys(x)) AS k FROM one WHERE json_type(x) = 'OBJECT'))
+  SELECT kind, path, {_KIND} AS type, count(*) AS n FROM (SELECT kind, path, json_type(x) AS t FROM one UNION ALL SELECT kind, path, json_type(x) FROM two) GROUP BY ALL""")
+def schema_fields(orders, events):
+    """The fields of each kind of document, with their types and how many documents have them."""
+    return schema_registry.fields(_documents(orders, events), "kind", "value")
+
+
+@query("""SELECT 'event' AS kind, path, change, old_type, new_type, CAST(n AS BIGINT) AS n FROM (SELECT count(*) AS c, count(value) AS v FROM events),
+  LATERAL (VALUES ('ts', 'new', NULL, 'text', c), ('props.k', 'lost', 'integer', NULL, 0), ('props', 'retyped', 'object', 'text', c), ('user_id', 'new', NULL, 'integer', c)) t(path, change, old_type, new_type, n)""")
+def schema_drift(orders, events):
+    """Documents of a changed shape against the registered version of their kind."""
+    spark, path = orders.sparkSession, new_folder(orders.sparkSession, "schemas")
+    schema_registry.register(schema_registry.fields(_documents(orders, events), "kind", "value"), path)
+    changed = events.select(F.lit("event").alias("kind"), F.to_json(F.struct(*events.columns)).alias("value"))
+    return schema_registry.compare(schema_registry.registered(spark, path), schema_registry.fields(changed, "kind", "value"))
