@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodestream.operators import observed, schema_registry
 from lodestream.operators.expectations import Expectations
 from lodestream.plans import relational
-from lodestream.sources import bucketed
+from lodestream.sources import bucketed, tables
 from lodestream.sources.shared import new_folder
 from lodestream.streaming import joins
 
@@ -137,3 +137,32 @@ def schema_drift(orders, events):
     schema_registry.register(schema_registry.fields(_documents(orders, events), "kind", "value"), path)
     changed = events.select(F.lit("event").alias("kind"), F.to_json(F.struct(*events.columns)).alias("value"))
     return schema_registry.compare(schema_registry.registered(spark, path), schema_registry.fields(changed, "kind", "value"))
+
+
+def _orders_table(orders):
+    """Name and place of a new external table of the orders, partitioned by status."""
+    folder = new_folder(orders.sparkSession, "orders")
+    name = f"orders_{folder.rpartition('-')[2]}"
+    tables.create_as(orders.select("o_orderkey", "o_totalprice", "o_orderstatus"), name, folder, ["o_orderstatus"])
+    return name, folder
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 0.0 ELSE o_totalprice END AS o_totalprice, o_orderstatus FROM orders
+  UNION ALL SELECT o_orderkey, o_totalprice, 'X' FROM orders WHERE o_orderpriority = '1-URGENT'""")
+def catalog_partition_overwrite(orders):
+    """A table created from a query, rows inserted into a new partition, one partition overwritten; then only its files are left."""
+    spark, (name, folder) = orders.sparkSession, _orders_table(orders)
+    tables.insert(orders.where("o_orderpriority = '1-URGENT'").select(F.lit("X").alias("o_orderstatus"), "o_orderkey", "o_totalprice"), name)
+    tables.overwrite_partitions(orders.where("o_orderstatus = 'F'").select("o_orderkey", F.lit(0.0).alias("o_totalprice"), "o_orderstatus"), name)
+    tables.drop(spark, name)
+    return spark.read.schema("o_orderkey long, o_totalprice double, o_orderstatus string").parquet(folder)
+
+
+@query("SELECT o_orderstatus, count(*) AS n_rows FROM orders GROUP BY 1")
+def catalog_partition_stats(orders):
+    """Rows of each partition of a table: a row for each of the few statuses."""
+    spark, (name, _) = orders.sparkSession, _orders_table(orders)
+    stats = tables.partition_stats(spark, name, ["o_orderstatus"]).where("n_files > 0 AND n_bytes > 0").select("o_orderstatus", "n_rows")
+    known = stats.collect()
+    tables.drop(spark, name)
+    return spark.createDataFrame(known, stats.schema)

@@ -80,3 +80,16 @@ def flow_links(orders, customer, nation, region):
 @query()
 def ridge_cross_validation(lineitem):
     return udfs.ridge_folds(lineitem, ["l_quantity", "l_discount"], "l_extendedprice", [0.1, 1.0, 10.0], 4)
+
+
+@query("SELECT l_returnflag, count(l_quantity) AS n, round(avg(l_quantity), 6) AS m, round(sum(l_quantity * l_extendedprice) / sum(l_extendedprice), 6) AS weighted FROM lineitem GROUP BY 1")
+def arrow_grouped_mean(lineitem):
+    """Mean and weighted mean of three groups, added up in each task first."""
+    sums = udfs.arrow_sums(lineitem, ["l_returnflag"], "l_quantity", "l_extendedprice")
+    return sums.select("l_returnflag", "n", F.round(F.col("total") / F.col("n"), 6).alias("m"), F.round(F.col("weighted") / F.col("weights"), 6).alias("weighted"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(l_quantity - avg(l_quantity) OVER (PARTITION BY l_returnflag), 6) AS q FROM lineitem")
+def arrow_subtract_mean(lineitem):
+    """Each row less the mean of its group, of which there are three."""
+    return udfs.arrow_subtract_mean(lineitem.select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity"), "l_returnflag", "l_quantity").select("l_orderkey", "l_linenumber", F.round("l_quantity", 6).alias("q"))
