@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestream.clinical import fhir, records
+from lodestream.clinical import fhir, records, rich
 from lodestream.plans import relational
 from lodestream.plans.clinical_fhir import _cc, _json, _meta, _ref, _s, patients
 
@@ -72,3 +72,55 @@ def fhir_quarantine_records(part):
     kept = records.quarantine_records(fhir.bronze(made)).dropDuplicates(["quarantine_id"])
     again = records.reprocessed(kept, F.lit("2024-01-01").cast("timestamp"))
     return again.groupBy("error_type", F.col("reprocess_attempts").alias("attempts"), "is_resolved").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT l_orderkey || '-' || l_linenumber AS id, 'final' AS status, 'vital' AS category_code, l_returnflag AS code_code, 'flag ' || l_returnflag AS code_display, 'L' AS code_system, CAST(NULL AS VARCHAR) AS code_text, 'Patient/' || l_suppkey AS subject_ref,
+  CAST(l_suppkey AS VARCHAR) AS patient_id, CAST(l_orderkey AS VARCHAR) AS encounter_id, date_trunc('day', l_shipdate) AS effective, CASE WHEN l_linenumber % 3 = 0 THEN l_quantity END AS value_quantity, CASE WHEN l_linenumber % 3 = 0 THEN 'mg' END AS value_unit,
+  CASE l_linenumber % 3 WHEN 1 THEN l_linestatus WHEN 2 THEN CASE WHEN l_quantity > 25 THEN 'True' ELSE 'False' END END AS value_string, 'H' AS interpretation_code, l_discount AS reference_range_low, l_tax AS reference_range_high, l_quantity AS systolic, CAST(l_partkey AS VARCHAR) AS performer_id FROM lineitem""")
+def fhir_rich_observation(lineitem):
+    """Values of three kinds, a component, a range and an interpretation."""
+    k, line = F.col("l_linenumber") % 3, F.concat(_s("l_orderkey"), F.lit("-"), _s("l_linenumber"))
+    quantity = lambda c: F.struct(F.col(c).alias("value"), F.lit("mg").alias("unit"))
+    made = lineitem.select(
+        _json(
+            "Observation", line, F.lit("final").alias("status"), F.array(_cc(F.lit("vital"), F.lit("Vital"))).alias("category"), _cc(F.col("l_returnflag"), F.concat(F.lit("flag "), F.col("l_returnflag"))).alias("code"),
+            _ref("Patient", "l_suppkey").alias("subject"), _ref("Encounter", "l_orderkey").alias("encounter"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("effectiveDateTime"), F.when(k == 0, quantity("l_quantity")).alias("valueQuantity"),
+            F.when(k == 1, F.col("l_linestatus")).alias("valueString"), F.when(k == 2, F.col("l_quantity") > 25).alias("valueBoolean"), F.array(_cc(F.lit("H"), F.lit("High"))).alias("interpretation"),
+            F.array(F.struct(quantity("l_discount").alias("low"), quantity("l_tax").alias("high"))).alias("referenceRange"), F.array(F.struct(_cc(F.lit("8480-6"), F.lit("Systolic")).alias("code"), quantity("l_quantity").alias("valueQuantity"))).alias("component"),
+            F.array(_ref("Practitioner", "l_partkey")).alias("performer"),
+        ).alias("raw_resource"),
+        F.lit("Observation").alias("resource_type"),
+    )
+    names = "id status category_code code_code code_display code_system code_text subject_ref patient_id encounter_id value_quantity value_unit value_string interpretation_code reference_range_low reference_range_high performer_id".split()
+    rich_rows = rich.observations(made)
+    return rich_rows.select(*names, F.col("effective_datetime").cast("timestamp_ntz").alias("effective"), F.get("components", F.lit(0))["value"].alias("systolic"))
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS id, 'finished' AS status, 'AMB' AS class_code, 'A' AS class_system, o_orderpriority AS type_display, 'P' || o_orderstatus AS priority_code, CAST(o_custkey AS VARCHAR) AS patient_id, CAST(o_orderkey % 500 AS BIGINT) AS length_minutes, 'r' AS reason_code_code,
+  'emd' AS admit_source_code, 'home' AS discharge_disposition_code, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_custkey AS VARCHAR) END AS location_id, 'Practitioner/' || o_orderkey AS attending_practitioner_ref, CAST(o_orderkey AS VARCHAR) AS attending_practitioner_id, CAST(2 AS INTEGER) AS n_participants, '1' AS service_provider_id FROM orders""")
+def fhir_rich_encounter(orders):
+    """Encounters with two participants, of whom the second attends."""
+    start = F.date_trunc("day", "o_orderdate")
+    stamp = lambda t: F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    period = F.struct(stamp(start).alias("start"), stamp(start + F.make_dt_interval(mins=(F.col("o_orderkey") % 500).cast("int"))).alias("end"))
+    person = lambda role, c: F.struct(F.array(_cc(F.lit(role), F.lit(role))).alias("type"), _ref("Practitioner", c).alias("individual"))
+    made = orders.select(
+        _json(
+            "Encounter", _s("o_orderkey"), F.lit("finished").alias("status"), F.struct(F.lit("A").alias("system"), F.lit("AMB").alias("code")).alias("class"), F.array(_cc(F.lit("t"), F.col("o_orderpriority"))).alias("type"), _cc(F.concat(F.lit("P"), F.col("o_orderstatus")), F.lit("p")).alias("priority"),
+            _ref("Patient", "o_custkey").alias("subject"), period.alias("period"), F.array(_cc(F.lit("r"), F.lit("Reason"))).alias("reasonCode"), F.struct(_cc(F.lit("emd"), F.lit("e")).alias("admitSource"), _cc(F.lit("home"), F.lit("h")).alias("dischargeDisposition")).alias("hospitalization"),
+            F.when(F.col("o_orderkey") % 2 == 0, F.array(F.struct(_ref("Location", "o_custkey").alias("location")))).alias("location"), F.array(person("PPRF", "o_custkey"), person("ATND", "o_orderkey")).alias("participant"), F.struct(F.lit("Organization/1").alias("reference")).alias("serviceProvider"),
+        ).alias("raw_resource"),
+        F.lit("Encounter").alias("resource_type"),
+    )
+    names = "id status class_code class_system type_display priority_code patient_id length_minutes reason_code_code admit_source_code discharge_disposition_code location_id attending_practitioner_ref attending_practitioner_id service_provider_id".split()
+    return rich.encounters(made).select(*names, F.size("participants").alias("n_participants"))
+
+
+@query("""SELECT CASE WHEN p_partkey % 3 = 0 THEN 'Bundle entry[1]: Observation: missing required field code' WHEN p_partkey % 3 = 1 THEN 'Bundle entry[0]: unknown type Mystery' ELSE 'none' END AS warning, count(*) AS n FROM part GROUP BY 1""")
+def fhir_bundle_warnings(part):
+    """Bundles of two resources, one of which may be invalid."""
+    k = F.col("p_partkey") % 3
+    first = F.struct(F.when(k == 1, "Mystery").otherwise("Organization").alias("resourceType"), _s("p_partkey").alias("id"))
+    second = F.struct(F.lit("Observation").alias("resourceType"), F.lit("final").alias("status"), F.when(k != 0, F.struct(F.col("p_name").alias("text"))).alias("code"))
+    made = part.select(F.concat(F.lit('{"resourceType":"Bundle","type":"batch","entry":[{"resource":'), F.to_json(first), F.lit('},{"resource":'), F.to_json(second), F.lit("}]}")).alias("value"))
+    return made.select(F.coalesce(F.get(rich.bundle_warnings(F.col("value")), F.lit(0)), F.lit("none")).alias("warning")).groupBy("warning").agg(F.count(F.lit(1)).alias("n"))
