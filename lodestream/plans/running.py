@@ -9,7 +9,7 @@ from lodestream.operators.expectations import Expectations
 from lodestream.plans import relational
 from lodestream.sources import bucketed, tables
 from lodestream.sources.shared import new_folder
-from lodestream.streaming import joins
+from lodestream.streaming import alerts, joins
 
 QUERIES, ORACLES = {}, {}
 WITHIN = "2 hours"
@@ -166,3 +166,14 @@ def catalog_partition_stats(orders):
     known = stats.collect()
     tables.drop(spark, name)
     return spark.createDataFrame(known, stats.schema)
+
+
+@query("SELECT event_id, 'error of user ' || user_id AS message FROM events WHERE event_type = 'error'")
+def stream_foreach_alerts(events):
+    """A message for each error, given to a writer row by row."""
+    spark, folder = events.sparkSession, new_folder(events.sparkSession, "alerts")
+    events.write.parquet(f"{folder}/events")
+    arrived = spark.readStream.schema(events.schema).parquet(f"{folder}/events").where("event_type = 'error'")
+    place = f"{folder}/alerts" if "://" in folder else f"file://{folder.removeprefix('file:')}/alerts"
+    alerts.alert_each(arrived.select("event_id", F.concat(F.lit("error of user "), "user_id").alias("message")), place, f"{folder}/checkpoint")
+    return spark.read.schema("event_id long, message string").json(f"{folder}/alerts")

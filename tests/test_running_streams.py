@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestream.operators import observed
 from lodestream.operators.expectations import Expectations
 from lodestream.sources import bucketed
-from lodestream.streaming import joins, windows
+from lodestream.streaming import alerts, joins, windows
 
 DAY = datetime(2024, 1, 1)
 
@@ -200,3 +200,52 @@ def test_models_work_after_a_checked_write(spark, tmp_path):
 
     observed.write(spark.createDataFrame(DATA, "a int, b string"), Expectations(RULES.warn), str(tmp_path / "t"))
     assert catalog.QUERIES["ml_logistic_cross_validation"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_a_writer_that_fails_leaves_each_row_once(spark, tmp_path):
+    class Stumbling(alerts.AlertFiles):
+        def process(self, row):
+            import os
+
+            if row["id"] == 77 and not os.path.exists(str(self.path).removeprefix("file://") + "-stumbled"):
+                open(str(self.path).removeprefix("file://") + "-stumbled", "w").close()
+                raise RuntimeError("stumbled")
+            super().process(row)
+
+    spark.range(0, 200, 1, 8).write.parquet(str(tmp_path / "in"))
+    arrived = spark.readStream.schema("id long").option("maxFilesPerTrigger", 8).parquet(str(tmp_path / "in"))
+    with pytest.raises(Exception, match="stumbled"):
+        alerts.alert_each(arrived, f"file://{tmp_path}/out", str(tmp_path / "c"), Stumbling)
+    for _ in range(2):  # the batch is repeated, then there is nothing more
+        alerts.alert_each(arrived, f"file://{tmp_path}/out", str(tmp_path / "c"), Stumbling)
+    assert sorted(r["id"] for r in spark.read.json(str(tmp_path / "out")).collect()) == list(range(200))
+    writer = alerts.AlertFiles(f"file://{tmp_path}/out2")
+    for _ in range(2):
+        if writer.open(3, 5):
+            writer.process(spark.range(1).first())
+        writer.close(None)
+    assert [r["id"] for r in spark.read.json(str(tmp_path / "out2")).collect()] == [0]
+
+
+def test_made_streams_join(spark, tmp_path):
+    """Impressions and late clicks of a counting stream: a click finds the impression 50 numbers before it, in every run alike."""
+    found = []
+    for run in range(2):
+        views, clicks = alerts.impressions_and_clicks(alerts.counted(spark, 100, 3_600_000, 60_000))
+        joined = windows.interval_join(views, clicks.withColumnRenamed("adId", "clicked"), ("adId", "clicked"), ("impressionTime", "clickTime"), "10 minutes")
+        query = joined.writeStream.format("memory").queryName(f"made{run}").trigger(processingTime="0 seconds").start()
+        try:
+            for _ in range(300):
+                if (query.lastProgress or {}).get("batchId", -1) >= 4:
+                    break
+                query.awaitTermination(0.2)
+        finally:
+            query.stop()
+        found.append({r["adId"] for r in spark.table(f"made{run}").collect() if r["adId"] < 300})
+    sample = {r["id"] - 50 for r in spark.range(350).where(alerts.sampled(F.col("id"), 10) & (F.col("id") > 50)).collect()}
+    assert found[0] == found[1] == sample and sample
+
+
+def test_a_rate_stream_counts(spark):
+    df = alerts.counter(spark, 50)
+    assert df.isStreaming and [c for c, _ in df.dtypes] == ["timestamp", "value"]

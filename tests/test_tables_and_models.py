@@ -79,3 +79,10 @@ def test_no_task_holds_a_group(spark):
 def test_subtract_mean_keeps_rows(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", None), (None, 4.0), (None, 8.0)], "g string, v double")
     assert rows(udfs.arrow_subtract_mean(df, "g", "v")) == sorted([("a", -0.5), ("a", 0.5), ("b", None), (None, -2.0), (None, 2.0)], key=repr)
+
+
+def test_trees_give_finite_figures(spark):
+    from lodestream import catalog
+
+    got = {r["what"]: r["value"] for r in catalog.QUERIES["ml_decision_trees"](spark, "/root/testdata/sf0.001").collect()}
+    assert 0 <= got["weighted precision of brand"] <= 1 and 0 < got["rmse of price"] < 1e6
