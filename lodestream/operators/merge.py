@@ -6,20 +6,31 @@ writes it beside the old one.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 
-def one_per_key(changes: DataFrame, key: str) -> DataFrame:
-    """The changes; two of one key fail the job, for which of them holds isn't known. Rows without a key stay as they are."""
-    row = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.concat(F.lit("several changes of one key: "), F.col(key).cast("string"))).cast(changes.schema)).otherwise(F.first(F.struct(*changes.columns)))
-    return changes.where(F.col(key).isNotNull()).groupBy(key).agg(row.alias("_row")).select("_row.*").unionByName(changes.where(F.col(key).isNull()))
+def _together(target: DataFrame, changes: DataFrame, key: str) -> tuple[DataFrame, WindowSpec, Column]:
+    """Rows of both with _change, a window over each key, and the number of its changes; more than one fails the job.
+
+    Source and target are read once each and meet in one shuffle. Which of two changes of a key holds isn't known. Rows
+    without a key never meet others; a hash of the row spreads them over the tasks.
+    """
+    both = target.withColumn("_change", F.lit(0)).unionByName(changes.withColumn("_change", F.lit(1)), allowMissingColumns=True)
+    hashed = [c for c, kind in both.dtypes if "map<" not in kind and "variant" not in kind]
+    window = Window.partitionBy(key, F.when(F.col(key).isNull(), F.xxhash64(*hashed)))
+    changed = F.sum("_change").over(window)
+    several = F.raise_error(F.concat(F.lit("several changes of one key: "), F.col(key).cast("string"))).cast("long")
+    return both, window, F.when(F.col(key).isNotNull() & (changed > 1), several).otherwise(changed)
 
 
 def upsert(target: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """Rows of changes, one per key, replace those of the target with the same key; others are added."""
-    changes = one_per_key(changes, key)
-    return target.join(changes.select(key), key, "left_anti").unionByName(changes)
+    if sorted(target.columns) != sorted(changes.columns):
+        raise ValueError(f"the target has the columns {target.columns}, the changes {changes.columns}")
+    both, _, changed = _together(target, changes, key)
+    return both.withColumn("_changed", changed).where(F.col(key).isNull() | (F.col("_change") == 1) | (F.col("_changed") == 0)).select(*target.columns)
 
 
 def apply_changes(target: DataFrame, changes: DataFrame, key: str, time: str, deleted: str) -> DataFrame:
@@ -35,11 +46,14 @@ def scd2(target: DataFrame, updates: DataFrame, key: str, value: str, effective:
 
     target: key, value, current, effective, end_date. An update that changes nothing is ignored.
     """
-    updates = one_per_key(updates, key)
-    u = updates.select(key, F.col(value).alias("_value"), F.col(effective).alias("_effective"))
-    joined = target.join(u, key, "left")
-    closes = F.col("current") & F.col("_effective").isNotNull() & ~F.col(value).eqNullSafe(F.col("_value"))
-    old = joined.select(key, value, (F.col("current") & ~closes).alias("current"), effective, F.when(closes, F.col("_effective")).otherwise(F.col("end_date")).alias("end_date"))
-    unchanged = target.where("current").select(key, F.col(value).alias("_old"))
-    new = updates.join(unchanged, key, "left").where(~F.col(value).eqNullSafe(F.col("_old")))
-    return old.unionByName(new.select(key, value, F.lit(True).alias("current"), effective, F.lit(None).cast(dict(target.dtypes)["end_date"]).alias("end_date")))
+    both, window, changed = _together(target, updates.select(key, value, effective), key)
+    one = lambda when, *columns: F.first(F.when(when, F.struct(*columns)), ignorenulls=True).over(window)
+    both = both.withColumns({"_changed": changed, "_new": one(F.col("_change") == 1, value, effective), "_old": one(F.col("current"), value)})
+    keyed, is_target = F.col(key).isNotNull() & (F.col("_changed") > 0), F.col("_change") == 0
+    closes = is_target & F.col("current") & keyed & F.col(f"_new.{effective}").isNotNull() & ~F.col(value).eqNullSafe(F.col(f"_new.{value}"))
+    known = F.when(F.col(key).isNotNull(), F.col(f"_old.{value}"))
+    kept = both.where(is_target | ~F.col(value).eqNullSafe(known))
+    return kept.select(
+        key, value, F.when(is_target, F.col("current") & ~closes).otherwise(F.lit(True)).alias("current"), effective,
+        F.when(closes, F.col(f"_new.{effective}")).otherwise(F.col("end_date")).cast(dict(target.dtypes)["end_date"]).alias("end_date"),
+    )

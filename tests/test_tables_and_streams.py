@@ -169,3 +169,19 @@ def test_message_split_is_linear(spark):
     start = time.perf_counter()
     got = spark.createDataFrame([(file,)], "f string").select(hl7.split_batch(F.col("f")).alias("m")).selectExpr("size(m) AS n", "m[0] AS a", "m[1] AS b").first()
     assert got["n"] == 16_001 and got["a"] == "FHS|x" and got["b"] == "MSH|^~\\&|A\nPID|1\nOBX|MSH" and time.perf_counter() - start < 20
+
+
+def test_slowly_changing_rows_in_one_pass(spark):
+    """Closed, unchanged, new and null cases; the updates are read once."""
+    target = spark.createDataFrame([(1, "a", True, 1, None), (2, "b", False, 1, 2), (2, "c", True, 2, None), (3, "d", False, 1, 5), (4, None, True, 1, None), (None, "n", True, 1, None)], "k int, v string, current boolean, effective int, end_date int")
+    updates = spark.createDataFrame([(1, "x", 9), (2, "c", 9), (3, "d", 9), (4, None, 9), (5, "e", 9), (6, None, 9), (None, "m", 9)], "k int, v string, effective int")
+    out = merge.scd2(target, updates, "k", "v", "effective")
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted([
+        (1, "a", False, 1, 9), (1, "x", True, 9, None), (2, "b", False, 1, 2), (2, "c", True, 2, None), (3, "d", False, 1, 5), (3, "d", True, 9, None), (4, None, True, 1, None), (5, "e", True, 9, None),
+        (None, "n", True, 1, None), (None, "m", True, 9, None),
+    ], key=repr)
+    with pytest.raises(Exception, match="several changes of one key: 1"):
+        merge.scd2(target, updates.unionAll(updates.where("k = 1")), "k", "v", "effective").collect()
+    read = spark.read.parquet(f"{SF}/customer.parquet").selectExpr("c_custkey as k", "c_name as v")
+    plan = merge.upsert(read.limit(10), read, "k")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 2  # target and changes
