@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestream.operators.once import explode_present, with_columns_once
+from lodestream.operators.once import explode_present, spread, with_columns_once
 
 # Known types, required fields, alternatives of a choice, and value domains.
 KNOWN_TYPES = ["Patient", "Observation", "Encounter", "MedicationRequest", "DiagnosticReport", "Immunization", "Procedure", "Condition", "AllergyIntolerance", "Bundle", "Practitioner", "Organization", "Location", "Medication", "ServiceRequest", "CarePlan"]
@@ -105,7 +105,7 @@ def validated(rows: DataFrame, raw: str = "raw_resource") -> DataFrame:
 def bronze(lines: DataFrame, value: str = "value") -> DataFrame:
     """One row per resource, valid or not. Other columns, such as the source file, are kept."""
     keep = [c for c in lines.columns if c != value]
-    return validated(explode_present(lines, bundle_entries(F.col(value)), "raw_resource", keep))
+    return validated(explode_present(spread(lines), bundle_entries(F.col(value)), "raw_resource", keep))
 
 
 def quarantine(rows: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Evaluate expensive expressions once.
+"""Evaluate expensive expressions once, and on all cores.
 
 The optimizer moves filters below a projection by putting the projected expression into the filter, and adds filters on
 the array below an ``explode``. Either evaluates the expression again for each mention, which costs more than the filter
@@ -19,3 +19,18 @@ def with_columns_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 def explode_present(df: DataFrame, array: Column, name: str, keep: list[str]) -> DataFrame:
     """The columns to keep and each non-null element of the array; rows without one go, as with ``explode``."""
     return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df on as many tasks as there are cores, if its scan would give it fewer: one small file is one task.
+
+    Only what is estimated to be smaller than one split of files for each core is dealt anew, so the shuffle is bounded;
+    larger inputs have enough tasks as they are. Streams stay as they are.
+    """
+    spark = df.sparkSession
+    if df.isStreaming:
+        return df
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * split else df
