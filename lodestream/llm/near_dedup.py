@@ -288,7 +288,7 @@ def _stars(members: DataFrame, hubs: DataFrame, narrow: DataFrame, m: Measure, s
     rays = pairs.join(sizes, F.col("hub") == F.col("h")).select(F.col("doc_id").alias("member"), "hub", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("is_hub"))
     centres = sizes.select(F.col("h").alias("member"), F.col("h").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("is_hub"))
     placed = materialize(rays.unionByName(centres), "dedup-rays", scratch)
-    return materialize(star_links(narrow.join(placed, F.col("doc_id") == F.col("member")).select("hub", "part", "is_hub", "doc_id", "text"), m), "dedup-star-links", scratch)
+    return materialize(star_links(narrow.join(placed.hint("merge"), F.col("doc_id") == F.col("member")).select("hub", "part", "is_hub", "doc_id", "text"), m), "dedup-star-links", scratch)
 
 
 def _rest(members: DataFrame, hubs: DataFrame, parts: DataFrame, narrow: DataFrame, m: Measure, scratch: list[str]) -> DataFrame:
@@ -305,7 +305,7 @@ def _rest(members: DataFrame, hubs: DataFrame, parts: DataFrame, narrow: DataFra
     blocks = materialize(blocks.select(F.col("component").alias("grp"), "blocks"), "dedup-blocks", scratch)
     dealt = sized.join(blocks, F.col("component") == F.col("grp")).select(F.col("doc_id").alias("member"), "grp", "part", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"), "blocks")
     dealt = materialize(dealt, "dedup-dealt", scratch)
-    source = narrow.join(dealt, F.col("doc_id") == F.col("member"))
+    source = narrow.join(dealt.hint("merge"), F.col("doc_id") == F.col("member"))
     meetings = source.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("doc_id", "text", "grp", "part", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
     return materialize(confirmed_links(meetings, m), "dedup-links", scratch)
 
@@ -313,8 +313,8 @@ def _rest(members: DataFrame, hubs: DataFrame, parts: DataFrame, narrow: DataFra
 def near_duplicates(docs: DataFrame, m: Measure = Measure(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: key, n_shingles, component_id and kept.
 
-    Texts are joined to written tables of ids: Spark broadcasts these while they are under its threshold, and otherwise
-    shuffles the texts once for the stars and once for the rest.
+    Texts are joined to written tables of ids, which grow with the input and so are not broadcast, at any size: the texts
+    are shuffled once for the stars and once for the rest.
     """
     narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = materialize(sign(narrow, m), "dedup-signed")
