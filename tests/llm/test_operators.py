@@ -152,6 +152,35 @@ def test_licences_against_sql(spark, tmp_path):
     assert set(everything["labels"].split(",")) == {label for label, _, _ in licenses.TEMPLATES} | {"cc-by", "gpl"} and everything["score"] == 1.0
 
 
+HEADINGS = {
+    "The MIT License": "mit", "Licensed under the MIT License.": "mit", "SPDX-License-Identifier: MIT": "mit", "BSD 3-Clause License": "bsd-3-clause", "SPDX-License-Identifier: GPL-2.0-or-later": "gpl-2.0",
+    "Creative Commons Attribution 4.0": "cc-by-4.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3": "gpl,lgpl-3.0", "CC BY-NC-SA 4.0": "cc-by,cc-by-nc-sa-4.0", "CC BY-ND 4.0": "cc-by,cc-by-nd-4.0",
+    "Eclipse Public License - v 2.0": "epl-2.0", "Apache License\n   Version 2.0, January 2004": "apache-2.0", "a license of public cc general version 2": "", "spdx license identifier unknown": "",
+}
+
+
+def test_licence_headings(spark):
+    """Titles and identifiers of one line, alone and inside prose."""
+    texts = list(HEADINGS) + [f"{prose(40)} {t} {prose(40)}" for t in HEADINGS] + [prose(30)] * 100
+    labels = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [labels[i] for i in range(2 * len(HEADINGS))] == 2 * list(HEADINGS.values())
+
+
+def test_licence_lookup_decides(spark):
+    """A licence needs its rare words at the right distances and its phrases there; without words to look up only base labels are left."""
+    notice = next(s for label, s, _ in licenses.TEMPLATES if label == "apache-2.0" and s.startswith("you may not"))
+    reversed_words = " ".join(reversed(notice.split()))
+    phrases_only = "apache org licenses license 2 0 " + prose(300) + " except in compliance with the license"
+    words_only = notice.replace("apache org licenses license 2 0", "apache org licenses licence 2 0")
+    apart = " ".join(notice.split()[:20]) + " " + prose(300) + " " + " ".join(notice.split()[20:24])
+    twice = f"{words_only} {prose(50)} {notice} {prose(50)} {words_only}"
+    texts = [notice, reversed_words, phrases_only, words_only, apart, twice, "CC BY 4.0"] + [prose(30)] * 100
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = {r["doc_id"]: r["labels"] for r in licenses.scan(df).collect()}
+    assert [labels[i] for i in range(7)] == ["apache-2.0", "", "", "", "", "apache-2.0", "cc-by,cc-by-4.0"]
+    assert {r["labels"] for r in licenses.scan(df, looked_up=0).collect()} == {"", "cc-by"}
+
+
 def test_pii_permutation_and_links(spark):
     df = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 5, "0").alias("d"))
     out = df.select("d", pii.permute_digits(F.col("d"), "k", F.lit("t")).alias("e")).select("d", "e", pii.permute_digits(F.col("e"), "k", F.lit("t"), inverse=True).alias("b")).collect()
