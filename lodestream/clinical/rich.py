@@ -1,4 +1,4 @@
-"""The rich view of observations and encounters as typed columns, and the validation of what bundles hold."""
+"""The rich view of observations, encounters, medication requests, immunizations and conditions as typed columns, and the validation of what bundles hold."""
 
 from __future__ import annotations
 
@@ -12,7 +12,12 @@ _CC, _REF = "struct<coding:array<struct<system:string,code:string,display:string
 _PERIOD, _QTY = "struct<start:string,end:string>", "struct<value:double,unit:string>"
 OBSERVATION = f"id string, status string, category array<{_CC}>, code {_CC}, subject {_REF}, encounter {_REF}, effectiveDateTime string, effectivePeriod {_PERIOD}, issued string, valueQuantity {_QTY}, valueString string, valueCodeableConcept {_CC}, valueBoolean boolean, interpretation array<{_CC}>, referenceRange array<struct<low:{_QTY},high:{_QTY},text:string>>, component array<struct<code:{_CC},valueQuantity:{_QTY},valueString:string,valueCodeableConcept:{_CC}>>, performer array<{_REF}>"
 ENCOUNTER = f"id string, status string, class struct<system:string,code:string,display:string>, type array<{_CC}>, priority {_CC}, subject {_REF}, period {_PERIOD}, reasonCode array<{_CC}>, hospitalization struct<admitSource:{_CC},dischargeDisposition:{_CC}>, location array<struct<location:{_REF}>>, participant array<struct<type:array<{_CC}>,individual:{_REF}>>, serviceProvider {_REF}"
+MEDICATION_REQUEST = f"id string, status string, intent string, medicationCodeableConcept {_CC}, medicationReference {_REF}, subject {_REF}, encounter {_REF}, requester {_REF}, authoredOn string, dosageInstruction array<struct<text:string,route:{_CC},doseAndRate:array<struct<doseQuantity:{_QTY}>>>>, reasonCode array<{_CC}>"
+IMMUNIZATION = f"id string, status string, vaccineCode {_CC}, patient {_REF}, encounter {_REF}, occurrenceDateTime string, occurrenceString string, primarySource boolean, location {_REF}, manufacturer {_REF}, lotNumber string, expirationDate string, site {_CC}, route {_CC}, doseQuantity {_QTY}, performer array<struct<function:{_CC},actor:{_REF}>>, protocolApplied array<struct<series:string,doseNumberPositiveInt:int>>"
+CONDITION = f"id string, clinicalStatus {_CC}, verificationStatus {_CC}, category array<{_CC}>, severity {_CC}, code {_CC}, bodySite array<{_CC}>, subject {_REF}, encounter {_REF}, onsetDateTime string, onsetString string, onsetPeriod {_PERIOD}, abatementDateTime string, abatementString string, recordedDate string, recorder {_REF}, asserter {_REF}, evidence array<struct<code:array<{_CC}>,detail:array<{_REF}>>>"
 ATTENDING = "ATND"
+#: Fixed value: the system of vaccine codes.
+CVX = "http://hl7.org/fhir/sid/cvx"
 
 
 def _first(items: Column) -> Column:
@@ -34,10 +39,15 @@ def _referred(reference: Column, name: str, who: str) -> dict[str, Column]:
     return {f"{name}_ref": reference["reference"], f"{who}_id": _id(reference)}
 
 
-def _typed(rows: DataFrame, kind: str, schema: str, raw: str, columns) -> DataFrame:
+def _short(concept: Column) -> Column:
+    """Code and display of a concept's first coding."""
+    return F.struct(_first(concept["coding"])["code"].alias("code"), _first(concept["coding"])["display"].alias("display"))
+
+
+def _typed(rows: DataFrame, kind: str, schema: str, raw: str, columns, head: tuple[str, ...] = ("id", "status")) -> DataFrame:
     parsed = with_columns_once(rows.where(F.col("resource_type") == kind), {"_p": F.from_json(raw, schema)})
     p = F.col("_p")
-    return parsed.select(*[c.alias(n) for n, c in {"id": p["id"], "status": p["status"], **columns(p)}.items()])
+    return parsed.select(*[c.alias(n) for n, c in {**{h: p[h] for h in head}, **columns(p)}.items()])
 
 
 def observations(rows: DataFrame, raw: str = "raw_resource") -> DataFrame:
@@ -80,6 +90,58 @@ def encounters(rows: DataFrame, raw: str = "raw_resource") -> DataFrame:
     return _typed(rows, "Encounter", ENCOUNTER, raw, columns)
 
 
+def medication_requests(rows: DataFrame, raw: str = "raw_resource") -> DataFrame:
+    """One row a request. The medication is a concept or else a reference; all dosages are typed, the first one also has columns of its own."""
+
+    def columns(p: Column) -> dict[str, Column]:
+        quantity = lambda d: _first(d["doseAndRate"])["doseQuantity"]
+        dosage = lambda d: F.struct(d["text"].alias("text"), _short(d["route"]).alias("route"), quantity(d)["value"].alias("value"), quantity(d)["unit"].alias("unit"))
+        first, concept = _first(p["dosageInstruction"]), p["medicationCodeableConcept"]
+        referred = _referred(p["medicationReference"], "medication", "medication")
+        return {
+            "intent": p["intent"], **_coded(concept, "medication", "code", "display", "system"), **{n: F.when(concept.isNull(), c) for n, c in referred.items()}, **_referred(p["subject"], "subject", "patient"),
+            **_referred(p["encounter"], "encounter", "encounter"), **_referred(p["requester"], "requester", "requester"), "authored_on": F.try_to_timestamp(p["authoredOn"]), "dosages": F.transform(p["dosageInstruction"], dosage),
+            "dosage_text": first["text"], **_coded(first["route"], "dosage_route", "code", "display"), "dose_value": quantity(first)["value"], "dose_unit": quantity(first)["unit"], **_coded(_first(p["reasonCode"]), "reason", "code", "display"),
+        }
+
+    return _typed(rows, "MedicationRequest", MEDICATION_REQUEST, raw, columns)
+
+
+def immunizations(rows: DataFrame, raw: str = "raw_resource") -> DataFrame:
+    """One row an immunization. The CVX code is that of the first coding in this system; without one, of the first coding."""
+
+    def columns(p: Column) -> dict[str, Column]:
+        codings, quantity, protocol = p["vaccineCode"]["coding"], p["doseQuantity"], _first(p["protocolApplied"])
+        cvx = F.filter(codings, lambda c: c["system"] == CVX)
+        return {
+            **_coded(p["vaccineCode"], "vaccine", "code", "display", "system"), "vaccine_cvx_code": F.when(F.size(cvx) > 0, _first(cvx)["code"]).otherwise(_first(codings)["code"]), **_referred(p["patient"], "patient", "patient"),
+            **_referred(p["encounter"], "encounter", "encounter"), "occurrence_datetime": F.try_to_timestamp(p["occurrenceDateTime"]), "occurrence_string": p["occurrenceString"], "primary_source": p["primarySource"],
+            **_referred(p["location"], "location", "location"), "manufacturer": p["manufacturer"]["display"], "lot_number": p["lotNumber"], "expiration_date": F.try_to_timestamp(p["expirationDate"]).cast("date"),
+            **_coded(p["site"], "site", "code", "display"), **_coded(p["route"], "route", "code", "display"), "dose_quantity": quantity["value"], "dose_unit": quantity["unit"],
+            "performers": F.transform(p["performer"], lambda x: F.struct(_first(x["function"]["coding"])["code"].alias("function"), _id(x["actor"]).alias("id"))), "dose_number": protocol["doseNumberPositiveInt"], "series": protocol["series"],
+            "protocols": F.transform(p["protocolApplied"], lambda x: F.struct(x["series"].alias("series"), x["doseNumberPositiveInt"].alias("dose_number"))),
+        }
+
+    return _typed(rows, "Immunization", IMMUNIZATION, raw, columns)
+
+
+def conditions(rows: DataFrame, raw: str = "raw_resource") -> DataFrame:
+    """One row a condition, with all categories, body sites and evidence typed; the first category and body site have columns of their own."""
+
+    def columns(p: Column) -> dict[str, Column]:
+        clinical, verification = _short(p["clinicalStatus"]), _short(p["verificationStatus"])
+        evidence = lambda x: F.struct(_short(_first(x["code"])).alias("code"), F.transform(x["detail"], lambda d: d["reference"]).alias("details"))
+        return {
+            "clinical_status": clinical["code"], "clinical_status_display": clinical["display"], "verification_status": verification["code"], "verification_status_display": verification["display"],
+            **_coded(_first(p["category"]), "category", "code", "display"), "categories": F.transform(p["category"], _short), **_coded(p["severity"], "severity", "code", "display"), **_coded(p["code"], "code", "code", "display", "system", "text"),
+            **_coded(_first(p["bodySite"]), "body_site", "code", "display"), "body_sites": F.transform(p["bodySite"], _short), **_referred(p["subject"], "subject", "patient"), **_referred(p["encounter"], "encounter", "encounter"),
+            "onset_datetime": F.try_to_timestamp(p["onsetDateTime"]), "onset_string": p["onsetString"], "onset_period_start": F.try_to_timestamp(p["onsetPeriod"]["start"]), "abatement_datetime": F.try_to_timestamp(p["abatementDateTime"]), "abatement_string": p["abatementString"],
+            "recorded_date": F.try_to_timestamp(p["recordedDate"]), **_referred(p["recorder"], "recorder", "recorder"), **_referred(p["asserter"], "asserter", "asserter"), "evidence": F.transform(p["evidence"], evidence),
+        }
+
+    return _typed(rows, "Condition", CONDITION, raw, columns, head=("id",))
+
+
 def bundle_warnings(json: Column) -> Column:
     """What is wrong with the resources of a bundle, as texts with the entry's number from 0; none for other resources.
 

@@ -116,6 +116,67 @@ def fhir_rich_encounter(orders):
     return rich.encounters(made).select(*names, F.size("participants").alias("n_participants"))
 
 
+@query("""SELECT l_orderkey || '-' || l_linenumber AS id, 'active' AS status, 'order' AS intent, CASE WHEN l_linenumber % 2 = 0 THEN 'm' || l_suppkey END AS medication_code, CASE WHEN l_linenumber % 2 = 0 THEN 'L' END AS medication_system, CASE WHEN l_linenumber % 2 = 1 THEN CAST(l_partkey AS VARCHAR) END AS medication_id,
+  CAST(l_suppkey AS VARCHAR) AS patient_id, 'Encounter/' || l_orderkey AS encounter_ref, CAST(l_partkey AS VARCHAR) AS requester_id, date_trunc('day', l_shipdate) AS authored, 'take ' || l_linenumber AS dosage_text, 'r' || l_linestatus AS dosage_route_code, l_quantity AS dose_value, 'mg' AS dose_unit,
+  CAST(2 AS INTEGER) AS n_dosages, l_tax AS second_dose, l_returnflag AS reason_code FROM lineitem""")
+def fhir_rich_medication_request(lineitem):
+    """Medications as concepts and as references, with two dosages."""
+    even, line = F.col("l_linenumber") % 2 == 0, F.concat(_s("l_orderkey"), F.lit("-"), _s("l_linenumber"))
+    dosage = lambda text, dose: F.struct(text.alias("text"), _cc(F.concat(F.lit("r"), F.col("l_linestatus")), F.lit("route")).alias("route"), F.array(F.struct(F.struct(F.col(dose).alias("value"), F.lit("mg").alias("unit")).alias("doseQuantity"))).alias("doseAndRate"))
+    made = lineitem.select(
+        _json(
+            "MedicationRequest", line, F.lit("active").alias("status"), F.lit("order").alias("intent"), F.when(even, _cc(F.concat(F.lit("m"), _s("l_suppkey")), F.lit("drug"))).alias("medicationCodeableConcept"), F.when(~even, _ref("Medication", "l_partkey")).alias("medicationReference"),
+            _ref("Patient", "l_suppkey").alias("subject"), _ref("Encounter", "l_orderkey").alias("encounter"), _ref("Practitioner", "l_partkey").alias("requester"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("authoredOn"),
+            F.array(dosage(F.concat(F.lit("take "), _s("l_linenumber")), "l_quantity"), dosage(F.lit("then"), "l_tax")).alias("dosageInstruction"), F.array(_cc(F.col("l_returnflag"), F.lit("flag"))).alias("reasonCode"),
+        ).alias("raw_resource"),
+        F.lit("MedicationRequest").alias("resource_type"),
+    )
+    names = "id status intent medication_code medication_system medication_id patient_id encounter_ref requester_id dosage_text dosage_route_code dose_value dose_unit reason_code".split()
+    return rich.medication_requests(made).select(*names, F.col("authored_on").cast("timestamp_ntz").alias("authored"), F.size("dosages").alias("n_dosages"), F.get("dosages", F.lit(1))["value"].alias("second_dose"))
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS id, 'completed' AS status, 'own' || o_orderstatus AS vaccine_code, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE 'own' || o_orderstatus END AS vaccine_cvx_code, CAST(o_custkey AS VARCHAR) AS patient_id, CASE WHEN o_orderkey % 3 > 0 THEN date_trunc('day', o_orderdate) END AS occurrence,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'long ago' END AS occurrence_string, o_orderkey % 5 = 0 AS primary_source, 'maker ' || o_custkey AS manufacturer, 'lot' || o_custkey AS lot_number, CAST(o_orderdate AS DATE) AS expiration_date, 'LA' AS site_code, 'IM' AS route_code, o_totalprice AS dose_quantity, 'mL' AS dose_unit,
+  CAST(o_orderkey AS VARCHAR) AS performer_id, CAST(o_orderkey % 4 + 1 AS INTEGER) AS dose_number, 'first' AS series FROM orders""")
+def fhir_rich_immunization(orders):
+    """Vaccines with and without a CVX coding behind the first coding, at a known time or at none."""
+    k = F.col("o_orderkey")
+    own = F.struct(F.lit("own").alias("system"), F.concat(F.lit("own"), F.col("o_orderstatus")).alias("code"))
+    codings = F.when(k % 2 == 0, F.array(own, F.struct(F.lit(rich.CVX).alias("system"), F.col("o_orderpriority").alias("code")))).otherwise(F.array(own))
+    made = orders.select(
+        _json(
+            "Immunization", _s("o_orderkey"), F.lit("completed").alias("status"), F.struct(codings.alias("coding")).alias("vaccineCode"), _ref("Patient", "o_custkey").alias("patient"), F.when(k % 3 > 0, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("occurrenceDateTime"),
+            F.when(k % 3 == 0, F.lit("long ago")).alias("occurrenceString"), (k % 5 == 0).alias("primarySource"), F.struct(F.concat(F.lit("maker "), _s("o_custkey")).alias("display")).alias("manufacturer"), F.concat(F.lit("lot"), _s("o_custkey")).alias("lotNumber"),
+            F.date_format("o_orderdate", "yyyy-MM-dd").alias("expirationDate"), _cc(F.lit("LA"), F.lit("left arm")).alias("site"), _cc(F.lit("IM"), F.lit("intramuscular")).alias("route"), F.struct(F.col("o_totalprice").alias("value"), F.lit("mL").alias("unit")).alias("doseQuantity"),
+            F.array(F.struct(_ref("Practitioner", "o_orderkey").alias("actor"))).alias("performer"), F.array(F.struct(F.lit("first").alias("series"), (k % 4 + 1).alias("doseNumberPositiveInt"))).alias("protocolApplied"),
+        ).alias("raw_resource"),
+        F.lit("Immunization").alias("resource_type"),
+    )
+    names = "id status vaccine_code vaccine_cvx_code patient_id occurrence_string primary_source manufacturer lot_number expiration_date site_code route_code dose_quantity dose_unit dose_number series".split()
+    return rich.immunizations(made).select(*names, F.col("occurrence_datetime").cast("timestamp_ntz").alias("occurrence"), F.get("performers", F.lit(0))["id"].alias("performer_id"))
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderstatus = 'O' THEN 'active' ELSE 'resolved' END AS clinical_status, 'confirmed' AS verification_status, 'problem' AS category_code, CAST(2 AS INTEGER) AS n_categories, o_orderpriority AS severity_display, 'c' || o_custkey % 50 AS code_code, 'L' AS code_system,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'arm' END AS body_site_code, CAST(o_custkey AS VARCHAR) AS patient_id, CASE WHEN o_orderkey % 3 = 0 THEN date_trunc('day', o_orderdate) END AS onset, CASE WHEN o_orderkey % 3 = 1 THEN 'childhood' END AS onset_string, CASE WHEN o_orderkey % 3 = 2 THEN date_trunc('day', o_orderdate) END AS period_start,
+  date_trunc('day', o_orderdate) AS recorded, CAST(o_orderkey AS VARCHAR) AS recorder_id, 'Patient/' || o_custkey AS asserter_ref, 'e' || o_orderstatus AS evidence_code, 'Observation/' || o_orderkey AS evidence_detail FROM orders""")
+def fhir_rich_condition(orders):
+    """Onsets of three forms, two categories, a body site in every second one, and evidence."""
+    k, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    made = orders.select(
+        _json(
+            "Condition", _s("o_orderkey"), _cc(F.when(F.col("o_orderstatus") == "O", "active").otherwise("resolved"), F.lit("shown")).alias("clinicalStatus"), _cc(F.lit("confirmed"), F.lit("Confirmed")).alias("verificationStatus"),
+            F.array(_cc(F.lit("problem"), F.lit("Problem")), _cc(F.lit("visit"), F.lit("Visit"))).alias("category"), _cc(F.lit("s"), F.col("o_orderpriority")).alias("severity"), _cc(F.concat(F.lit("c"), (F.col("o_custkey") % 50).cast("string")), F.lit("code")).alias("code"),
+            F.when(k % 2 == 0, F.array(_cc(F.lit("arm"), F.lit("Arm")))).alias("bodySite"), _ref("Patient", "o_custkey").alias("subject"), F.when(k % 3 == 0, day).alias("onsetDateTime"), F.when(k % 3 == 1, F.lit("childhood")).alias("onsetString"), F.when(k % 3 == 2, F.struct(day.alias("start"))).alias("onsetPeriod"),
+            day.alias("recordedDate"), _ref("Practitioner", "o_orderkey").alias("recorder"), _ref("Patient", "o_custkey").alias("asserter"), F.array(F.struct(F.array(_cc(F.concat(F.lit("e"), F.col("o_orderstatus")), F.lit("Evidence"))).alias("code"), F.array(_ref("Observation", "o_orderkey")).alias("detail"))).alias("evidence"),
+        ).alias("raw_resource"),
+        F.lit("Condition").alias("resource_type"),
+    )
+    names = "id clinical_status verification_status category_code severity_display code_code code_system body_site_code patient_id onset_string recorder_id asserter_ref".split()
+    times = {"onset": "onset_datetime", "period_start": "onset_period_start", "recorded": "recorded_date"}
+    evidence = F.get("evidence", F.lit(0))
+    return rich.conditions(made).select(*names, *[F.col(c).cast("timestamp_ntz").alias(n) for n, c in times.items()], F.size("categories").alias("n_categories"), evidence["code"]["code"].alias("evidence_code"), F.get(evidence["details"], F.lit(0)).alias("evidence_detail"))
+
+
 @query("""SELECT CASE WHEN p_partkey % 3 = 0 THEN 'Bundle entry[1]: Observation: missing required field code' WHEN p_partkey % 3 = 1 THEN 'Bundle entry[0]: unknown type Mystery' ELSE 'none' END AS warning, count(*) AS n FROM part GROUP BY 1""")
 def fhir_bundle_warnings(part):
     """Bundles of two resources, one of which may be invalid."""

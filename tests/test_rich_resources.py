@@ -50,6 +50,55 @@ def test_encounters(spark):
     assert all(v is None for n, v in got["bare"].asDict().items() if n != "id")
 
 
+def test_medication_requests(spark):
+    whole = {
+        "id": "m", "status": "active", "intent": "order", "medicationCodeableConcept": concept("860975", "metformin"), "medicationReference": {"reference": "Medication/9"}, "subject": {"reference": "Patient/1"}, "encounter": {"reference": "Encounter/2"}, "requester": {"reference": "Practitioner/3"}, "authoredOn": "2024-03-04",
+        "dosageInstruction": [{"text": "twice a day", "route": concept("PO", "oral"), "doseAndRate": [{"doseQuantity": {"value": 500, "unit": "mg"}}, {"doseQuantity": {"value": 1}}]}, {"text": "as needed"}], "reasonCode": [concept("E11", "diabetes"), concept("x")],
+    }
+    got = {r["id"]: r for r in rich.medication_requests(frame(spark, "MedicationRequest", whole, {"id": "ref", "medicationReference": {"reference": "Medication/9"}, "dosageInstruction": []}, {"id": "bare"}, "{broken")).collect()}
+    m = got["m"]
+    assert (m["intent"], m["medication_code"], m["medication_display"], m["medication_system"], m["medication_ref"], m["medication_id"]) == ("order", "860975", "metformin", "s", None, None)
+    assert (m["patient_id"], m["encounter_id"], m["requester_id"], m["authored_on"]) == ("1", "2", "3", datetime(2024, 3, 4)) and (m["reason_code"], m["reason_display"]) == ("E11", "diabetes")
+    assert (m["dosage_text"], m["dosage_route_code"], m["dosage_route_display"], m["dose_value"], m["dose_unit"]) == ("twice a day", "PO", "oral", 500.0, "mg")
+    assert [(d["text"], tuple(d["route"]), d["value"], d["unit"]) for d in m["dosages"]] == [("twice a day", ("PO", "oral"), 500.0, "mg"), ("as needed", (None, None), None, None)]
+    assert (got["ref"]["medication_code"], got["ref"]["medication_ref"], got["ref"]["medication_id"], got["ref"]["dosages"]) == (None, "Medication/9", "9", [])
+    assert all(v is None for n, v in got["bare"].asDict().items() if n != "id") and len(got) == 4
+
+
+def test_immunizations(spark):
+    whole = {
+        "id": "i", "status": "completed", "vaccineCode": {"coding": [{"system": "s", "code": "own", "display": "Own"}, {"system": rich.CVX, "code": "207"}, {"system": rich.CVX, "code": "208"}]}, "patient": {"reference": "Patient/1"}, "encounter": {"reference": "Encounter/2"}, "occurrenceDateTime": "2024-01-02T03:04:05Z",
+        "primarySource": True, "location": {"reference": "Location/3"}, "manufacturer": {"display": "Maker"}, "lotNumber": "L1", "expirationDate": "2025-06-07", "site": concept("LA", "left arm"), "route": concept("IM", "muscle"), "doseQuantity": {"value": 0.5, "unit": "mL"},
+        "performer": [{"function": concept("AP"), "actor": {"reference": "Practitioner/4"}}, {"actor": {"reference": "Organization/5"}}], "protocolApplied": [{"series": "basic", "doseNumberPositiveInt": 2}, {"series": "next"}],
+    }
+    empty_code = {"id": "none", "vaccineCode": {"coding": [{"system": "s", "code": "first"}, {"system": rich.CVX}]}, "occurrenceString": "long ago", "expirationDate": "bad"}
+    got = {r["id"]: r for r in rich.immunizations(frame(spark, "Immunization", whole, {"id": "first", "vaccineCode": concept("x", "X")}, empty_code, {"id": "bare"})).collect()}
+    i = got["i"]
+    assert (i["vaccine_code"], i["vaccine_display"], i["vaccine_system"], i["vaccine_cvx_code"], got["first"]["vaccine_cvx_code"], got["none"]["vaccine_cvx_code"]) == ("own", "Own", "s", "207", "x", None)
+    assert (i["patient_ref"], i["patient_id"], i["encounter_id"], i["location_id"], i["occurrence_datetime"], i["occurrence_string"]) == ("Patient/1", "1", "2", "3", datetime(2024, 1, 2, 3, 4, 5), None)
+    assert (i["primary_source"], i["manufacturer"], i["lot_number"], i["expiration_date"].isoformat(), i["site_code"], i["route_display"], i["dose_quantity"], i["dose_unit"]) == (True, "Maker", "L1", "2025-06-07", "LA", "muscle", 0.5, "mL")
+    assert [tuple(x) for x in i["performers"]] == [("AP", "4"), (None, "5")] and (i["dose_number"], i["series"]) == (2, "basic") and [tuple(x) for x in i["protocols"]] == [("basic", 2), ("next", None)]
+    assert (got["none"]["occurrence_string"], got["none"]["expiration_date"]) == ("long ago", None) and all(v is None for n, v in got["bare"].asDict().items() if n != "id")
+
+
+def test_conditions(spark):
+    whole = {
+        "id": "c", "clinicalStatus": concept("active", "Active"), "verificationStatus": concept("confirmed", "Confirmed"), "category": [concept("problem", "Problem"), concept("visit")], "severity": concept("24484000", "Severe"), "code": concept("44054006", "Diabetes", "DM"), "bodySite": [concept("arm", "Arm"), concept("leg")],
+        "subject": {"reference": "Patient/1"}, "encounter": {"reference": "Encounter/2"}, "onsetPeriod": {"start": "2023-02-01"}, "abatementDateTime": "2024-02-01", "recordedDate": "2023-02-02", "recorder": {"reference": "Practitioner/3"}, "asserter": {"reference": "Patient/1"},
+        "evidence": [{"code": [concept("e", "Evidence"), concept("f")], "detail": [{"reference": "Observation/7"}, {"reference": "Observation/8"}]}, {}],
+    }
+    got = {r["id"]: r for r in rich.conditions(frame(spark, "Condition", whole, {"id": "s", "onsetString": "childhood", "abatementString": "adult", "onsetDateTime": "2020"}, {"id": "bare"})).collect()}
+    c = got["c"]
+    assert (c["clinical_status"], c["clinical_status_display"], c["verification_status"], c["verification_status_display"], c["severity_code"], c["severity_display"]) == ("active", "Active", "confirmed", "Confirmed", "24484000", "Severe")
+    assert (c["category_code"], c["category_display"], c["code_code"], c["code_display"], c["code_system"], c["code_text"], c["body_site_code"], c["body_site_display"]) == ("problem", "Problem", "44054006", "Diabetes", "s", "DM", "arm", "Arm")
+    assert [tuple(x) for x in c["categories"]] == [("problem", "Problem"), ("visit", None)] and [tuple(x) for x in c["body_sites"]] == [("arm", "Arm"), ("leg", None)]
+    assert (c["patient_id"], c["encounter_id"], c["recorder_id"], c["asserter_ref"], c["asserter_id"]) == ("1", "2", "3", "Patient/1", "1")
+    assert (c["onset_datetime"], c["onset_period_start"], c["abatement_datetime"], c["recorded_date"]) == (None, datetime(2023, 2, 1), datetime(2024, 2, 1), datetime(2023, 2, 2))
+    assert [(tuple(x["code"]), x["details"]) for x in c["evidence"]] == [(("e", "Evidence"), ["Observation/7", "Observation/8"]), ((None, None), None)]
+    assert (got["s"]["onset_string"], got["s"]["abatement_string"], got["s"]["onset_datetime"]) == ("childhood", "adult", datetime(2020, 1, 1))
+    assert "status" not in c.asDict() and all(v is None for n, v in got["bare"].asDict().items() if n != "id")
+
+
 def test_bundle_warnings(spark):
     nested = {"resourceType": "Bundle", "type": "batch", "entry": [{"resource": {"resourceType": "Odd"}}]}
     documents = [
