@@ -211,10 +211,11 @@ EXTRACT = {"patient": _patient, "observation": _observation, "encounter": _encou
 
 def silver(rows: DataFrame, name: str) -> DataFrame:
     """The latest version of each resource of one type. Ties go to the higher version id, then to the greater hash of the text,
-    so that the text itself is shuffled only where it is asked for."""
+    so that the text itself is shuffled only where it is asked for. The ingestion time is kept where bronze has it."""
     p = F.col("_p")
-    typed = with_columns_once(rows.where(F.col("is_valid") & (F.col("resource_type") == TYPE_OF[name])).select("raw_resource"), {"_p": F.from_json("raw_resource", SCHEMAS[name])})
-    out = typed.select(p["id"].alias("id"), p["meta"]["versionId"].alias("meta_version_id"), _ts(p["meta"]["lastUpdated"]).alias("meta_last_updated"), *[c.alias(n) for n, c in EXTRACT[name](p).items()], "raw_resource", F.xxhash64("raw_resource").alias("_h"))
+    kept = [c for c in rows.columns if c == "_ingestion_timestamp"]
+    typed = with_columns_once(rows.where(F.col("is_valid") & (F.col("resource_type") == TYPE_OF[name])).select(*kept, "raw_resource"), {"_p": F.from_json("raw_resource", SCHEMAS[name])})
+    out = typed.select(*kept, p["id"].alias("id"), p["meta"]["versionId"].alias("meta_version_id"), _ts(p["meta"]["lastUpdated"]).alias("meta_last_updated"), *[c.alias(n) for n, c in EXTRACT[name](p).items()], "raw_resource", F.xxhash64("raw_resource").alias("_h"))
     keep = F.coalesce(F.col("id"), F.lit("")) != ""
     if name in STATUS:
         keep &= F.col("status").isin(STATUS[name])
