@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +12,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import BinaryType, DoubleType
+
+# The layout of encrypted texts and how their keys are derived.
+SALT_BYTES, KEY_CHARS, ROUNDS = 32, 32, 1000
 
 
 def register_squared(spark: SparkSession) -> None:
@@ -81,6 +86,40 @@ def decrypt(value: Column, key: Column) -> Column:
     return F.aes_decrypt(F.unbase64(value), key, F.lit("CBC")).cast("string")
 
 
+def derive_key(password: str, salt: bytes) -> bytes:
+    """An AES-256 key from the first 32 characters of a password: PBKDF2 with HMAC-SHA1."""
+    return hashlib.pbkdf2_hmac("sha1", password[:KEY_CHARS].encode(), salt, ROUNDS, KEY_CHARS)
+
+
+def encrypt_with_password(value: Column, password: str, salt: bytes | None = None) -> Column:
+    """base64 of salt, initial vector and AES-CBC text, under a key derived from a password.
+
+    One salt serves the whole expression (random unless given) and each value has its own random vector, so the costly
+    derivation is made once, on the driver, and encryption stays in the JVM. The key is part of the plan, so plans must
+    not be logged where the data are secret.
+    """
+    salt = os.urandom(SALT_BYTES) if salt is None else salt
+    if len(salt) != SALT_BYTES:
+        raise ValueError(f"the salt must have {SALT_BYTES} bytes")
+    return F.base64(F.concat(F.lit(bytearray(salt)), F.aes_encrypt(value.cast("string"), F.lit(bytearray(derive_key(password, salt))), F.lit("CBC"))))
+
+
+def decrypt_with_password(value: Column, password: str) -> Column:
+    """What encrypt_with_password or any writer of that format gave, whatever the salts; null for null.
+
+    The key of each salt is derived once for each Arrow batch; the decryption itself stays in the JVM. A wrong password
+    or a damaged text raises.
+    """
+
+    @F.pandas_udf(BinaryType())
+    def key_of(salts: pd.Series) -> pd.Series:
+        keys = {bytes(s): derive_key(password, bytes(s)) for s in salts.dropna().unique()}
+        return salts.map(lambda s: None if s is None else keys[bytes(s)])
+
+    raw = F.unbase64(value)
+    return F.aes_decrypt(F.substring(raw, SALT_BYTES + 1, 2**31 - 1), key_of(F.substring(raw, 1, SALT_BYTES)), F.lit("CBC")).cast("string")
+
+
 def ridge_folds(df: DataFrame, features: list[str], label: str, alphas: list[float], folds: int) -> DataFrame:
     """Root mean square error of ridge regression by alpha and fold, from sums of products only.
 

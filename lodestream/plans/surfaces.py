@@ -62,6 +62,17 @@ def crypto_round_trip(customer):
     return customer.select("c_custkey", udfs.decrypt(udfs.encrypt(F.col("c_name"), key), key).alias("plain"))
 
 
+@query("SELECT c_custkey, c_name AS plain, 48 + 16 * (strlen(c_name) // 16 + 1) AS bytes FROM customer")
+def crypto_password_round_trip(customer):
+    """Keys derived from a password, one salt a segment of the customers, so that a batch holds several."""
+    password = "a test password, callers pass their own"
+    segment, made = F.pmod(F.xxhash64("c_mktsegment"), F.lit(4)), F
+    for k in range(4):
+        made = made.when(segment == k, udfs.encrypt_with_password(F.col("c_name"), password, bytes([k]) * udfs.SALT_BYTES))
+    secret = customer.select("c_custkey", made.alias("secret"))
+    return secret.select("c_custkey", udfs.decrypt_with_password(F.col("secret"), password).alias("plain"), F.octet_length(F.unbase64("secret")).cast("long").alias("bytes"))
+
+
 @query("""SELECT count(*) AS seen, 'positive' AS expectation, CAST(sum(CASE WHEN c_acctbal > 0 THEN 0 ELSE 1 END) AS BIGINT) AS broken FROM customer UNION ALL SELECT count(*), 'segment', CAST(sum(CASE WHEN c_mktsegment <> 'BUILDING' THEN 0 ELSE 1 END) AS BIGINT) FROM customer""")
 def expectation_metrics(customer):
     return Expectations(warn={"positive": "c_acctbal > 0"}, drop={"segment": "c_mktsegment <> 'BUILDING'"}).metrics(customer)
