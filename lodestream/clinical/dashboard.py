@@ -1,14 +1,15 @@
 """The datasets of the operations dashboard, by name, over the tables of resources.
 
 ``tables`` maps bronze, quarantine and the six silver names of ``fhir.silver`` to DataFrames. ``dataset`` gives one
-dataset; ``totals`` gives all single figures with one aggregate for each table, and ``write`` stores all datasets.
+dataset; ``totals`` and ``groups`` give all single figures and all counts by one column with one aggregate for each
+table, and ``write`` stores all datasets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestream.clinical.flows import labelled
@@ -175,9 +176,32 @@ def dataset(tables: Tables, name: str) -> DataFrame:
     return tables[table].agg(_count(what).alias("n"))
 
 
+def groups(tables: Tables) -> DataFrame:
+    """dataset, label, n for all of CODED and NAMED: each table is read once, whatever the number of its datasets.
+
+    A row gives one pair for each dataset of its table, and pairs are added up in each task before they are shuffled.
+    Ranks are among a dataset's distinct labels, sorted (and spilled, if need be), never among rows.
+    """
+    columns = {name: (spec[0], spec[1]) for name, spec in (CODED | NAMED).items()}
+    out = None
+    for table in dict.fromkeys(t for t, _ in columns.values()):
+        pairs = [F.struct(F.lit(name).alias("dataset"), F.col(column).alias("code")) for name, (t, column) in columns.items() if t == table]
+        counted = tables[table].select(F.inline(F.array(*pairs))).where(F.col("code").isNotNull() | F.col("dataset").isin(list(CODED))).groupBy("dataset", "code").agg(_n())
+        out = counted if out is None else out.unionByName(counted)
+    label = F.col("code")
+    for name, (_, _, labels, other) in CODED.items():
+        label = F.when(F.col("dataset") == name, labelled(F.col("code"), labels, other or F.col("code"))).otherwise(label)
+    rank = F.row_number().over(Window.partitionBy("dataset").orderBy(F.desc("n"), "code"))
+    limit = labelled(F.col("dataset"), {name: limit for name, (_, _, limit) in NAMED.items() if limit}, F.lit(2**31 - 1))
+    shown = out.withColumn("_r", rank).where(F.col("_r") <= limit)
+    return shown.select("dataset", label.alias("label"), "n")
+
+
 def write(tables: Tables, root: str) -> list[str]:
-    """Store the single figures in root/totals and every other dataset in a folder of its own; gives the folders' names."""
-    stored = {"totals": totals(tables)} | {name: dataset(tables, name) for name in (*NAMED, *CODED, *OTHERS)}
-    for name, df in stored.items():
-        df.write.mode("overwrite").parquet(f"{root}/{name}")
-    return list(stored)
+    """Store the single figures in root/totals, the counts by one column in root/groups, by dataset, and every other
+    dataset in a folder of its own; gives the folders' names."""
+    totals(tables).write.mode("overwrite").parquet(f"{root}/totals")
+    groups(tables).write.mode("overwrite").partitionBy("dataset").parquet(f"{root}/groups")
+    for name in OTHERS:
+        dataset(tables, name).write.mode("overwrite").parquet(f"{root}/{name}")
+    return ["totals", "groups", *OTHERS]

@@ -271,11 +271,7 @@ def _by(name: str, source: str, column: str, limit: int | None = None) -> str:
 ]))
 def dashboard_clinical_groups(orders, lineitem, part, customer):
     """All thirteen datasets that are counts by one column."""
-    given, out = tables(orders, lineitem, part, customer), None
-    for name in (*dashboard.CODED, *dashboard.NAMED):
-        one = dashboard.dataset(given, name).select(F.lit(name).alias("dataset"), "label", "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return dashboard.groups(tables(orders, lineitem, part, customer))
 
 
 @query("""SELECT CASE WHEN p_partkey % 4 = 0 THEN NULL WHEN p_partkey % 4 = 1 THEN 'Observation' ELSE 'Condition' END AS resource_type, count(*) AS total, CAST(sum(CASE WHEN p_partkey % 4 = 0 OR p_partkey % 8 = 1 OR p_partkey % 12 = 2 THEN 0 ELSE 1 END) AS BIGINT) AS valid,

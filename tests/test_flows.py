@@ -76,14 +76,24 @@ def test_datasets(spark, tmp_path):
     assert [r["id"] for r in dashboard.recent_patients(given, 2).collect()] == ["3", "2"]
     assert [tuple(r) for r in dashboard.validation_quality(given).collect()] == [(None, 1, 0, 0.0), ("Patient", 2, 1, 50.0)]
     assert len(dashboard.NAMES) == 40
-    for name in dashboard.write(given, str(tmp_path)):
-        stored = spark.read.parquet(f"{tmp_path}/{name}")
-        again = dashboard.totals(given) if name == "totals" else dashboard.dataset(given, name)
-        assert rows(stored) == rows(again), name
+    assert set(dashboard.write(given, str(tmp_path))) == {"totals", "groups", *dashboard.OTHERS}
+    for name in ("totals", "groups", *dashboard.OTHERS):
+        again = {"totals": dashboard.totals, "groups": dashboard.groups}.get(name, lambda t, n=name: dashboard.dataset(t, n))(given)
+        assert rows(spark.read.parquet(f"{tmp_path}/{name}").select(again.columns)) == rows(again), name
+
+
+def test_groups_are_the_single_datasets(spark, monkeypatch):
+    monkeypatch.setitem(dashboard.NAMED, "encounter_types", ("encounter", "type_display", 1))
+    given = small(spark)
+    given["encounter"] = given["encounter"].withColumn("type_display", F.coalesce("status", F.lit("t")))
+    found = dashboard.groups(given).collect()
+    for name in (*dashboard.NAMED, *dashboard.CODED):
+        assert sorted([(r["label"], r["n"]) for r in found if r["dataset"] == name], key=str) == rows(dashboard.dataset(given, name)), name
+    assert len([r for r in found if r["dataset"] == "encounter_types"]) == 1
 
 
 def test_empty_tables(spark):
     given = {name: df.limit(0) for name, df in small(spark).items()}
-    assert {r["n"] for r in dashboard.totals(given).collect()} == {0}
+    assert {r["n"] for r in dashboard.totals(given).collect()} == {0} and dashboard.groups(given).count() == 0
     for name in (*dashboard.NAMED, *dashboard.CODED, *dashboard.OTHERS):
         assert dashboard.dataset(given, name).count() == 0
