@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestream.operators import quantile
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -107,8 +109,9 @@ def histogram_bins(lineitem):
 @query("""SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.25), 4) AS q1, round(quantile_cont(l_extendedprice, 0.5), 4) AS q2, round(quantile_cont(l_extendedprice, 0.75), 4) AS q3,
   round(stddev_samp(l_extendedprice), 4) AS sd FROM lineitem GROUP BY 1""")
 def quantiles(lineitem):
-    q = lambda p: F.round(F.percentile("l_extendedprice", F.lit(p)), 4)
-    return lineitem.groupBy("l_returnflag").agg(q(0.25).alias("q1"), q(0.5).alias("q2"), q(0.75).alias("q3"), F.round(F.stddev("l_extendedprice"), 4).alias("sd"))
+    exact = quantile.exact_quantiles(lineitem, "l_returnflag", "l_extendedprice", [0.25, 0.5, 0.75])
+    deviation = lineitem.groupBy(F.col("l_returnflag").alias("_flag")).agg(F.round(F.stddev("l_extendedprice"), 4).alias("sd"))
+    return deviation.join(exact, F.col("_flag").eqNullSafe(F.col("l_returnflag")), "left").select(F.col("_flag").alias("l_returnflag"), *[F.round(F.get("quantiles", F.lit(i)), 4).alias(f"q{i + 1}") for i in range(3)], "sd")
 
 
 @query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
