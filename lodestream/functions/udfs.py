@@ -39,6 +39,20 @@ def mean(v: pd.Series) -> float:
     return v.mean()
 
 
+def grouped_mean(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
+    """key and the mean of a value, in pandas with a step in each task; null for a group without values.
+
+    A task gives out one row per group and batch, and Spark adds these up, so that no task holds a group.
+    """
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield rows.groupby(key, dropna=False)[value].agg(total="sum", n="count").reset_index()
+
+    parts = df.select(key, F.col(value).cast("double").alias(value)).mapInPandas(add, f"`{key}` {dict(df.dtypes)[key]}, total double, n long")
+    return parts.groupBy(key).agg(F.try_divide(F.sum("total"), F.sum("n")).alias(out))
+
+
 def subtract_mean(df: DataFrame, key: str, value: str) -> DataFrame:
     def centre(g: pd.DataFrame) -> pd.DataFrame:
         return g.assign(**{value: g[value] - g[value].mean()})

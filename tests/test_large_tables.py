@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from lodestream.functions import udfs
 from lodestream.operators.quantile import exact_quantiles
-from lodestream.plans import relational
+from lodestream.plans import relational, surfaces
 
 
 def rows(df):
@@ -14,6 +15,14 @@ def planned(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_pandas_mean_in_two_steps(spark):
+    df = spark.range(0, 80_000, 1, 8).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g"), F.when(F.col("id") % 7 > 0, F.col("id").cast("double")).alias("v"))
+    got = udfs.grouped_mean(df, "g", "v", "m")
+    assert "MapInPandas" in planned(got) and rows(got) == rows(df.groupBy("g").agg(F.avg("v")))
+    assert rows(udfs.grouped_mean(df.where("v IS NULL"), "g", "v", "m")) == [(1, None), (2, None), (None, None)]
+    assert "MapInPandas" in planned(surfaces.QUERIES["pandas_grouped_mean"](spark, "/root/testdata/sf0.001"))
+
+
 def test_quantiles_without_a_group_in_one_task(spark):
     shares = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
     ties = spark.range(0, 30_001).select((F.col("id") % 3).alias("g"), F.when(F.col("id") % 5 > 0, F.floor(F.pow(F.hash("id") % 1000, 2) / 7).cast("double")).alias("v"))
