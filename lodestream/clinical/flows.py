@@ -151,7 +151,7 @@ def care_journey(encounter: DataFrame, observation: DataFrame, condition: DataFr
     """care_setting, observation_type, diagnosis_outcome and how many distinct patients have all three.
 
     Each table is first brought to one row for each patient with the set of its few labels; resources without a patient
-    count nobody.
+    count nobody. These rows meet where they were aggregated, at any size; none go through the driver.
     """
 
     def sets(rows: DataFrame, label: Column, name: str) -> DataFrame:
@@ -160,6 +160,6 @@ def care_journey(encounter: DataFrame, observation: DataFrame, condition: DataFr
     settings = sets(_with_class(encounter), labelled(F.col("class_code"), JOURNEY_SETTINGS, "Other"), "settings")
     seen = sets(observation.where("category_code IS NOT NULL"), labelled(F.col("category_code"), ASSESSMENTS, "Other Assessment"), "seen")
     found = sets(condition, labelled(F.col("clinical_status_code"), OUTCOMES, "Under Monitoring"), "found")
-    each = settings.join(seen, "subject_id", "left").join(found, "subject_id", "left").withColumn("care_setting", F.explode("settings")).withColumn("observation_type", F.explode_outer("seen")).withColumn("diagnosis_outcome", F.explode_outer("found"))
+    each = settings.join(seen.hint("merge"), "subject_id", "left").join(found.hint("merge"), "subject_id", "left").withColumn("care_setting", F.explode("settings")).withColumn("observation_type", F.explode_outer("seen")).withColumn("diagnosis_outcome", F.explode_outer("found"))
     links = _links(each, care_setting=F.col("care_setting"), observation_type=F.coalesce("observation_type", F.lit("No Observations")), diagnosis_outcome=F.coalesce("diagnosis_outcome", F.lit("No Diagnosis")))
     return links.withColumnRenamed("n", "patient_count")

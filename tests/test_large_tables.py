@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from lodestream.clinical import dashboard, flows
 from lodestream.functions import udfs
 from lodestream.operators.quantile import exact_quantiles
 from lodestream.plans import relational, surfaces
@@ -15,6 +16,24 @@ def planned(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_quarantine_is_counted_in_bronze(spark):
+    bronze = spark.createDataFrame([("Patient", True), ("Patient", False), (None, False)], "resource_type string, is_valid boolean")
+    given = dict.fromkeys(("patient", "encounter", "observation", "condition", "medication_request", "immunization"), spark.range(0).selectExpr("true AS active", "'x' AS status", "'x' AS clinical_status_code", "'x' AS patient_id"))
+    figures = {r["dataset"]: r["n"] for r in dashboard.totals(given | {"bronze": bronze}).collect()}
+    assert (figures["total_resources"], figures["valid_resources"], figures["quarantined"]) == (3, 1, 2)
+    assert dashboard.dataset(given | {"bronze": bronze}, "quarantined").first()["n"] == 2
+
+
+def test_joins_by_patient_do_not_broadcast(spark):
+    make = spark.createDataFrame
+    encounter, patient = make([("1", "in", "AMB"), ("1", "in", "AMB"), ("2", "out", "IMP")], "subject_id string, class_display string, class_code string"), make([("1", "male"), ("2", None)], "id string, gender string")
+    shown = dashboard.encounter_patient_heatmap({"encounter": encounter, "patient": patient})
+    journey = flows.care_journey(encounter, make([("1", "laboratory")], "subject_id string, category_code string"), make([("2", "active")], "subject_id string, clinical_status_code string"))
+    for df in (shown, journey):
+        assert "Broadcast" not in planned(df) and "SortMergeJoin" in planned(df)
+    assert rows(shown) == [("in", "male", 2), ("out", None, 1)]
+
+
 def test_pandas_mean_in_two_steps(spark):
     df = spark.range(0, 80_000, 1, 8).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g"), F.when(F.col("id") % 7 > 0, F.col("id").cast("double")).alias("v"))
     got = udfs.grouped_mean(df, "g", "v", "m")
