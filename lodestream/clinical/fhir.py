@@ -7,6 +7,8 @@ of ``from_json`` structs. Nothing here leaves the JVM.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,7 +73,7 @@ def bundle_entries(json: Column) -> Column:
         return F.when(F.size(found) > 0, found).otherwise(F.array(json))
 
     unpacked = _bind(_bind(F.try_parse_json(json), resources), usable)
-    return F.when(F.coalesce(F.trim(json), F.lit("")) == "", F.array().cast("array<string>")).when(json.rlike(r"Bundle|\\u00"), unpacked).otherwise(F.array(json))
+    return F.when(F.coalesce(F.trim(json), F.lit("")) == "", F.array().cast("array<string>")).when(json.contains("Bundle") | json.contains("\\u00"), unpacked).otherwise(F.array(json))
 
 
 def _missing(v: Column, name: str) -> Column:
@@ -83,29 +85,45 @@ def _missing(v: Column, name: str) -> Column:
 def validated(rows: DataFrame, raw: str = "raw_resource") -> DataFrame:
     """Add is_valid, resource_type, resource_id, meta_version_id, meta_last_updated, validation_errors and warnings.
 
-    Each text is parsed once; a filter on the type is applied before the fields are checked.
+    Each text is parsed once, its type is read once, and a type's fields are looked up once, as bits; messages are made of
+    the bits only where they are asked for. A filter on the type is applied before the fields are checked.
     """
-    v, kind = F.col("_v"), F.col("resource_type")
-    parsed = with_columns_once(rows, {"_v": F.try_parse_json(F.col(raw))}).withColumn("resource_type", F.try_variant_get(v, "$.resourceType", "string"))
-    basic = F.when(F.coalesce(F.trim(F.col(raw)), F.lit("")) == "", "empty resource").when(v.isNull(), "malformed JSON").when(_missing(v, "resourceType"), "missing resourceType")
-    of_type = F.array().cast("array<string>")
-    for t, fields in REQUIRED.items():
-        checks = [F.when(_missing(v, f), f"{t}: missing required field {f}") for f in fields]
-        if t in CHOICES:
-            a, b = CHOICES[t]
-            checks.append(F.when(_missing(v, a) & _missing(v, b), f"{t}: missing {a} or {b}"))
-        of_type = F.when(kind == t, F.array(*checks)).otherwise(of_type)
-    checked = with_columns_once(parsed, {"validation_errors": F.array_compact(F.concat(F.array(basic), of_type))})
-    return checked.select(
-        *rows.columns, (F.size("validation_errors") == 0).alias("is_valid"), "resource_type", F.try_variant_get(v, "$.id", "string").alias("resource_id"), F.try_variant_get(v, "$.meta.versionId", "string").alias("meta_version_id"),
-        F.try_to_timestamp(F.try_variant_get(v, "$.meta.lastUpdated", "string")).alias("meta_last_updated"), "validation_errors", F.array_compact(F.array(F.when(~kind.isin(KNOWN_TYPES), F.concat(F.lit("unknown type "), kind)))).alias("warnings"),
+    v = F.col("_v")
+
+    def checks(kind: str) -> list[tuple[str, Column]]:
+        out = [(f"{kind}: missing required field {f}", _missing(v, f)) for f in REQUIRED[kind]]
+        if kind in CHOICES:
+            a, b = CHOICES[kind]
+            out.append((f"{kind}: missing {a} or {b}", _missing(v, a) & _missing(v, b)))
+        return out
+
+    def checked(kind: Column) -> Column:
+        blank = F.coalesce(F.trim(F.col(raw)), F.lit("")) == ""
+        basic = F.when(kind.isin(KNOWN_TYPES), None).when(blank, "empty resource").when(v.isNull(), "malformed JSON").when(_missing(v, "resourceType"), "missing resourceType")
+        bits = F
+        for t in REQUIRED:
+            bits = bits.when(kind == t, reduce(add, [F.when(missing, 1 << i).otherwise(0) for i, (_, missing) in enumerate(checks(t))]))
+        return F.struct(kind.alias("resource_type"), basic.alias("_basic"), bits.otherwise(0).alias("_bits"))
+
+    parsed = with_columns_once(rows, {"_v": F.try_parse_json(F.col(raw))})
+    found = parsed.select("*", F.inline(F.transform(F.array(F.try_variant_get(v, "$.resourceType", "string")), checked)))
+    kind, basic, bits = F.col("resource_type"), F.col("_basic"), F.col("_bits")
+    errors = F.when(basic.isNotNull(), F.array(basic))
+    for t in REQUIRED:
+        errors = errors.when(kind == t, F.array_compact(F.array(*[F.when(bits.bitwiseAND(1 << i) != 0, message) for i, (message, _) in enumerate(checks(t))])))
+    return found.select(
+        *rows.columns, (basic.isNull() & (bits == 0)).alias("is_valid"), "resource_type", F.try_variant_get(v, "$.id", "string").alias("resource_id"), F.try_variant_get(v, "$.meta.versionId", "string").alias("meta_version_id"),
+        F.try_to_timestamp(F.try_variant_get(v, "$.meta.lastUpdated", "string")).alias("meta_last_updated"), errors.otherwise(F.array().cast("array<string>")).alias("validation_errors"), F.array_compact(F.array(F.when(~kind.isin(KNOWN_TYPES), F.concat(F.lit("unknown type "), kind)))).alias("warnings"),
     )
 
 
-def bronze(lines: DataFrame, value: str = "value") -> DataFrame:
-    """One row per resource, valid or not. Other columns, such as the source file, are kept."""
+def bronze(lines: DataFrame, value: str = "value", dealt: bool = False) -> DataFrame:
+    """One row per resource, valid or not. Other columns, such as the source file, are kept.
+
+    ``dealt`` says that the lines are on enough tasks already, so that their texts need not be shuffled.
+    """
     keep = [c for c in lines.columns if c != value]
-    return validated(explode_present(spread(lines), bundle_entries(F.col(value)), "raw_resource", keep))
+    return validated(explode_present(lines if dealt else spread(lines), bundle_entries(F.col(value)), "raw_resource", keep))
 
 
 def quarantine(rows: DataFrame) -> DataFrame:

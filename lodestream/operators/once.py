@@ -21,11 +21,13 @@ def explode_present(df: DataFrame, array: Column, name: str, keep: list[str]) ->
     return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df on as many tasks as there are cores, if its scan would give it fewer: one small file is one task.
+def spread(df: DataFrame, piece: int = 16 << 20) -> DataFrame:
+    """df on as many tasks as there are cores, if its scan may give it fewer: one small file is one task.
 
     Only what is estimated to be smaller than one split of files for each core is dealt anew, so the shuffle is bounded;
-    larger inputs have enough tasks as they are. Streams stay as they are.
+    larger inputs have enough tasks as they are. A task gets about ``piece`` of the estimated bytes, so that its share does
+    not grow with the input. Dealing sorts the rows of each task, so rows should be dealt while they are narrow, before
+    texts are made of them. Streams stay as they are.
     """
     spark = df.sparkSession
     if df.isStreaming:
@@ -33,4 +35,4 @@ def spread(df: DataFrame) -> DataFrame:
     cores = spark.sparkContext.defaultParallelism
     split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * split else df
+    return df.repartition(max(cores, -(-size // piece))) if size < cores * split else df

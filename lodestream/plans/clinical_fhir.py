@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestream.clinical import fhir
+from lodestream.operators.once import spread
 from lodestream.plans import relational
 
 QUERIES, ORACLES = {}, {}
@@ -61,14 +62,15 @@ def observations(lineitem):
     text = F.when(k == 1, F.col("l_linestatus")).alias("valueString")
     flag = F.when(k == 2, F.col("l_quantity") > 25).alias("valueBoolean")
     status = F.when(F.col("l_returnflag") == "R", "bad").otherwise("final").alias("status")
-    return lineitem.select(_json("Observation", ident, _meta(), status, _cc(_s("l_partkey"), F.lit("part")).alias("code"), _ref("Patient", "l_suppkey").alias("subject"), F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("effectiveDateTime"), quantity, text, flag).alias("value"))
+    dealt = spread(lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_linestatus", "l_returnflag"))
+    return dealt.select(_json("Observation", ident, _meta(), status, _cc(_s("l_partkey"), F.lit("part")).alias("code"), _ref("Patient", "l_suppkey").alias("subject"), F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("effectiveDateTime"), quantity, text, flag).alias("value"))
 
 
 @query("""SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || strftime(l_shipdate, '%Y%m%d%H%M%S') AS observation_id, CAST(l_suppkey AS VARCHAR) AS patient_id, CAST(l_partkey AS VARCHAR) AS code,
   CASE l_linenumber % 3 WHEN 0 THEN CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) WHEN 1 THEN l_linestatus ELSE CASE WHEN l_quantity > 25 THEN 'true' ELSE 'false' END END AS value,
   CASE WHEN l_linenumber % 3 = 0 THEN 'mg' END AS value_unit, date_trunc('second', l_shipdate) AS effective FROM lineitem WHERE l_returnflag <> 'R'""")
 def fhir_observation(lineitem):
-    gold = fhir.gold_observations(fhir.silver(fhir.bronze(observations(lineitem)), "observation"))
+    gold = fhir.gold_observations(fhir.silver(fhir.bronze(observations(lineitem), dealt=True), "observation"))
     return gold.select("observation_id", "patient_id", "code", "value", "value_unit", F.col("effective_datetime").cast("timestamp_ntz").alias("effective"))
 
 

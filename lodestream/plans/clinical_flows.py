@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestream.clinical import dashboard, fhir, flows, hl7
+from lodestream.operators.once import spread
 from lodestream.plans import relational
 from lodestream.plans.clinical_fhir import _cc, _json, _meta, _ref, _s
 from lodestream.plans.clinical_hl7 import _header, _parsed, _seg, _text
@@ -112,7 +113,8 @@ def flow_patient_journey_links(orders, lineitem):
     return flows.journey_links(flow_patient_journey(orders, lineitem), ["entry_type", "unit", "lab_activity", "outcome"])
 
 
-# Resources. Each maker gives one text a row; bronze and silver are built from them.
+# Resources. Each maker gives one text a row; bronze and silver are built from them. Rows are dealt to the tasks before
+# they become texts, which are many times as wide.
 
 CLASSES = ["AMB", "EMER", "IMP", "OBSENC", "HH", "VR", "FLD", "INVALID"]
 ENCOUNTER = ["finished", "in-progress", "planned", "cancelled"]
@@ -140,37 +142,37 @@ def _named(c: Column) -> Column:
 
 def encounter_texts(orders: DataFrame) -> DataFrame:
     klass = F.struct(_pick("o_orderkey", CLASSES).alias("code"), F.concat(F.lit("class "), _pick("o_orderkey", CLASSES)).alias("display")).alias("class")
-    return orders.select(_json("Encounter", _s("o_orderkey"), _meta(), _pick("o_custkey", ENCOUNTER).alias("status"), klass, F.array(_named(F.col("o_orderpriority"))).alias("type"), _ref("Patient", "o_custkey").alias("subject")).alias("value"))
+    return spread(orders.select("o_orderkey", "o_custkey", "o_orderpriority")).select(_json("Encounter", _s("o_orderkey"), _meta(), _pick("o_custkey", ENCOUNTER).alias("status"), klass, F.array(_named(F.col("o_orderpriority"))).alias("type"), _ref("Patient", "o_custkey").alias("subject")).alias("value"))
 
 
 def observation_texts(lineitem: DataFrame) -> DataFrame:
     """Ids by all keys of a line; the subject is the supplier's key."""
     ident = F.concat_ws("-", *[_s(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
     category = F.array(_cc(_pick("l_suppkey", CATEGORIES), _pick("l_suppkey", CATEGORIES))).alias("category")
-    return lineitem.select(_json("Observation", ident, _meta(), _pick("l_linenumber", OBSERVATION).alias("status"), category, _named(_pick("l_partkey", TESTS)).alias("code"), _ref("Patient", "l_suppkey").alias("subject"), F.col("l_linestatus").alias("valueString")).alias("value"))
+    return spread(lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus")).select(_json("Observation", ident, _meta(), _pick("l_linenumber", OBSERVATION).alias("status"), category, _named(_pick("l_partkey", TESTS)).alias("code"), _ref("Patient", "l_suppkey").alias("subject"), F.col("l_linestatus").alias("valueString")).alias("value"))
 
 
 def condition_texts(part: DataFrame) -> DataFrame:
     status = _named(_pick("p_partkey", CLINICAL)).alias("clinicalStatus")
-    return part.select(_json("Condition", _s("p_partkey"), _meta(), status, F.array(_named(F.col("p_brand"))).alias("category"), _named(_pick("p_partkey", CONDITIONS)).alias("code"), _ref("Patient", "p_size").alias("subject")).alias("value"))
+    return spread(part.select("p_partkey", "p_brand", "p_size")).select(_json("Condition", _s("p_partkey"), _meta(), status, F.array(_named(F.col("p_brand"))).alias("category"), _named(_pick("p_partkey", CONDITIONS)).alias("code"), _ref("Patient", "p_size").alias("subject")).alias("value"))
 
 
 def medication_texts(part: DataFrame) -> DataFrame:
-    return part.select(_json("MedicationRequest", _s("p_partkey"), _meta(), _pick("p_size", PRESCRIBED).alias("status"), F.lit("order").alias("intent"), _named(_pick("p_partkey", DRUGS)).alias("medicationCodeableConcept"), _ref("Patient", "p_size").alias("subject")).alias("value"))
+    return spread(part.select("p_partkey", "p_size")).select(_json("MedicationRequest", _s("p_partkey"), _meta(), _pick("p_size", PRESCRIBED).alias("status"), F.lit("order").alias("intent"), _named(_pick("p_partkey", DRUGS)).alias("medicationCodeableConcept"), _ref("Patient", "p_size").alias("subject")).alias("value"))
 
 
 def immunization_texts(customer: DataFrame) -> DataFrame:
-    return customer.select(_json("Immunization", _s("c_custkey"), _meta(), _pick("c_custkey", IMMUNIZED).alias("status"), _named(F.col("c_mktsegment")).alias("vaccineCode"), _ref("Patient", "c_nationkey").alias("patient"), F.lit("2024-05-06").alias("occurrenceDateTime")).alias("value"))
+    return spread(customer.select("c_custkey", "c_mktsegment", "c_nationkey")).select(_json("Immunization", _s("c_custkey"), _meta(), _pick("c_custkey", IMMUNIZED).alias("status"), _named(F.col("c_mktsegment")).alias("vaccineCode"), _ref("Patient", "c_nationkey").alias("patient"), F.lit("2024-05-06").alias("occurrenceDateTime")).alias("value"))
 
 
 def patient_texts(customer: DataFrame) -> DataFrame:
     born = F.when(F.col("c_custkey") % 6 != 0, F.concat((F.col("c_custkey") % 40 + 1950).cast("string"), F.lit("-02-03"))).alias("birthDate")
     name = F.array(F.struct(F.col("c_name").alias("family"))).alias("name")
-    return customer.select(_json("Patient", _s("c_custkey"), _meta(), (F.col("c_custkey") % 3 > 0).alias("active"), _pick("c_custkey", GENDERS).alias("gender"), born, name).alias("value"))
+    return spread(customer.select("c_custkey", "c_name")).select(_json("Patient", _s("c_custkey"), _meta(), (F.col("c_custkey") % 3 > 0).alias("active"), _pick("c_custkey", GENDERS).alias("gender"), born, name).alias("value"))
 
 
 def _silver(texts: DataFrame, name: str) -> DataFrame:
-    return fhir.silver(fhir.bronze(texts), name)
+    return fhir.silver(fhir.bronze(texts, dealt=True), name)
 
 
 _E = f"e AS (SELECT {_case('o_orderkey', CLASSES)} AS class, {_case('o_custkey', ENCOUNTER)} AS status, o_orderpriority AS type, CAST(o_custkey AS VARCHAR) AS subject FROM orders)"
@@ -222,8 +224,9 @@ def flow_files_by_validity(orders):
 
 
 def tables(orders: DataFrame, lineitem: DataFrame, part: DataFrame, customer: DataFrame) -> dashboard.Tables:
-    """All tables of the dashboard. Encounters of every eleventh order come without a status, and so are quarantined too."""
-    broken = orders.where("o_orderkey % 11 = 0").select(_json("Encounter", _s("o_orderkey"), F.struct(F.lit("AMB").alias("code")).alias("class")).alias("value"))
+    """All tables of the dashboard. Encounters of every eleventh order come without a status, and so are quarantined too; the
+    quarantine is counted in bronze."""
+    broken = spread(orders.select("o_orderkey").where("o_orderkey % 11 = 0")).select(_json("Encounter", _s("o_orderkey"), F.struct(F.lit("AMB").alias("code")).alias("class")).alias("value"))
     made = {
         "patient": patient_texts(customer).withColumn("_ingestion_timestamp", F.timestamp_seconds(F.get_json_object("value", "$.id").cast("long") % 100)), "encounter": encounter_texts(orders), "observation": observation_texts(lineitem),
         "condition": condition_texts(part), "medication_request": medication_texts(part), "immunization": immunization_texts(customer),
@@ -231,8 +234,7 @@ def tables(orders: DataFrame, lineitem: DataFrame, part: DataFrame, customer: Da
     every = broken
     for texts in made.values():
         every = every.unionByName(texts.select("value"))
-    bronze = fhir.bronze(every)
-    return {name: _silver(texts, name) for name, texts in made.items()} | {"bronze": bronze, "quarantine": fhir.quarantine(bronze)}
+    return {name: _silver(texts, name) for name, texts in made.items()} | {"bronze": fhir.bronze(every, dealt=True)}
 
 
 _BRONZE = "(SELECT count(*) FROM orders) + (SELECT count(*) FROM lineitem) + 2 * (SELECT count(*) FROM part) + 2 * (SELECT count(*) FROM customer)"

@@ -2,10 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from lodestream.clinical import dashboard, flows
+from lodestream.clinical import dashboard, fhir, flows
 from lodestream.functions import udfs
+from lodestream.operators.once import spread
 from lodestream.operators.quantile import exact_quantiles
-from lodestream.plans import relational, surfaces
+from lodestream.plans import clinical_flows, relational, surfaces
 
 
 def rows(df):
@@ -16,6 +17,34 @@ def planned(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_spread_deals_by_size(spark, tmp_path):
+    spark.range(0, 200_000, 1, 1).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    assert spread(df).rdd.getNumPartitions() == 8
+    assert spread(df, 10_000).rdd.getNumPartitions() > 16
+    assert spread(df, 10_000).count() == 200_000
+
+
+def test_texts_are_dealt_while_narrow(spark):
+    """One exchange of keys before the texts are made, none of the texts."""
+    tables = [relational.table(spark, "/root/testdata/sf0.001", "lineitem")]
+    plan = fhir.bronze(clinical_flows.observation_texts(*tables), dealt=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Repartition") == 1 and plan.index("Patient/") < plan.index("Repartition")
+
+
+def test_type_is_read_once(spark):
+    texts = ["", None, "{bad", "{}", '{"resourceType":""}', '{"resourceType":"Odd","id":"1"}', '{"resourceType":"Condition","subject":{}}', '{"resourceType":"Immunization","status":"x","vaccineCode":{"a":1},"patient":{"a":1}}', '{"resourceType":"Encounter","status":"0","class":"AMB"}', '{"resourceType":"Encounter","status":0}']
+    df = fhir.validated(spark.createDataFrame([(t,) for t in texts], "raw_resource string"))
+    got = [(r["is_valid"], r["resource_type"], r["validation_errors"], r["warnings"]) for r in df.collect()]
+    assert got == [
+        (False, None, ["empty resource"], []), (False, None, ["empty resource"], []), (False, None, ["malformed JSON"], []), (False, None, ["missing resourceType"], []), (False, "", ["missing resourceType"], ["unknown type "]), (True, "Odd", [], ["unknown type Odd"]),
+        (False, "Condition", ["Condition: missing required field subject"], []), (False, "Immunization", ["Immunization: missing occurrenceDateTime or occurrenceString"], []), (True, "Encounter", [], []),
+        (False, "Encounter", ["Encounter: missing required field status", "Encounter: missing required field class"], []),
+    ]
+    plan = df.select("is_valid")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("$.resourceType") <= 2
+
+
 def test_quarantine_is_counted_in_bronze(spark):
     bronze = spark.createDataFrame([("Patient", True), ("Patient", False), (None, False)], "resource_type string, is_valid boolean")
     given = dict.fromkeys(("patient", "encounter", "observation", "condition", "medication_request", "immunization"), spark.range(0).selectExpr("true AS active", "'x' AS status", "'x' AS clinical_status_code", "'x' AS patient_id"))
