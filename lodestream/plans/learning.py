@@ -13,6 +13,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestream.operators.once import spread
 from lodestream.plans import relational
 from lodestream.sources import bucketed
 from lodestream.sources.shared import new_folder
@@ -20,6 +21,9 @@ from lodestream.streaming import joins, scoring
 
 QUERIES, ORACLES = {}, {}
 
+#: Estimated bytes of a file that a task of a tree's training gets: its cached points take many times as much.
+TREE_PIECE = 1 << 20
+
 
 def query(sql=None):
     def register(plan):
@@ -92,7 +96,7 @@ def ml_forest_importances(orders):
 @query()
 def ml_boosted_regression(lineitem):
     """Root mean square error of boosted trees on held-out lines."""
-    data = VectorAssembler(inputCols=["l_quantity", "l_discount"], outputCol="features").transform(lineitem.select("l_orderkey", "l_quantity", "l_discount", "l_extendedprice"))
+    data = VectorAssembler(inputCols=["l_quantity", "l_discount"], outputCol="features").transform(spread(lineitem.select("l_orderkey", "l_quantity", "l_discount", "l_extendedprice"), TREE_PIECE))
     train, test = _halves(data, "l_orderkey")
     scored = GBTRegressor(labelCol="l_extendedprice", maxIter=5, seed=1).fit(train).transform(test)
     error = RegressionEvaluator(labelCol="l_extendedprice").evaluate(scored)
@@ -157,7 +161,7 @@ def ml_area_under_curve(orders):
 @query()
 def ml_decision_trees(part):
     """Trees on imputed numbers and hashed words: weighted precision of the brand's first digit, error of the price."""
-    data = part.select("p_partkey", F.when(F.col("p_size") > 5, F.col("p_size").cast("double")).alias("size"), "p_type", F.col("p_retailprice").alias("price"), F.regexp_extract("p_brand", "[0-9]", 0).alias("brand"))
+    data = spread(part.select("p_partkey", "p_size", "p_type", "p_retailprice", "p_brand"), TREE_PIECE).select("p_partkey", F.when(F.col("p_size") > 5, F.col("p_size").cast("double")).alias("size"), "p_type", F.col("p_retailprice").alias("price"), F.regexp_extract("p_brand", "[0-9]", 0).alias("brand"))
     features = [
         Imputer(inputCols=["size"], outputCols=["size_filled"], strategy="median"), Tokenizer(inputCol="p_type", outputCol="words"), HashingTF(inputCol="words", outputCol="hashed", numFeatures=64),
         VectorAssembler(inputCols=["size_filled", "hashed"], outputCol="raw"), VectorIndexer(inputCol="raw", outputCol="features", maxCategories=4, handleInvalid="keep"),

@@ -6,7 +6,7 @@ from lodestream.clinical import dashboard, fhir, flows
 from lodestream.functions import udfs
 from lodestream.operators.once import spread
 from lodestream.operators.quantile import exact_quantiles
-from lodestream.plans import clinical_flows, relational, surfaces
+from lodestream.plans import clinical_flows, learning, relational, surfaces
 
 
 def rows(df):
@@ -82,3 +82,11 @@ def test_quantiles_without_a_group_in_one_task(spark):
         assert [g[0] for g in got] == [w[0] for w in want]
         assert all(abs(a - b) < 1e-6 for g, w in zip(got, want, strict=True) for a, b in zip(g[1], w[1], strict=True))
     assert " percentile(" not in planned(relational.QUERIES["quantiles"](spark, "/root/testdata/sf0.001"))
+
+
+def test_trees_train_on_dealt_rows(spark, monkeypatch):
+    dealt = []
+    monkeypatch.setattr(learning, "spread", lambda df, piece: dealt.append(piece) or spread(df, piece))
+    for name in ("ml_decision_trees", "ml_boosted_regression"):
+        assert learning.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+    assert dealt == [learning.TREE_PIECE] * 2
