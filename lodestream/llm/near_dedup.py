@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestream.llm.arrow import buffers, map_slices, slices, utf8
+from lodestream.llm.arrow import buffers, map_slices, slices
 from lodestream.llm.common import discard, fresh_name, materialize
 from lodestream.llm.components import connected_components
 
@@ -235,18 +235,17 @@ def confirmed_links(groups: DataFrame, m: Measure) -> DataFrame:
     """Links (a, b) among the members of each group. ``groups``: doc_id, text, grp, part, block, first, second.
 
     Rows with equal (grp, first, second) are compared in one place: block ``first`` with block ``second``. ``part`` is the
-    component that a member is known to be in.
+    component that a member is known to be in. A task holds the sets of two blocks and a slice of the rows, not their texts.
     """
     width, percent = m.width, m.percent
 
-    def compare(rows: list[tuple[int, int, str, int]], first: int, second: int) -> list[tuple[int, int]]:
+    def compare(rows: list[tuple[int, int, np.ndarray, int]], first: int, second: int) -> list[tuple[int, int]]:
         sides: list[list] = [[], []]
         ids: list[list] = [[], []]
         parts: list[list] = [[], []]
-        hashes, ends = shingle_hashes(utf8(pa.array([r[2] for r in rows], pa.string())), width)
-        for k, (doc, block, _, part) in enumerate(rows):
+        for doc, block, own, part in rows:
             side = int(block != first)
-            sides[side].append(np.unique(hashes[ends[k] : ends[k + 1]]))
+            sides[side].append(own)
             ids[side].append(doc)
             parts[side].append(part)
         if first == second:
@@ -258,14 +257,18 @@ def confirmed_links(groups: DataFrame, m: Measure) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, rows, links = None, [], []
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("grp", "first", "second", "doc_id", "block", "text", "part")]
-            for grp, first, second, doc, block, text, part in zip(*columns, strict=True):
+        for batch, texts in slices(batches, "text"):
+            hashes, ends = shingle_hashes(texts, width)
+            columns = [batch.column(c).to_pylist() for c in ("grp", "first", "second", "doc_id", "block", "part")]
+            for k, (grp, first, second, doc, block, part) in enumerate(zip(*columns, strict=True)):
+                own = np.unique(hashes[ends[k] : ends[k + 1]])
+                if not len(own):  # a row without words that shares its id with another
+                    continue
                 if current != (grp, first, second):
                     if current is not None:
                         links += compare(rows, current[1], current[2])
                     current, rows = (grp, first, second), []
-                rows.append((doc, block, text, part))
+                rows.append((doc, block, own, part))
             if len(links) > 10_000:
                 yield _link_batch(links)
                 links = []

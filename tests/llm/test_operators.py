@@ -466,6 +466,16 @@ def test_near_duplicates_in_mixed_buckets(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == brute.components(local, 3, 85)
 
 
+def test_blocks_with_rows_without_words(spark):
+    """A row without words that shares its id with another one meets in a block too, and is linked with nothing."""
+    a = prose(60)
+    rows = [(1, a), (2, a + " tail"), (3, prose(60)), (4, ""), (5, None)]
+    for first, second in ((0, 0), (0, 1)):
+        groups = spark.createDataFrame([(i, t, 1, i, i % 2 * second, first, second) for i, t in rows], "doc_id long, text string, grp long, part long, block int, first int, second int")
+        got = near_dedup.confirmed_links(groups, near_dedup.Measure(width=3, percent=85)).collect()
+        assert [sorted(r) for r in got] == [[1, 2]]
+
+
 def test_keep_one_judges_ids_by_their_texts(spark):
     a, b, c = prose(50), prose(50), prose(50)
     rows = [(1, a, 0), (2, a, 1), (2, a, 1), (3, b, 0), (3, b, 5), (4, a, 0), (4, c, 0), (4, c, 0), (5, c, 0)]
